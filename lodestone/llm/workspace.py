@@ -68,3 +68,13 @@ def hinted(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataF
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_sample(rows: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``most`` rows of each value of ``by`` at most, chosen by a hash of the id.
+
+    The share of each value comes from its count, so no value is sorted or gathered in one task.
+    """
+    counts = materialise(rows.groupBy(by).agg(F.count("*").alias("_n")), "sample_counts").withColumnRenamed(by, "_by")
+    u = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    return rows.join(hinted(counts, 64), F.col(by).eqNullSafe(F.col("_by"))).where(u < most / F.col("_n")).drop("_by", "_n")
