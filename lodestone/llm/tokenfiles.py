@@ -35,14 +35,19 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0", "compression": "zstd",
 }
-#: Characters that end a piece: white space of ASCII.
-_WHITE = b" \t\n\r\x0b\x0c"
-
-_encoders: dict[str, _Encoder] = {}  # noqa: F821
+_encoders: dict = {}
 
 
 class _Encoder:
-    """A tokenizer with the ids of pieces seen, as little-endian bytes."""
+    """A tokenizer with the ids of pieces seen, as little-endian bytes.
+
+    A new piece that is letters, perhaps with a full stop or comma behind, falls
+    into its letters, in lower case if they are ASCII, and the mark; the splitter
+    parts these too. Words of letters that are new are encoded as one text: a
+    word is one token of the splitter, and its last id is one that ends a word.
+    If the ends don't number as many as the words, and for all other pieces, each
+    is encoded alone.
+    """
 
     def __init__(self, path: str):
         import os
@@ -50,27 +55,53 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(some) and (not len(at) or at[-1] == len(ids)):
+                raw, low = ids.tobytes(), 0
+                for w, high in zip(some, (4 * at).tolist(), strict=True):
+                    self.words[w] = raw[low:high]
+                    low = high
+            else:
+                self.words.update(zip(some, self._alone(some), strict=True))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        simple, other = [], []
+        for p in pieces:
+            mark = p[-1:] if p[-1:] in (b".", b",") else b""
+            word = (p[: -len(mark)] if mark else p).decode()
+            if word.isalpha():
+                simple.append((p, word.lower() if word.isascii() else word, mark.decode()))
+            else:
+                other.append(p)
+        if len(self.words) > PIECE_CACHE:
+            self.words.clear()
+        for m in (".", ","):
+            if m not in self.words:
+                self.words[m] = self._alone([m])[0]
+        self._learn_words(list({w for _, w, _ in simple if w not in self.words}))
+        for p, w, m in simple:
+            self.pieces[p] = self.words[w] + self.words[m] if m else self.words[w]
+        for k in range(0, len(other), 8192):
+            self.pieces.update(zip(other[k : k + 8192], self._alone([p.decode() for p in other[k : k + 8192]]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        out: list[bytes] = []
-        at = 0
-        while at < len(parts):  # some texts at a time, so that the store stays near its bound
-            upto, held = at, 0
-            while upto < len(parts) and (held == 0 or held + len(parts[upto]) <= PIECE_CACHE // 4):
-                held += len(parts[upto])
-                upto += 1
-            if len(self.seen) > PIECE_CACHE:
-                self.seen.clear()
-            new = list({p for ws in parts[at:upto] for p in ws if p not in self.seen})
-            for k in range(0, len(new), 10_000):
-                some = new[k : k + 10_000]
-                for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                    self.seen[p] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join(map(self.seen.__getitem__, ws)) for ws in parts[at:upto]]
-            at = upto
-        return out
+        if len(self.pieces) > PIECE_CACHE:
+            self.pieces.clear()
+        self._learn(list({p for ws in parts for p in ws if p not in self.pieces}))
+        return [b"".join(map(self.pieces.__getitem__, ws)) for ws in parts]
 
 
 def encoder(path: str) -> _Encoder:
@@ -86,8 +117,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = encoder(tokenizer), 0
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 64):
+                b = whole.slice(k, 64)
                 ids = [x + end for x in own.encode(b.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)])
