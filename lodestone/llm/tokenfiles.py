@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.workspace import materialise, scratch, table
 
-#: Pieces whose ids a worker keeps; the store is emptied beyond that.
-PIECE_CACHE = 400_000
-#: Bytes of text a partition and so a file, about.
-FILE_TEXT = 64 << 20
+#: Pieces and words of letters whose ids a worker keeps; a store is emptied beyond that.
+PIECE_CACHE, WORD_CACHE = 500_000, 1_200_000
+#: Signs that the splitter parts from letters before them, and keeps together.
+MARKS = b".,!?;:%$*&#|"
 ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0", "compression": "zstd",
+    "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0", "compression": "snappy",
 }
 _encoders: dict = {}
 
@@ -41,9 +41,9 @@ _encoders: dict = {}
 class _Encoder:
     """A tokenizer with the ids of pieces seen, as little-endian bytes.
 
-    A new piece that is letters, perhaps with a full stop or comma behind, falls
-    into its letters, in lower case if they are ASCII, and the mark; the splitter
-    parts these too. Words of letters that are new are encoded as one text: a
+    A new piece that is letters, perhaps with signs behind, falls into its
+    letters, in lower case if they are ASCII, and the signs; the splitter parts
+    these too. Words of letters that are new are encoded as one text: a
     word is one token of the splitter, and its last id is one that ends a word.
     If the ends don't number as many as the words, and for all other pieces, each
     is encoded alone.
@@ -55,7 +55,7 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.pieces, self.words, self.marks = Tokenizer.from_file(path), {}, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -63,10 +63,10 @@ class _Encoder:
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some) and (not len(at) or at[-1] == len(ids)):
                 raw, low = ids.tobytes(), 0
@@ -74,34 +74,49 @@ class _Encoder:
                     self.words[w] = raw[low:high]
                     low = high
             else:
-                self.words.update(zip(some, self._alone(some), strict=True))
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        simple, other = [], []
-        for p in pieces:
-            mark = p[-1:] if p[-1:] in (b".", b",") else b""
-            word = (p[: -len(mark)] if mark else p).decode()
-            if word.isalpha():
-                simple.append((p, word.lower() if word.isascii() else word, mark.decode()))
+                self.words.update(zip(some, self._alone([w.decode() for w in some]), strict=True))
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that are not held; those whose word was known are held from now on."""
+        out, later, other, words = {}, [], [], self.words
+        for p in new:
+            bare = p.rstrip(MARKS)
+            word = bare.lower() if bare.isalpha() else bare
+            ids = words.get(word)
+            if ids is None:
+                (later if bare.isalpha() or bare.decode().isalpha() else other).append((p, word))
+            elif len(bare) == len(p):
+                out[p] = self.pieces[p] = ids
             else:
-                other.append(p)
-        if len(self.words) > PIECE_CACHE:
-            self.words.clear()
-        for m in (".", ","):
-            if m not in self.words:
-                self.words[m] = self._alone([m])[0]
-        self._learn_words(list({w for _, w, _ in simple if w not in self.words}))
-        for p, w, m in simple:
-            self.pieces[p] = self.words[w] + self.words[m] if m else self.words[w]
+                mark = p[len(bare) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self._alone([mark.decode()])[0]
+                out[p] = self.pieces[p] = ids + self.marks[mark]
+        if later:
+            self._learn_words(list({w for _, w in later}))
+            for p, word in later:
+                mark = p[len(word) :]
+                if mark and mark not in self.marks:
+                    self.marks[mark] = self._alone([mark.decode()])[0]
+                out[p] = words[word] + self.marks[mark] if mark else words[word]
         for k in range(0, len(other), 8192):
-            self.pieces.update(zip(other[k : k + 8192], self._alone([p.decode() for p in other[k : k + 8192]]), strict=True))
+            some = [p for p, _ in other[k : k + 8192]]
+            out.update(zip(some, self._alone([p.decode() for p in some]), strict=True))
+        self.pieces.update((p, out[p]) for p, _ in other)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        for held, most in ((self.pieces, PIECE_CACHE), (self.words, WORD_CACHE), (self.marks, WORD_CACHE)):
+            if len(held) > most:
+                held.clear()
         parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.pieces) > PIECE_CACHE:
-            self.pieces.clear()
-        self._learn(list({p for ws in parts for p in ws if p not in self.pieces}))
-        return [b"".join(map(self.pieces.__getitem__, ws)) for ws in parts]
+        found = [list(map(self.pieces.get, ws)) for ws in parts]
+        lacking = [(ws, ids, [i for i, x in enumerate(ids) if x is None]) for ws, ids in zip(parts, found, strict=True) if None in ids]
+        new = self._learn({ws[i] for ws, _, at in lacking for i in at})
+        for ws, ids, at in lacking:
+            for i in at:
+                ids[i] = new[ws[i]]
+        return [b"".join(ids) for ids in found]
 
 
 def encoder(path: str) -> _Encoder:
@@ -128,8 +143,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
                 at += int(offsets[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, -(-size // FILE_TEXT))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, rows.rdd.getNumPartitions())  # as many as splits of the scan
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(encode, "doc_id long, local_start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
 
