@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytecontext import HELD, ContextTree, GramCounter, encoded, grams, pieces, tree
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import hash_sample, materialise, table
+from lodestone.llm.workspace import bound_batches, hash_sample, materialise, table
 
 #: Documents of a language that its tree is learned from, about, at most.
 MAX_TRAINING = 4000
@@ -86,6 +86,7 @@ class Languages:
 
 def train(labelled: DataFrame) -> Languages | None:
     """Trees from rows of ``doc_id, lang, text``; None without any."""
+    bound_batches(labelled.sparkSession)
     rows = hash_sample(labelled.where("lang is not null and text is not null"), "lang", MAX_TRAINING)
     counts = rows.select("lang", "text").mapInPandas(_gathered, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "grams")
@@ -99,6 +100,7 @@ def train(labelled: DataFrame) -> Languages | None:
 
 def identify(docs: DataFrame, languages: Languages | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, which replace columns of those names."""
+    bound_batches(docs.sparkSession)
     if languages is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(languages)  # NODES bounds it

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.workspace import materialise, scratch, table
+from lodestone.llm.workspace import bound_batches, materialise, scratch, table
 
 #: Pieces and words of letters whose ids a worker keeps; a store is emptied beyond that.
 PIECE_CACHE, WORD_CACHE = 500_000, 1_200_000
@@ -127,6 +127,7 @@ def encoder(path: str) -> _Encoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Write ``doc_id, local_start, n_tokens, ids`` of all ``docs`` in ascending ``doc_id`` order."""
+    bound_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +160,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def with_crc32(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of rows with ``ids``."""
+    bound_batches(tokens.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import hash_sample, materialise, table
+from lodestone.llm.workspace import bound_batches, hash_sample, materialise, table
 
 #: Labelled documents of each label that the lexicon and the curve are fitted on, about, at most.
 MAX_TRAINING = 20_000
@@ -198,6 +198,7 @@ def _entries(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
 
 def train(labelled: DataFrame) -> Lexicon:
     """A lexicon from rows of ``doc_id, text, label`` (0 or 1)."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.where("label is not null").select("doc_id", "text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fold"))
     sample = materialise(hash_sample(rows, "label", MAX_TRAINING).withColumn("fold", F.pmod(key, F.lit(3))).repartition(24, key), "labelled")
@@ -219,6 +220,7 @@ def train(labelled: DataFrame) -> Lexicon:
 
 def score(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame:
     """``docs`` with the score in ``column``, which replaces one of that name."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES bounds it
 
     @F.pandas_udf("double")

@@ -66,6 +66,17 @@ def hinted(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if small(df, row_bytes, limit) else df
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Let Python workers get few rows and bytes at a time, since texts may be very long.
+
+    A setting of the session, since it is read when a plan runs; a smaller one stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("bB")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
