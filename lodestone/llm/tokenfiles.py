@@ -125,6 +125,13 @@ def encoder(path: str) -> _Encoder:
     return _encoders[path]
 
 
+def plain(column) -> pa.Array:
+    """One array; a batch that Spark cut by bytes has chunks."""
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Write ``doc_id, local_start, n_tokens, ids`` of all ``docs`` in ascending ``doc_id`` order."""
     bound_batches(docs.sparkSession)
@@ -140,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(at + offsets[:-1]), pa.array(n), lists], ["doc_id", "local_start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([plain(b.column("doc_id")).cast(pa.int64()), pa.array(at + offsets[:-1]), pa.array(n), lists], ["doc_id", "local_start", "n_tokens", "ids"])
                 at += int(offsets[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -164,10 +171,10 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("ids")
+            lists = plain(b.column("ids"))
             flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(plain(b.column(c)) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
