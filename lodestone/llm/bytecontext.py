@@ -86,11 +86,11 @@ def tree(counts: DataFrame, depth: int, nodes: int, by: list[str] = ()) -> tuple
     deep = counts.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     mask = F.expr("case " + " ".join(f"when depth = {d} then {(1 << (8 * d)) - 1}L" for d in range(depth + 1)) + " end")
     deep = deep.select("depth", F.shiftright("code", 8).bitwiseAND(mask).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n", *by)
-    chosen = deep.groupBy("depth", "ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "depth", "ctx").limit(nodes).toPandas()
+    chosen = deep.groupBy("depth", "ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "depth", "ctx").limit(nodes).toArrow().to_pandas()
     own = counts.sparkSession.createDataFrame(chosen[["depth", "ctx"]]) if len(chosen) else None
     if own is None:
         return chosen, pd.DataFrame({"depth": [], "ctx": [], "sym": [], "n": []} | {b: [] for b in by})
-    seen = deep.join(F.broadcast(own), ["depth", "ctx"]).groupBy("depth", "ctx", "sym", *by).agg(F.sum("n").alias("n")).toPandas()  # `nodes` bounds both
+    seen = deep.join(F.broadcast(own), ["depth", "ctx"]).groupBy("depth", "ctx", "sym", *by).agg(F.sum("n").alias("n")).toArrow().to_pandas()  # `nodes` bounds both
     return chosen, seen
 
 

@@ -213,7 +213,7 @@ def train(labelled: DataFrame) -> Lexicon:
     spared = phrases.where("t = 0 and c >= 3").orderBy(F.desc("c"), "word").limit(MAX_ENTRIES).collect()
     draft = Lexicon(draft.entries, [r["word"] for r in spared])
     basis = tune if tune.where("label = 1").limit(1).count() else fit
-    points = basis.select("text", "label").mapInPandas(_featured(draft), "a double, b double, c double, label int").toPandas()  # MAX_TRAINING bounds these rows
+    points = basis.select("text", "label").mapInPandas(_featured(draft), "a double, b double, c double, label int").toArrow().to_pandas()  # MAX_TRAINING bounds these rows
     points = points.sort_values(["a", "b", "c", "label"])
     return Lexicon(draft.entries, draft.exceptions, logistic(points[["a", "b", "c"]].to_numpy(), points["label"].to_numpy(float)))
 
