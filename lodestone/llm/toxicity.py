@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import bound_batches, hash_sample, materialise, table
+from lodestone.llm.workspace import bound_batches, hash_sample, hinted, materialise, table
 
 #: Labelled documents of each label that the lexicon and the curve are fitted on, about, at most.
 MAX_TRAINING = 20_000
@@ -131,7 +131,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(toxic) + len(clean) > 500_000:  # hand over what is gathered; sums are made after the shuffle
             yield _frame(toxic, clean)
             toxic, clean = Counter(), Counter()
-    yield _frame(toxic, clean)
+    if toxic or clean:
+        yield _frame(toxic, clean)
 
 
 def _frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
@@ -152,7 +153,8 @@ def _context(lexicon):
                     found |= {folded[k : after + 1]} if after > 0 else set()
                     found |= {folded[before : end + 1]} if before >= 0 else set()
                 (toxic if label else clean).update(found)
-            yield _frame(toxic, clean)
+            if toxic or clean:
+                yield _frame(toxic, clean)
 
     return run
 
@@ -196,12 +198,18 @@ def _entries(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     return {r["entry"]: r["weight"] for r in best.orderBy(F.desc("g2"), "entry").limit(MAX_ENTRIES).collect()}
 
 
-def train(labelled: DataFrame) -> Lexicon:
-    """A lexicon from rows of ``doc_id, text, label`` (0 or 1)."""
-    bound_batches(labelled.sparkSession)
-    rows = labelled.where("label is not null").select("doc_id", "text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fold"))
-    sample = materialise(hash_sample(rows, "label", MAX_TRAINING).withColumn("fold", F.pmod(key, F.lit(3))).repartition(24, key), "labelled")
+def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """A lexicon from the texts of ``docs`` and rows of ``doc_id, label`` (0 or 1).
+
+    Labels are matched and sampled by id alone; only the texts of the sample move.
+    """
+    bound_batches(docs.sparkSession)
+    marks = labels.where("label is not null").select(F.col("doc_id").alias("_label_id"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
+    known = docs.select("doc_id").join(marks, F.col("doc_id") == F.col("_label_id")).select("doc_id", "label").distinct()
+    chosen = materialise(hash_sample(known, "label", MAX_TRAINING).withColumnRenamed("doc_id", "_chosen"), "chosen")
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold"))
+    texts = docs.select("doc_id", "text").join(hinted(chosen, 32), F.col("doc_id") == F.col("_chosen"))
+    sample = materialise(texts.select("text", "label", F.pmod(key, F.lit(3)).alias("fold")).repartition(24, key), "labelled")
     fit, tune = sample.where("fold < 2"), sample.where("fold = 2")
     n = defaultdict(int, {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()})
     if not n[0] or not n[1]:
@@ -234,9 +242,8 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Lexicon:
     """A lexicon from the labels of those ``docs`` that are not held out."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_label_id"), F.col("toxic").alias("label"))
-    own = docs.where(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", "text")
-    return train(own.join(labels, F.col("doc_id") == F.col("_label_id")).drop("_label_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return train(docs.where(crc_mod(F.col("doc_id"), 4) != 2), labels)
 
 
 #: Score from which a document counts as toxic.
