@@ -2,5 +2,292 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import views as V
+from lodestone.operators import metrics as M
+from lodestone.operators import queue as Q
+from lodestone.operators import retrieval as R
+from lodestone.operators import structure as S
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str):
+    def put(f):
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return put
+
+
+META = "SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, 'doc://' || source || '/' || doc_id AS uri, lang || ' document ' || doc_id AS title, lang, source, n_chars FROM documents"
+ITEMS = """SELECT doc_id, position, text, CASE WHEN trim(text) = '' THEN 'page_footer' WHEN length(text) <= 60 THEN 'section_header' ELSE 'text' END AS label
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)"""
+CHUNKS = """SELECT doc_id, ord, array_to_string(w[ord * 50 + 1:ord * 50 + 50], ' ') AS content
+FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 50.0) AS BIGINT))) AS ord FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"""
+JOBS = """SELECT event_id AS id, user_id AS source_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'claimed' WHEN 'error' THEN 'dead' ELSE 'succeeded' END AS status, ts, value FROM events"""
+DIST = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))"
+VECTOR = f"""SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT q.vec_id AS query_id, v.vec_id, round(1 / (1 + {DIST}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
+BM25 = """WITH tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents
+), len AS (SELECT doc_id, len(w) AS n FROM tok), st AS (SELECT count(*) AS docs, avg(n) AS al FROM len
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL
+), q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS term FROM benchmark
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), s AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / al))), 5) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+def docs_of(spark, d):
+    return V.table(spark, d, "documents")
+
+
+def vectors_of(spark, d):
+    return V.table(spark, d, "embeddings")
+
+
+def bench_queries(spark, d):
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def searched(spark, d, k=10):
+    v = vectors_of(spark, d)
+    return R.vector_search(v, v.where("vec_id % 100 = 0"), k)
+
+
+def jobs_of(spark, d):
+    return Q.jobs(V.table(spark, d, "events"))
+
+
+@query("doc_filter_list", f"SELECT id, uri, title FROM ({META}) WHERE lang = 'en' AND n_chars > 1000 ORDER BY doc_id LIMIT 50 OFFSET 10")
+def doc_filter_list(spark, d):
+    return V.meta(docs_of(spark, d)).where("lang = 'en' and n_chars > 1000").orderBy("doc_id").offset(10).limit(50).select("id", "uri", "title")
+
+
+@query("doc_name_filter", f"SELECT id, uri FROM ({META}) WHERE lower(uri) LIKE '%src1/%' OR lower(title) LIKE '%document 7%' OR replace(lower(title), ' ', '') LIKE '%frdocument%'")
+def doc_name_filter(spark, d):
+    title = F.lower("title")
+    return V.meta(docs_of(spark, d)).where(F.lower("uri").like("%src1/%") | title.like("%document 7%") | F.replace(title, F.lit(" "), F.lit("")).like("%frdocument%")).select("id", "uri")
+
+
+@query("metadata_json_filter", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
+def metadata_json_filter(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return V.table(spark, d, "events").where(k >= 50).select("event_id", k.alias("k"))
+
+
+@query("chunk_semi_join_filter", f"SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM ({CHUNKS}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY doc_id")
+def chunk_semi_join_filter(spark, d):
+    docs = docs_of(spark, d)
+    kept = V.chunks(docs.join(docs.where("lang = 'de'").select("doc_id"), "doc_id", "left_semi"))
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
+@query("chunk_windows", f"SELECT doc_id, ord, length(content) AS n_chars, md5(content) AS content_md5 FROM ({CHUNKS})")
+def chunk_windows(spark, d):
+    return V.chunks(docs_of(spark, d)).select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+@query("vector_topk", VECTOR)
+def vector_topk(spark, d):
+    return searched(spark, d)
+
+
+@query("vector_topk_filtered_provenance", f"SELECT query_id, vec_id, score, rank, uri, title FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(1 / (1 + {DIST}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))) r LEFT JOIN ({META}) m ON m.doc_id = r.vec_id WHERE rank <= 10")
+def vector_topk_filtered_provenance(spark, d):
+    v, docs = vectors_of(spark, d), docs_of(spark, d)
+    kept = v.join(docs.where("lang = 'en'").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    hits = R.vector_search(kept, v.where("vec_id % 100 = 0"), 10)
+    return hits.join(V.meta(docs).withColumnRenamed("doc_id", "vec_id"), "vec_id", "left").select("query_id", "vec_id", "score", "rank", "uri", "title")
+
+
+@query("fts_bm25_topk", BM25)
+def fts_bm25_topk(spark, d):
+    return R.bm25(docs_of(spark, d), bench_queries(spark, d), 5)
+
+
+@query("phrase_match", "SELECT item_id, doc_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)")
+def phrase_match(spark, d):
+    return R.phrase_match(docs_of(spark, d), V.table(spark, d, "benchmark"))
+
+
+@query("hybrid_rrf_topk", f"""WITH v AS ({VECTOR}), l AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.label = q.label WHERE q.vec_id % 100 = 0),
+f AS (SELECT query_id, vec_id, round(sum(1 / (CAST(60 AS DOUBLE) + rank)), 6) AS score FROM (SELECT query_id, vec_id, rank FROM v UNION ALL SELECT query_id, vec_id, rank FROM l WHERE rank <= 10) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_rrf_topk(spark, d):
+    v = vectors_of(spark, d)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    lexical = R.top(v.select("vec_id", "label").join(q, "label").drop("label"), ["query_id"], ["vec_id"], 10)
+    return R.fuse([searched(spark, d), lexical], "vec_id", 10)
+
+
+@query("picture_dedup", f"SELECT query_id, label, vec_id, score FROM (SELECT r.*, e.label, row_number() OVER (PARTITION BY query_id, e.label ORDER BY score DESC, rank) AS rn FROM ({VECTOR}) r JOIN embeddings e USING (vec_id)) WHERE rn = 1")
+def picture_dedup(spark, d):
+    hits = searched(spark, d).join(vectors_of(spark, d).select("vec_id", "label"), "vec_id")
+    first = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "rank")
+    return hits.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("query_id", "label", "vec_id", "score")
+
+
+@query("section_spans", f"""SELECT doc_id, section, min(position) AS first_pos, max(position) AS last_pos, CAST(sum(CASE WHEN label <> 'page_footer' THEN length(text) ELSE 0 END) AS BIGINT) AS chars
+FROM (SELECT *, CAST(sum(CASE WHEN label = 'section_header' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position) AS BIGINT) AS section FROM ({ITEMS})) GROUP BY doc_id, section""")
+def section_spans(spark, d):
+    return S.section_spans(V.items(docs_of(spark, d))).withColumns({c: F.col(c).cast("long") for c in ("first_pos", "last_pos")})
+
+
+@query("merge_overlapping_ranges", """WITH r AS (SELECT event_id AS id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + 7200 AS hi FROM events),
+f AS (SELECT *, CASE WHEN lo > coalesce(max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS o FROM r),
+i AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY lo, hi, id ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT user_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM i GROUP BY user_id, island""")
+def merge_overlapping_ranges(spark, d):
+    lo = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    r = V.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", lo.alias("lo"), (lo + 7200).alias("hi"))
+    return S.merge_ranges(r, "user_id")
+
+
+@query("caption_prev_picture", f"SELECT doc_id, position, prev_pos FROM (SELECT *, lag(label) OVER w AS pl, lag(position) OVER w AS prev_pos FROM ({ITEMS}) WINDOW w AS (PARTITION BY doc_id ORDER BY position)) WHERE label = 'text' AND pl = 'section_header'")
+def caption_prev_picture(spark, d):
+    return S.previous_item(V.items(docs_of(spark, d)), "text", "section_header").select("doc_id", F.col("position").cast("long").alias("position"), F.col("prev_pos").cast("long").alias("prev_pos"))
+
+
+@query("toc_tree", f"""WITH i AS ({ITEMS}), h AS (SELECT doc_id, position, CASE WHEN length(text) <= 20 THEN 1 ELSE 2 END AS level FROM i WHERE label = 'section_header'),
+l AS (SELECT doc_id, max(position) + 1 AS after FROM i GROUP BY doc_id)
+SELECT h.doc_id, h.position, h.level, coalesce((SELECT min(n.position) FROM h n WHERE n.doc_id = h.doc_id AND n.position > h.position AND n.level <= h.level), l.after) AS end_pos FROM h JOIN l USING (doc_id)""")
+def toc_tree(spark, d):
+    return S.toc(V.items(docs_of(spark, d))).withColumns({c: F.col(c).cast("long") for c in ("position", "end_pos")})
+
+
+@query("ref_chunk_index", f"SELECT doc_id, label, count(*) AS n, array_to_string(list(position ORDER BY position), ',') AS positions FROM ({ITEMS}) GROUP BY doc_id, label")
+def ref_chunk_index(spark, d):
+    g = V.items(docs_of(spark, d)).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("position")).alias("p"))
+    return g.select("doc_id", "label", "n", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query("join_documents_meta", "SELECT d.doc_id, lang, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_documents_meta(spark, d):
+    return docs_of(spark, d).select("doc_id", "lang").join(V.table(spark, d, "labels"), "doc_id", "left").select("doc_id", "lang", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("quality", "toxic")])
+
+
+@query("anti_join_orphans", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_orphans(spark, d):
+    return docs_of(spark, d).select("doc_id").join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("snapshot_diff", """WITH o AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE md5(text) END AS r FROM documents WHERE doc_id % 5 <> 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.r IS NULL THEN 'DELETE' WHEN o.r IS NOT DISTINCT FROM n.r THEN 'UNCHANGED' ELSE 'UPSERT' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+def snapshot_diff(spark, d):
+    rev = docs_of(spark, d).select("doc_id", F.md5("text").alias("rev"))
+    new = rev.where("doc_id % 5 <> 0").withColumn("rev", F.when(F.col("doc_id") % 11 == 0, "changed").otherwise(F.col("rev")))
+    return Q.snapshot_diff(rev.where("doc_id % 7 <> 0"), new, "doc_id", "rev")
+
+
+@query("cascade_closure", "WITH RECURSIVE t AS (SELECT doc_id, doc_id AS root, 0 AS depth FROM documents WHERE doc_id BETWEEN 1 AND 9 UNION ALL SELECT d.doc_id, t.root, t.depth + 1 FROM documents d JOIN t ON d.doc_id // 10 = t.doc_id AND d.doc_id > 9) SELECT * FROM t")
+def cascade_closure(spark, d):
+    ids = docs_of(spark, d).select("doc_id")
+    ids.createOrReplaceTempView("_cascade_ids")
+    return spark.sql("WITH RECURSIVE t AS (SELECT doc_id, doc_id AS root, 0 AS depth FROM _cascade_ids WHERE doc_id BETWEEN 1 AND 9 UNION ALL SELECT d.doc_id, t.root, t.depth + 1 FROM _cascade_ids d JOIN t ON d.doc_id div 10 = t.doc_id AND d.doc_id > 9) SELECT * FROM t")
+
+
+@query("jobs_status_counts", f"SELECT status, count(*) AS n, max(id) AS last_id FROM ({JOBS}) GROUP BY status")
+def jobs_status_counts(spark, d):
+    return jobs_of(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
+@query("jobs_rolling_throughput", f"SELECT source_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-29') AS last_day, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-23') AS last_week, min(id) FILTER (WHERE status = 'queued') AS oldest_queued FROM ({JOBS}) GROUP BY source_id")
+def jobs_rolling_throughput(spark, d):
+    since = lambda t: F.count(F.when(F.col("ts") >= F.expr(f"timestamp_ntz'{t} 00:00:00'"), 1))
+    return jobs_of(spark, d).groupBy("source_id").agg(since("2024-01-29").alias("last_day"), since("2024-01-23").alias("last_week"), F.min(F.when(F.col("status") == "queued", F.col("id"))).alias("oldest_queued"))
+
+
+@query("jobs_claim_order", f"SELECT source_id, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, id) AS rn FROM ({JOBS}) WHERE status = 'queued') WHERE rn = 1")
+def jobs_claim_order(spark, d):
+    return R.top(jobs_of(spark, d).where("status = 'queued'"), ["source_id"], ["ts", "id"], 1).select("source_id", "id")
+
+
+@query("jobs_page", f"SELECT id, source_id, status FROM ({JOBS}) ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 100")
+def jobs_page(spark, d):
+    return jobs_of(spark, d).orderBy(F.desc("ts"), F.desc("id")).offset(100).limit(50).select("id", "source_id", "status")
+
+
+@query("queue_dedup_live", f"SELECT source_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, id) AS rn FROM ({JOBS}) WHERE status IN ('queued', 'claimed')) WHERE rn = 1")
+def queue_dedup_live(spark, d):
+    return R.top(jobs_of(spark, d).where(Q.live()), ["source_id"], ["ts", "id"], 1).select("source_id", "id", "status")
+
+
+@query("lease_reaper", f"SELECT id, CASE WHEN status = 'claimed' AND ts < TIMESTAMP '2024-01-15' THEN 'queued' ELSE status END AS status FROM ({JOBS})")
+def lease_reaper(spark, d):
+    late = (F.col("status") == "claimed") & (F.col("ts") < F.expr("timestamp_ntz'2024-01-15 00:00:00'"))
+    return jobs_of(spark, d).select("id", F.when(late, "queued").otherwise(F.col("status")).alias("status"))
+
+
+@query("sync_state_upsert", "WITH l AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS rn, event_id % 2 AS half FROM events), n AS (SELECT * FROM l WHERE rn = 1 AND half = 1), o AS (SELECT * FROM l WHERE rn = 1 AND half = 0) SELECT user_id, event_id FROM n UNION ALL SELECT user_id, event_id FROM o WHERE user_id NOT IN (SELECT user_id FROM n)")
+def sync_state_upsert(spark, d):
+    e = V.table(spark, d, "events").withColumn("half", F.col("event_id") % 2)
+    last = R.top(e, ["user_id", "half"], [F.desc("ts"), F.desc("event_id")], 1)
+    return Q.upsert(last.where("half = 0").select("user_id", "event_id"), last.where("half = 1").select("user_id", "event_id"), "user_id")
+
+
+@query("failure_streaks", f"WITH j AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, id) - row_number() OVER (PARTITION BY source_id, status = 'dead' ORDER BY ts, id) AS g FROM ({JOBS})) SELECT source_id, count(*) AS streak, min(id) AS first_id FROM j WHERE status = 'dead' GROUP BY source_id, g")
+def failure_streaks(spark, d):
+    return Q.failure_streaks(jobs_of(spark, d))
+
+
+@query("scoped_replace_merge", "SELECT doc_id, source, length(text) AS n FROM documents WHERE source <> 'src1' UNION ALL SELECT doc_id, source, 1 FROM documents WHERE source = 'src1' AND doc_id % 2 = 0")
+def scoped_replace_merge(spark, d):
+    docs = docs_of(spark, d).select("doc_id", "source", F.length("text").cast("long").alias("n"))
+    return docs.where("source <> 'src1'").unionByName(docs.where("source = 'src1' and doc_id % 2 = 0").withColumn("n", F.lit(1).cast("long")))
+
+
+@query("version_history_tags", "SELECT event_type AS tbl, event_id AS version, rn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 5")
+def version_history_tags(spark, d):
+    return R.top(V.table(spark, d, "events"), ["event_type"], [F.desc("event_id")], 5).select(F.col("event_type").alias("tbl"), F.col("event_id").alias("version"), F.col("rank").alias("rn"))
+
+
+@query("centroids", "SELECT label, i, round(sum(CAST(x AS DOUBLE)) / count(*), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+def centroids(spark, d):
+    x = vectors_of(spark, d).select("label", F.posexplode("embedding").alias("i", "x"))
+    return x.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double")) / F.count("*"), 5).alias("mean")).select("label", F.col("i").cast("long").alias("i"), "mean")
+
+
+@query("content_hash_dups", "SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def content_hash_dups(spark, d):
+    return docs_of(spark, d).groupBy(F.md5("text").alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("metric_retrieval", f"""WITH run AS ({BM25}), rel AS (SELECT item_id AS query_id, doc_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)),
+n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id),
+hit AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM run JOIN rel USING (query_id, doc_id)),
+per AS (SELECT query_id, sum(nth / CAST(rank AS DOUBLE)) AS s, sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS h, sum(CASE WHEN rank <= 3 THEN 1 / log2(CAST(rank AS DOUBLE) + 1) ELSE 0 END) AS g FROM hit GROUP BY query_id)
+SELECT query_id, round(coalesce(s / n_rel, 0), 6) AS ap, round(CAST(coalesce(h / CAST(n_rel AS DOUBLE), 0) AS DOUBLE), 6) AS recall,
+  round(coalesce(g / list_sum(list_transform(range(1, least(n_rel, 3) + 1), lambda r: 1 / log2(CAST(r AS DOUBLE) + 1))), 0), 6) AS ndcg FROM n LEFT JOIN per USING (query_id)""")
+def metric_retrieval(spark, d):
+    run = R.bm25(docs_of(spark, d), bench_queries(spark, d), 5)
+    rel = R.phrase_match(docs_of(spark, d), V.table(spark, d, "benchmark")).withColumnRenamed("item_id", "query_id")
+    return M.ranked_metrics(run, rel, 3)
+
+
+@query("conversation_rates", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS convs, round(avg(length(text)), 6) AS mean_chars FROM conversations GROUP BY role")
+def conversation_rates(spark, d):
+    return V.table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("convs"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+
+
+@query("conversation_group", "SELECT conv_id, count(*) AS n, array_to_string(list(role ORDER BY turn, role), '>') AS roles FROM conversations GROUP BY conv_id")
+def conversation_group(spark, d):
+    g = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return g.select("conv_id", "n", F.array_join(F.transform("r", lambda x: x["role"]), ">").alias("roles"))
+
+
+@query("migration_key_rename", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS canonical_k FROM events WHERE props LIKE '%\"k\"%'")
+def migration_key_rename(spark, d):
+    return V.table(spark, d, "events").where(F.col("props").like('%"k"%')).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("canonical_k"))
+
+
+@query("integrity_report", "SELECT 'documents without labels' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'labels without documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'zero vectors', count(*) FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) = 0")
+def integrity_report(spark, d):
+    docs, labels = docs_of(spark, d).select("doc_id"), V.table(spark, d, "labels").select("doc_id")
+    line = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    zero = vectors_of(spark, d).where(F.forall("embedding", lambda x: x == 0))
+    return line("documents without labels", docs.join(labels, "doc_id", "left_anti")).unionByName(line("labels without documents", labels.join(docs, "doc_id", "left_anti"))).unionByName(line("zero vectors", zero))
