@@ -57,3 +57,22 @@ def fuse(ranked: list[DataFrame], key: str, k: int, constant: int = 60) -> DataF
 def phrase_match(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """``item_id, doc_id`` where the text of an item stands in a document."""
     return docs.join(sized(phrases), F.contains(docs["text"], phrases["text"]) & (phrases["text"] != "")).select("item_id", "doc_id")
+
+
+def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best candidates ``query_id, doc_id`` by the share of the query's distinct tokens that the text has."""
+    q = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q"))
+    both = candidates.select("query_id", "doc_id").join(q, "query_id").join(docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("d")), "doc_id")
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("q", "d")), F.size("q")), F.lit(0.0))
+    return top(both.select("query_id", "doc_id", F.round(share, 6).alias("score")), ["query_id"], [F.desc("score"), "doc_id"], k)
+
+
+def first_seen(hits: DataFrame, key: str, order: list) -> DataFrame:
+    """Each ``key`` where it came first."""
+    return hits.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def distinct_ranked(hits: DataFrame, key: str) -> DataFrame:
+    """Hits of a query without repeats of ``key``, ranked anew."""
+    kept = top(hits.withColumnRenamed("rank", "_old"), ["query_id", key], ["_old"], 1).drop("rank")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_old")).cast("long")).drop("_old")
