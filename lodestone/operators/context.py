@@ -76,14 +76,14 @@ def group_ranges(ranges: DataFrame) -> DataFrame:
 
 
 def build(grouped: DataFrame, near: DataFrame, max_chars: int) -> DataFrame:
-    """One expanded result for each ``doc_id, grp``, clipped to the budget around the evidence of its best member.
+    """One expanded result for each ``doc_id, grp``, with its ``set``, clipped to the budget around the evidence of its best member.
 
     ``refs``, ``pages`` and ``labels`` are those of the items that survive the clip; ``lost`` says that some member
     has none of its refs among them.
     """
     by, m = ["doc_id", "grp"], max_chars
     member = F.struct("lo", "seq", "result_id", "score", F.coalesce("content", F.lit("")).alias("content"), "refs", "pages", "labels")
-    groups = grouped.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(member)).alias("members"))
+    groups = grouped.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("set").alias("set"), F.sort_array(F.collect_list(member)).alias("members"))
     inside = near.join(groups.select(*by, "lo", "hi"), "doc_id").where(F.col("position").between(F.col("lo"), F.col("hi")))
     full = F.length("text") > 0
     inside = inside.where(~(F.col("structured") & F.col("label").isin(*NOISE)) & (full | (F.col("label") == "picture")))
@@ -107,7 +107,7 @@ def build(grouped: DataFrame, near: DataFrame, max_chars: int) -> DataFrame:
     g = g.withColumn("from_items", F.expr("if(own, best.pages, flatten(transform(kept, s -> coalesce(s.pages, cast(array() as array<int>)))))"))
     added = "flatten(transform(filter(members, r -> size(r.refs) > 0 and size(r.pages) > 0 and size(array_except(r.refs, live)) = 0), r -> r.pages))"
     return g.select(
-        *by, F.col("best.result_id").alias("result_id"), F.expr("array_distinct(transform(members, r -> r.result_id))").alias("result_ids"), F.expr("array_min(transform(members, r -> r.seq))").alias("seq"),
+        *by, "set", F.col("best.result_id").alias("result_id"), F.expr("array_distinct(transform(members, r -> r.result_id))").alias("result_ids"), F.expr("array_min(transform(members, r -> r.seq))").alias("seq"),
         F.expr("array_max(transform(members, r -> r.score))").alias("score"), F.expr("if(clipped, substring(base, cast(win_a + 1 as int), cast(win_z - win_a as int)), base)").alias("content"),
         F.expr("if(size(live) > 0, live, best.refs)").alias("refs"), F.expr(f"sort_array(array_distinct(concat(from_items, {added})))").alias("pages"),
         F.expr("sort_array(array_distinct(if(own, best.labels, filter(transform(kept, s -> s.label), l -> l <> ''))))").alias("labels"),
@@ -119,16 +119,18 @@ def expand(results: DataFrame, items: DataFrame, max_chars: int) -> DataFrame:
     """Expanded results, best first: ``doc_id, result_id, result_ids, seq, score, content, refs, pages, labels``.
 
     Overlapping ranges of a document become one result, unless the clip would leave a member without any of its
-    evidence; then each member of that group is built by itself.
+    evidence; then each member of that group stands by itself. Both forms are built in one pass over the items.
     """
     matched = resolve(results, items)
     near = fetched(items, matched)
     ranges = results.join(expansion_ranges(matched, near, max_chars), ["doc_id", "result_id"])
-    grouped = group_ranges(ranges)
-    merged = build(grouped, near, max_chars)
-    split = grouped.join(merged.where("lost").select("doc_id", "grp"), ["doc_id", "grp"], "left_semi")
-    single = build(split.withColumn("grp", F.col("result_id")), near, max_chars)
+    alone = F.struct(F.lit(False).alias("shared"), F.lit(0).cast("long").alias("nr"), F.col("result_id").cast("string").alias("only"))
+    shared = F.struct(F.lit(True).alias("shared"), F.col("grp").alias("nr"), F.lit("").alias("only"))
+    both = group_ranges(ranges).withColumn("set", F.col("grp")).withColumn("grp", F.explode(F.array(shared, alone)))
+    built = build(both, near, max_chars).withColumn("shared", F.col("grp.shared"))
+    split = F.max(F.col("shared") & F.col("lost")).over(Window.partitionBy("doc_id", "set"))
+    chosen = built.withColumn("split", split).where(F.col("shared") != F.col("split"))
     plain = results.join(matched.select("doc_id", "result_id").distinct(), ["doc_id", "result_id"], "left_anti").withColumn("result_ids", F.array("result_id"))
     cols = ["doc_id", "result_id", "result_ids", "seq", "score", "content", "refs", "pages", "labels"]
-    out = merged.where("not lost").select(*cols).unionByName(single.select(*cols)).unionByName(plain.select(*cols))
+    out = chosen.select(*cols).unionByName(plain.select(*cols))
     return out.orderBy(F.desc("score"), "doc_id", "seq")
