@@ -113,3 +113,16 @@ def byte_label(n: Column) -> Column:
 def version_key(text: Column) -> Column:
     """The numbers of a version as an array, which compares as versions do."""
     return F.transform(F.split(F.regexp_replace(text, "^v", ""), r"\."), lambda x: F.regexp_extract(x, r"^(\d+)", 1).try_cast("int"))
+
+
+def agent_text(chunk_id: Column, score: Column, rank: Column, total: Column, title: Column, headings: Column, labels: Column, captions: Column, content: Column) -> Column:
+    """A search result as text for a model: place or score, source, kind, captions, content. Null parts are left out."""
+    place = F.when(rank.isNull(), F.format_string("(score: %.2f)", score.cast("double"))).when(total.isNull(), F.concat(F.lit("[rank "), rank.cast("string"), F.lit("]")))
+    place = place.otherwise(F.concat(F.lit("[rank "), rank.cast("string"), F.lit(" of "), total.cast("string"), F.lit("]")))
+    named = F.when(title != "", F.concat(F.lit('"'), title, F.lit('"')))
+    path = F.when(F.size(headings) > 0, F.array_join(headings, " > "))
+    source = F.when(named.isNotNull() | path.isNotNull(), F.concat(F.lit("Source: "), F.concat_ws(" > ", named, path)))
+    kind = F.concat(F.lit("Type: "), primary_label(labels))
+    told = F.filter(F.map_entries(captions), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    figures = F.transform(told, lambda e: F.concat(F.lit("Figure caption ("), e["key"], F.lit("): "), e["value"]))
+    return F.concat_ws("\n", F.concat(F.lit("["), chunk_id, F.lit("] "), place), source, kind, figures, F.concat(F.lit("Content:\n"), F.coalesce(content, F.lit(""))))

@@ -43,3 +43,32 @@ def toc(items: DataFrame) -> DataFrame:
     last = items.groupBy("doc_id").agg((F.max("position") + 1).alias("after"))
     stop = F.when(F.col("level") == 1, F.col("next_top")).otherwise(F.col("next_any"))
     return ends.join(last, "doc_id").select("doc_id", "position", "level", F.coalesce(stop, "after").alias("end_pos"))
+
+
+def outline(items: DataFrame, deepest: int = 9) -> DataFrame:
+    """``doc_id, position, level, text, parent_pos, end_pos`` of headers that have a level.
+
+    A section ends at the next header that is not deeper, or after the last item; its parent is the nearest earlier header
+    that is less deep. Levels beyond ``deepest`` nest like that one.
+    """
+    heads = items.where("label = 'section_header' and level > 0").select("doc_id", "position", "level", "text").withColumn("_l", F.least("level", F.lit(deepest)))
+    order = Window.partitionBy("doc_id").orderBy("position")
+    after, before = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    ends, parents = F.when(F.lit(False), 0), F.when(F.lit(False), 0)
+    for n in range(1, deepest + 1):
+        ends = ends.when(F.col("_l") == n, F.min(F.when(F.col("_l") <= n, F.col("position"))).over(after))
+        parents = parents.when(F.col("_l") == n, F.max(F.when(F.col("_l") < n, F.col("position"))).over(before))
+    last = items.groupBy("doc_id").agg((F.max("position") + 1).alias("_after"))
+    return heads.select("doc_id", "position", "level", "text", parents.alias("parent_pos"), ends.alias("_end")).join(last, "doc_id").withColumn("end_pos", F.coalesce("_end", "_after")).drop("_end", "_after")
+
+
+def backfill_levels(items: DataFrame, again: DataFrame) -> DataFrame:
+    """``items`` with the ``level`` that an extraction made ``again`` gives for the same reference.
+
+    Documents of which the two have different numbers of items keep their levels.
+    """
+    count = [d.groupBy("doc_id").agg(F.count("*").alias(n)) for d, n in ((items, "_a"), (again, "_b"))]
+    same = count[0].join(count[1], "doc_id").where("_a = _b").select("doc_id")
+    new = again.join(same, "doc_id", "left_semi").groupBy("doc_id", "self_ref").agg(F.max("level").alias("_level"), F.lit(True).alias("_new"))
+    old = items if "level" in items.columns else items.withColumn("level", F.lit(None).cast("int"))
+    return old.join(new, ["doc_id", "self_ref"], "left").withColumn("level", F.when(F.col("_new"), F.col("_level")).otherwise(F.col("level"))).drop("_level", "_new")
