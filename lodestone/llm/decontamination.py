@@ -98,7 +98,8 @@ def _paired(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
 def phrase_hits(index: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
     """``row_id, pos, item``: document words inside an occurrence of an item window."""
     pairs = materialise(anchors(terms, index, window), "anchors")
-    aligned = _paired(index, pairs, 0).where(F.col("shift") + F.col("low") >= 0)
+    length = F.least(F.lit(window), F.col("n_terms"))
+    aligned = _paired(index, pairs, 0).where(F.col("shift") + F.col("high") - length + 1 >= 0)  # the document may begin after the first windows of a stretch
     stretch = aligned.select("row_id", "item", "variant", "n_terms", "shift", F.explode(F.sequence("low", "high")).alias("at")).distinct()
     wanted = stretch.join(hinted(terms.select("variant", "at", "term").distinct(), 96), ["variant", "at"]).withColumn("pos", F.col("shift") + F.col("at"))
     wanted = materialise(wanted, "aligned")

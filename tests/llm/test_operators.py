@@ -114,6 +114,17 @@ def test_decontamination(spark, edge, empty):
     assert decontamination.proximity_hits(index, terms, slop=2).count() == 1 and decontamination.phrase_hits(index, terms).count() == 0
 
 
+def test_decontamination_of_a_document_that_begins_inside_an_item(spark):
+    w = [f"t{i}" for i in range(12)]
+    common = " ".join(x for x in w if x not in ("t5", "t7"))  # so that words 5 and 7 are the rarest of every window
+    texts = [" ".join(w[2:]), *[f"{common} x"] * 6, " ".join(w[1:11]), " ".join(w[:10]), " ".join(w[3:])]
+    bench = [(1, " ".join(w))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame(bench, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in got] == [brute_hits(t, bench) for t in texts]
+    assert [r["contaminated"] for r in got] == [True, *[False] * 6, True, True, False]
+
+
 def test_mixing(spark, edge, empty):
     assert mixing.exponent_for([100, 100], max_repeats=2) == 0.0
     w = mixing.weights([900, 50, 50], mixing.exponent_for([900, 50, 50], target_entropy=0.9))
