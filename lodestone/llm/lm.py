@@ -7,8 +7,13 @@ estimates, weighted half against the product of the probabilities of the longer
 contexts, give every node its weight against its continuations, so a prediction
 mixes the estimates of all depths along the context. With the statistics frozen
 after training, the mixture of each (deepest node, byte) is a table, and a text's
-log probability is a sum of look-ups. Contexts that the bounded tree does not
-hold are one further continuation of their node, with the counts that are left.
+log probability is a sum of look-ups.
+
+Every context of the training texts up to ``DEPTH`` bytes is a node. Weights and
+mixtures of all nodes are tables of Spark, made level by level. The most frequent
+contexts, ``NODES`` at most, are sent to the workers with their mixtures; bytes
+after other contexts are counted by document and joined with the mixtures after
+a shuffle, as rare words are, so ``NODES`` changes the cost and not the score.
 
 The base score is a smoothed unigram of words over exact counts of all training
 tokens. Words are counted in each task, then by a 64-bit hash of the word. The
@@ -29,14 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytecontext import HELD, ContextTree, GramCounter, encoded, grams, pieces, tree
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import bound_batches, materialise, table
+from lodestone.llm.workspace import bound_batches, hinted, materialise, table
 
-#: Longest context and nodes of the tree.
+#: Longest context, and contexts whose mixtures are sent to the workers, at most.
 DEPTH, NODES = 4, 16_384
 #: Binary decisions that the driver computes at a time, to hold little.
 SLICE = 16
@@ -85,24 +90,94 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
 
 
-def weighted_log2(contexts: ContextTree, counts: np.ndarray) -> np.ndarray:
-    """log2 of the mixture's probability of each byte, by deepest node."""
+def _log_gamma(x: Column) -> Column:
+    """``log_gamma`` as an expression."""
+    y = x + 6
+    shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - shift
+
+
+def _shorter(depth: int) -> Column:
+    """The last ``depth`` bytes of a context."""
+    return F.col("ctx").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
+
+
+def _decisions(codes: DataFrame, *kept: str) -> DataFrame:
+    """``ctx, dec, one`` (and ``kept``): the eight binary decisions of each gram; ``dec`` is a one and the bits known before."""
+    bits = codes.select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("sym"), *kept, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    return bits.select("ctx", F.expr("shiftleft(1, bit) | shiftright(sym, 8 - bit)").alias("dec"), F.expr("shiftright(sym, 7 - bit) & 1").alias("one"), *kept)
+
+
+def context_weights(codes: DataFrame) -> list[DataFrame]:
+    """By depth, ``ctx, dec, n0, n1, longer, kt, total`` of every context and every decision after it, from ``code, n``."""
+    at = _decisions(codes, "n").groupBy("ctx", "dec").agg(F.sum(F.col("n") * (1 - F.col("one"))).alias("n0"), F.sum(F.col("n") * F.col("one")).alias("n1"), F.lit(0.0).alias("longer"))
+    out = []
+    for depth in range(DEPTH, -1, -1):
+        kt, longer = F.col("kt"), F.col("longer")
+        at = at.withColumn("kt", _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - _log_gamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi))
+        mixed = F.greatest(kt, longer) + F.log1p(F.exp(-F.abs(kt - longer))) - math.log(2)
+        at = materialise(at.withColumn("total", kt if depth == DEPTH else mixed), "weights")
+        out.insert(0, at)
+        if depth:
+            at = at.groupBy(_shorter(depth - 1).alias("ctx"), "dec").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("total").alias("longer"))
+    return out
+
+
+def context_mixtures(weights: list[DataFrame]) -> list[DataFrame]:
+    """By depth, ``ctx, dec, p``: the mixture's probability of a one where no longer context is known."""
+    out, above = [], None
+    for depth, at in enumerate(weights):
+        stop = F.lit(1.0) if depth == DEPTH else 1 / (1 + F.exp(F.least(F.lit(60.0), F.greatest(F.lit(-60.0), F.col("longer") - F.col("kt")))))
+        at = at.select("ctx", "dec", stop.alias("stop"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("own"))
+        if above is None:
+            at = at.withColumns({"gathered_": F.lit(0.0), "reach_": F.lit(1.0)})
+        else:
+            up = above.select(F.col("ctx").alias("up"), "dec", F.col("gathered").alias("gathered_"), F.col("reach").alias("reach_"))
+            at = at.withColumn("up", _shorter(depth - 1)).join(up, ["up", "dec"])
+        gathered = F.col("gathered_") + F.col("reach_") * F.col("stop") * F.col("own")
+        above = materialise(at.select("ctx", "dec", gathered.alias("gathered"), (F.col("reach_") * (1 - F.col("stop"))).alias("reach")), "mixtures")
+        out.append(above.select("ctx", "dec", (F.col("gathered") + 0.5 * F.col("reach")).alias("p")))
+    return out
+
+
+def gram_bits(codes: DataFrame, mixtures: list[DataFrame]) -> DataFrame:
+    """``code, bits``: log2 of the mixture's probability of each gram, from its deepest known context."""
+    d = _decisions(codes, "code")
+    for depth, m in enumerate(mixtures):
+        m = m.select(F.col("ctx").alias("c"), F.col("dec").alias("d"), F.col("p").alias(f"p_{depth}"))
+        d = d.join(hinted(m, 48), (_shorter(depth) == F.col("c")) & (F.col("dec") == F.col("d")), "left").drop("c", "d")
+    p = F.coalesce(*[F.col(f"p_{depth}") for depth in range(DEPTH, -1, -1)], F.lit(0.5))
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
+    return d.groupBy("code").agg(F.sum(F.log2(F.when(F.col("one") == 1, p).otherwise(1 - p))).alias("bits"))
+
+
+def unsent(contexts: ContextTree, weights: list[DataFrame]) -> np.ndarray:
+    """By node and decision, the weights of the next longer contexts that are not nodes."""
+    out = np.zeros((contexts.n, 256), np.float32)
+    nodes = weights[0].sparkSession.createDataFrame(pd.DataFrame({"depth": contexts.depth, "ctx": contexts.ctx}))
+    for depth in range(1, DEPTH + 1):
+        own, up = (F.broadcast(nodes.where(F.col("depth") == d).select("ctx")) for d in (depth, depth - 1))
+        rest = weights[depth].select("ctx", "dec", "total").join(own, "ctx", "left_anti").select(_shorter(depth - 1).alias("ctx"), "dec", "total").join(up, "ctx")
+        r = rest.groupBy("ctx", "dec").agg(F.sum("total").alias("w")).toArrow().to_pandas()  # the nodes bound these rows
+        at = np.array([contexts.number[depth - 1, c] for c in r["ctx"].astype(int)], np.int64)
+        out[at, r["dec"].to_numpy(np.int64)] = r["w"].to_numpy(np.float32)
+    return out
+
+
+def weighted_log2(contexts: ContextTree, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """log2 of the mixture's probability of each byte, by deepest node; ``others`` are the weights of contexts that are not nodes."""
     n, out = contexts.n, np.zeros((contexts.n, 256), np.float32)
-    inner = np.zeros(n, bool)
-    inner[contexts.parent[1:]] = True
+    inner = contexts.depth < DEPTH
     levels = [np.flatnonzero(contexts.depth == d) for d in range(contexts.most + 1)]
-    children = np.zeros((n, 256), np.float32)
-    np.add.at(children, contexts.parent[1:], counts[1:])
-    rest = np.maximum(counts - children, 0)
     block = lambda c: log_gamma(c[..., 0] + 0.5) + log_gamma(c[..., 1] + 0.5) - log_gamma(c.sum(-1) + 1) - math.log(math.pi)
     one = lambda c: (c[..., 1] + 0.5) / (c.sum(-1) + 1)
     for bit in range(8):  # the decisions after `bit` known bits: 2 ** bit of them, some at a time
         wide = 256 >> bit
         for low in range(0, 2**bit, SLICE):
             cut = slice(low * wide, min(2**bit, low + SLICE) * wide)
-            own, left = (c[:, cut].reshape(n, -1, 2, wide // 2).sum(3, dtype=np.float64) for c in (counts, rest))
-            kt, p_own, p_left = block(own), one(own), one(left)
-            longer = np.where(inner[:, None], block(left), 0.0)
+            own = counts[:, cut].reshape(n, -1, 2, wide // 2).sum(3, dtype=np.float64)
+            kt, p_own = block(own), one(own)
+            longer = others[:, 2**bit + low : 2**bit + min(2**bit, low + SLICE)].astype(np.float64)
             total = kt.copy()
             for at in reversed(levels):
                 here = at[inner[at]]
@@ -115,7 +190,7 @@ def weighted_log2(contexts: ContextTree, counts: np.ndarray) -> np.ndarray:
                 p = contexts.parent[at]
                 gathered[at] = gathered[p] + reach[p] * stop[p] * p_own[p]
                 reach[at] = reach[p] * (1 - stop[p])
-            bit_one = np.clip(gathered + reach * (stop * p_own + (1 - stop) * p_left), 1e-9, 1 - 1e-9)
+            bit_one = np.clip(gathered + reach * (stop * p_own + (1 - stop) * 0.5), 1e-9, 1 - 1e-9)
             both = np.log2(np.stack([1 - bit_one, bit_one], -1)).astype(np.float32)
             out[:, cut] += np.repeat(both.reshape(n, -1), wide // 2, axis=1)
     return out
@@ -140,8 +215,12 @@ class _Known(dict):
 class Model:
     """What the workers need: the tree with its table, and the head of the vocabulary."""
 
-    def __init__(self, contexts: ContextTree | None, log2: np.ndarray | None, keys: np.ndarray, counts: np.ndarray, texts: int, tokens: int, types: int):
-        self.contexts, self.log2 = contexts, None if log2 is None else log2.ravel()
+    def __init__(
+        self, contexts: ContextTree | None, log2: np.ndarray | None, mixtures: list[DataFrame], keys: np.ndarray, counts: np.ndarray, texts: int, tokens: int, types: int
+    ):
+        if mixtures:  # there are other contexts: only after a whole one is the mixture sure to be that of the node
+            log2[contexts.depth < DEPTH] = math.nan
+        self.contexts, self.log2, self.mixtures = contexts, None if log2 is None else log2.ravel(), mixtures
         self.tokens, self.types, self.texts = tokens, types, texts
         self.keys, self.logs = keys, np.log10((counts + 0.5) / self.scale())
         self._known = None
@@ -150,7 +229,7 @@ class Model:
         return self.tokens + 0.5 * (self.types + 1)
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": None}
+        return self.__dict__ | {"_known": None, "mixtures": []}
 
     def known(self) -> _Known:
         if self._known is None:
@@ -158,16 +237,26 @@ class Model:
         return self._known
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text."""
+        """log10 of the probability of each text, without the bytes that ``rare`` gives."""
         out = np.zeros(len(texts))
         if self.contexts is None:
             return np.array([-8.0 * len(t) for t in texts]) * math.log10(2)
         for flat, at, owner in pieces(texts, DEPTH):
-            bits = self.log2[self.contexts.cells(flat, at)]
+            bits = np.nan_to_num(self.log2[self.contexts.cells(flat, at)])
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             np.add.at(out, owner[first], np.add.reduceat(bits, first, dtype=np.float64))
         return out * math.log10(2)
 
+    def rare(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, gram and count of the bytes after contexts that were not sent."""
+        for flat, at, owner in pieces(texts, DEPTH):
+            lost = np.isnan(self.log2[self.contexts.cells(flat, at)])
+            owner, code = owner[lost], grams(flat, at[lost], DEPTH)
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            first = np.flatnonzero(np.r_[len(code) > 0, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])][: len(code)])
+            yield owner[first], code[first], np.diff(np.r_[first, len(code)])
+
     def head(self, text: str | None) -> tuple[int, int, float]:
         """Tokens, tokens known from the head, and their base score, the end token included."""
         words = words_of(text)
@@ -197,17 +286,20 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             break
         least = r["n"]
     head = words.where(F.col("n") >= least).toArrow().to_pandas().sort_values("key")  # HEAD bounds these rows
-    chosen, seen = tree(counts.where(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n"), DEPTH, NODES)
+    codes = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n")
+    chosen, seen = tree(codes, DEPTH, NODES)
     contexts = ContextTree(chosen) if len(chosen) else None
-    log2 = weighted_log2(contexts, contexts.dense(seen)) if contexts else None
+    weights = context_weights(codes) if len(chosen) == NODES else []  # with fewer, the nodes are all contexts
+    others = unsent(contexts, weights) if weights else np.zeros((len(chosen), 256), np.float32)
+    log2 = weighted_log2(contexts, contexts.dense(seen), others) if contexts else None
     tokens, types = int(sums["n"]) + int(texts), int(sums["v"]) + (texts > 0)
-    return Model(contexts, log2, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.float64), int(texts), tokens, types), words
+    return Model(contexts, log2, context_mixtures(weights), head["key"].to_numpy(np.int64), head["n"].to_numpy(np.float64), int(texts), tokens, types), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score, bits_per_byte`` for every row of ``docs``."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # NODES and HEAD bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # NODES and HEAD bound it; the other mixtures stay tables
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
 
     @F.pandas_udf("n_tokens long, n_known long, base double, score double, n_bytes long")
@@ -220,6 +312,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 {"n_tokens": [h[0] for h in head], "n_known": [h[1] for h in head], "base": [h[2] for h in head], "score": own.log10(raw), "n_bytes": [len(r) for r in raw]}
             ).astype({"n_tokens": "int64", "n_known": "int64", "base": "float64", "score": "float64", "n_bytes": "int64"})
 
+    joins_grams = bool(model.mixtures)
+
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
@@ -229,25 +323,35 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 keys += [key] * len(found)
                 words_ += map(hashed, found)
                 n += found.values()
-            yield pd.DataFrame({"row_key": np.array(keys, np.int64), "key": np.array(words_, np.int64), "tf": np.array(n, np.int64)})
+            yield pd.DataFrame({"kind": WORD, "row_key": np.array(keys, np.int64), "key": np.array(words_, np.int64), "tf": np.array(n, np.int64)})
+            for owner, code, tf in own.rare([encoded(t) for t in b["text"]]) if joins_grams else ():
+                yield pd.DataFrame({"kind": GRAM, "row_key": b["row_key"].to_numpy(np.int64)[owner], "key": code, "tf": tf})
 
     scale = model.scale()
-    tail = rows.select("row_key", "text").mapInPandas(tails, "row_key long, key long, tf long").join(words, "key", "left")
-    tail = tail.groupBy("row_key").agg(
-        F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / scale)).alias("tail_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"),
+    tail = rows.select("row_key", "text").mapInPandas(tails, "kind int, row_key long, key long, tf long")
+    known = words.select(F.lit(WORD).alias("kind"), "key", "n", F.lit(None).cast("double").alias("bits"))
+    if joins_grams:
+        tail = materialise(tail, "tails")
+        codes = materialise(tail.where(F.col("kind") == GRAM).select(F.col("key").alias("code")).distinct(), "codes")
+        known = known.unionByName(gram_bits(codes, model.mixtures).select(F.lit(GRAM).alias("kind"), F.col("code").alias("key"), F.lit(None).cast("long").alias("n"), "bits"))
+    word = F.col("kind") == WORD
+    tail = tail.join(known, ["kind", "key"], "left").groupBy("row_key").agg(
+        F.sum(F.when(word, F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / scale))).alias("tail_base"),
+        F.sum(F.when(word & F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"),
+        F.sum(F.col("tf") * F.col("bits")).alias("tail_bits"),
     )
     out = materialise(rows.select("doc_id", "row_key", whole("text").alias("s")).select("doc_id", "row_key", "s.*"), "scores")
     equal = out.groupBy("row_key").agg(F.count("*").alias("equal")).where("equal > 1")
     joined = out.join(tail, "row_key", "left").join(equal, "row_key", "left")
     share = F.coalesce("equal", F.lit(1))
+    total = F.col("score") + F.coalesce(F.col("tail_bits") / share, F.lit(0.0)) * math.log10(2)
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce(F.col("tail_known") / share, F.lit(0)).cast("long")).alias("n_known"),
         (F.col("base") + F.coalesce(F.col("tail_base") / share, F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        total.alias("score"),
+        (-total / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
 
 

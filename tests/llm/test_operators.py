@@ -326,6 +326,17 @@ def test_lm_against_brute_force(spark):
         assert abs(model.log10([t.encode()])[0] - brute_ctw([x.encode() for x in texts], t.encode(), lm.DEPTH)) < 1e-4
 
 
+def test_lm_scores_contexts_beyond_the_sent_ones(spark, monkeypatch):
+    monkeypatch.setattr(lm, "NODES", 9)  # the texts have more contexts
+    texts = ["abab", "abc", "ba", "abcabd", "zé"]
+    docs = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string")
+    model, words_ = lm.train(docs.where("doc_id < 3"))
+    got = [(r["doc_id"], r["score"]) for r in lm.score(docs, model, words_).collect()]
+    assert sorted(i for i, _ in got) == [0, 1, 2, 3, 4, 4]
+    for i, score in got:
+        assert abs(score - brute_ctw([x.encode() for x in texts[:3]], texts[i].encode(), lm.DEPTH)) < 1e-4
+
+
 def test_lm_base(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 3)  # so that most words go through the shuffled join
     model, counts = lm.train(edge.where("doc_id < 8"))
