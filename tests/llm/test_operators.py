@@ -233,24 +233,87 @@ def test_jaccard_blocks():
     assert classes(whole) == classes(half)
 
 
-def test_token_files(spark, edge, empty):
+def token_path(name="word_bpe_49k.json"):
     import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def test_token_files(spark, edge, empty):
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    t, at = Tokenizer.from_file(path), 0
+    path = token_path()
+    t = Tokenizer.from_file(path)
     for docs in (edge, empty):
         out = tokenfiles.scratch(spark, "tok")
         tokenfiles.write_tokens(docs, out, path, 2)
         got = tokenfiles.with_crc32(tokenfiles.read_tokens(spark, out)).orderBy("start").collect()
-        at = 0
-        for r, d in zip(got, sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or "")), strict=True):
+        want = []
+        for d in docs.collect():
             ids = [*t.encode(d["text"] or "", add_special_tokens=False).ids, 2]
-            assert tuple(r) == (d["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-            at += len(ids)
-    hard = ["Don't STOP İstanbul, ΑΣ é ́x <|endoftext|> it's, A\xa0B x y naïve. 12,3.. ...", "ﬁ, ǅ. ß ẞ __a _b. a_", "%%% a%%% 'll we'll."]
-    for text, ids in zip(hard, tokenfiles.encoder(path).encode(hard), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+            want.append((d["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_tokens"], r["ids_crc32"])) for r in got)
+        order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+        assert order == sorted(order) and [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+
+
+def test_tokens_of_any_text_equal_the_tokenizer():
+    import random
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    hard = [
+        "Don't STOP İstanbul, ΑΣ é ́x <|endoftext|> it's, A\xa0B x y naïve. 12,3.. ...", "ﬁ, ǅ. ß ẞ __a _b. a_", "%%% a%%% 'll we'll.", "GAZİ, İ. Dİ! CUMHURİYETİ.. İİ?",
+        "J\u030c, T\u0308. <|ENDOFTEXT|>. \u0958, \u1112\u1161\u11ab. 한글, ﾊﾝｶｸ. ½, ²x. x².", "", None, " \n", "a", "\x00, \x1c. a\x1cb.",
+    ]
+    letters = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    hard += [" ".join(f"a{c}, {c}{c}. X{c}" for c in letters if len(c.lower()) > 1 or c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha())]
+    rng = random.Random(7)
+    near = [c for c in letters if unicodedata.category(c)[0] in "LMNPSZ"]
+    signs = list(".,!?;:%$*&#|'_- \t\n") + ["\u0301", "\u0307", "İ", "Σ", "'s", "'ll", "<|endoftext|>"]
+    for _ in range(4000):
+        hard.append("".join(rng.choice(rng.choice((near, signs, signs, "abcXYZéü"))) for _ in range(rng.randrange(40))))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t, own = Tokenizer.from_file(token_path(name)), tokenfiles.encoder(token_path(name))
+        assert own.wordwise == (name == "word_bpe_49k.json")
+        for _ in range(2):  # the second time from what is kept
+            ids, n = own.encode(pa.array(hard, pa.string()))
+            at = np.cumsum(n) - n
+            for k, text in enumerate(hard):
+                assert ids[at[k] : at[k] + n[k]].tolist() == t.encode(text or "", add_special_tokens=False).ids, ascii(text)
+    parts = list(tokenfiles.portions(pa.record_batch({"text": pa.array(["x" * (tokenfiles.TEXT_BYTES + 1), None, "", "a", "b" * tokenfiles.TEXT_BYTES])})))
+    assert [p.num_rows for p in parts] == [1, 3, 1] or sum(p.num_rows for p in parts) == 5
+    kept = tokenfiles._Kept(2)
+    assert [kept.get_all([b"%d" % i], lambda ks: [k + b"!" for k in ks]) for i in (1, 2, 3, 1, 4, 1)] == [[b"%d!" % i] for i in (1, 2, 3, 1, 4, 1)]
+
+
+def test_token_files_have_indexes_and_prune(spark):
+    docs = spark.range(0, 200_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("a word "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    out = tokenfiles.scratch(spark, "prune")
+    tokenfiles.write_tokens(docs, out, token_path(), 2)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = next(f for f in spark.read.orc(out).inputFiles())
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+    wanted = spark.sparkContext._gateway.new_array(jvm.boolean, 6)
+    wanted[0], wanted[1] = True, True
+    index = reader.rows().readRowIndex(0, wanted, wanted)
+    groups = index.getRowGroupIndex()[1].getEntryCount()  # column 1 is doc_id
+    assert groups > 1 and index.getBloomFilterIndex()[1].getBloomFilterCount() == groups
+    found = tokenfiles.read_tokens(spark, out).where("doc_id = 150000")
+    assert [r["doc_id"] for r in found.collect()] == [150_000] and tokenfiles.read_tokens(spark, out).where("doc_id = 150001").count() == 0
+
+    def scanned(condition):
+        df = spark.read.orc(out).where(condition).select("doc_id", "n_tokens")
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert scanned("doc_id = 150000") <= 2000 and scanned("doc_id between 1000 and 5000") <= 6000  # of 100,000 rows: row groups by range
+    assert scanned("doc_id = 150001") == 0  # between two ids of a row group: the Bloom filter
 
 
 def test_chat(spark, empty):
