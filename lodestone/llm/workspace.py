@@ -9,7 +9,9 @@ master is local (tests).
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 48 * 1024 * 1024
 
 
+#: Rows of one key from which its partner is broadcast, at least, and most of such keys.
+HOT_ROWS, HOT_KEYS = 256, 400_000
+
+_made = threading.local()  # folders of the tables made inside each open ``settled``
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that all executors see; a temporary one only for a local master."""
     sc = spark.sparkContext
@@ -39,10 +47,37 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage."""
     path = scratch(df.sparkSession, tag)
+    for made in getattr(_made, "stack", [])[-1:]:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, tag: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``materialise(build())``; the tables that ``build`` made by ``materialise`` are deleted then, or if it fails."""
+    stack = _made.stack = getattr(_made, "stack", [])
+    stack.append([])
+    path = scratch(spark, tag)
+    try:
+        df = build()
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    finally:
+        for made in stack.pop():
+            remove(spark, made)
+    for made in stack[-1:]:
+        made.append(path)
+    return out
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialised table that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -66,6 +101,21 @@ def hinted(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if small(df, row_bytes, limit) else df
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``classes``, which is materialised, has each of ``keys`` once, and in ``c`` how many rows have them.
+
+    A key of many rows would be one task, so the classes of such keys are broadcast.
+    By ``c`` these are ``HOT_KEYS`` at most; the other keys are joined after a shuffle.
+    """
+    found = classes.agg(F.sum("c"), F.max("c")).first()
+    if (found[1] or 0) < HOT_ROWS:
+        return rows.join(classes.drop("c"), keys, how)
+    hot = F.col("c") >= max(HOT_ROWS, -(-found[0] // HOT_KEYS))
+    often = F.broadcast(classes.where(hot).drop("c"))
+    rest = rows.join(F.broadcast(classes.where(hot).select(*keys)), keys, "left_anti").join(classes.where(~hot).drop("c"), keys, how)
+    return rows.join(often, keys).unionByName(rest)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Let Python workers get few rows and bytes at a time, since texts may be very long.
 

@@ -211,26 +211,55 @@ def test_jaccard(spark, edge, empty, k, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, k, percent)
     out = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_groups(edge, k, percent).collect()}
     assert {(1, 1), (2, 1), (4, 4), (5, 5), (7, 7), (None, None)} <= out
+    big = 2**53 + 1  # neighbours that floats can't tell apart, beside a null id
+    ids = spark.createDataFrame([(big, "a b c d e f"), (big + 1, "g h i j k l"), (None, "a b c d e f"), (big + 2, "g h i j k l")], "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.similar_groups(ids, k, percent).collect()} == {(big, big), (big + 1, big + 1), (None, None), (big + 2, big + 1)}
+    # an id on two texts ties their classes together; a row without words stays by itself
+    tied = [(5, "a b c d e f"), (1, "a b c d e f"), (5, "g h i j k l"), (3, "g h i j k l"), (5, ""), (7, "m n o p q r")]
+    got = jaccard.similar_groups(spark.createDataFrame(tied, "doc_id long, text string"), k, percent).collect()
+    assert sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in got) == [(1, True, 1), (3, True, 1), (5, False, 5), (5, True, 1), (5, True, 1), (7, True, 7)]
     kept = jaccard.one_of_each(edge)
     assert kept.columns == edge.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 1, 4, 5, 6, 7, 8, 9]
     assert jaccard.similar_groups(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
-def test_jaccard_blocks():
-    rng = np.random.default_rng(3)
-    sets = [np.unique(np.r_[np.arange(50), rng.integers(50, 60, 4)]).astype(np.uint64) for _ in range(30)]
-    ids = np.arange(30)
-    whole = jaccard.scan_links(ids, sets, 90)
-    half = jaccard.scan_links(ids[:15], sets[:15], 90) + jaccard.scan_links(ids[15:], sets[15:], 90) + jaccard.scan_links(ids, sets, 90, np.r_[np.zeros(15), np.ones(15)])
-
-    def classes(edges):
-        label = list(range(30))
-        for a, b in edges:
-            low, high = sorted((label[a], label[b]))
-            label = [low if x == high else x for x in label]
-        return label
-
-    assert classes(whole) == classes(half)
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    from lodestone.llm import workspace
+
+    # blocks of few sets, few centres and hot keys, so that every way is taken
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "CENTRES", 2)
+    monkeypatch.setattr(workspace, "HOT_ROWS", 4)
+    rng = np.random.default_rng(5)
+    common = [f"c{x}" for x in range(60)]
+    rows = []
+    for i in range(150):  # one group of shared passages whose members link in chains, in small parts and not at all
+        own = [f"o{i % 9}_{x}" for x in range(int(rng.integers(0, 40)))]
+        w = common + own
+        w[int(rng.integers(0, len(w)))] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[3][1]) for i in range(30)]
+    for k, percent in ((3, 90), (5, 80)):
+        got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, k, percent)
+
+
+def test_names_of_columns_that_operators_use(spark):
+    names = ["lost", "lose", "again", "_lose", "_again", "_bad_id", "_md5", "_id", "_source", "_copies", "_copy", "_m", "_toxicity", "_lang", "toxicity", "bad_id", "md5", "copies", "copy", "v", "root", "item", "term", "row_id", "n_tokens", "block", "epoch"]
+    rows = spark.createDataFrame([(1, "one two three four five six", "en", "a", 6, *names), (2, "one two three four five six", "en", "a", 6, *names), (3, None, None, None, None, *names)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "nine ten"), (2, "three four")], "item_id long, text string")
+    outs = {
+        "jaccard": (jaccard.one_of_each(rows), {1, 3}),
+        "decontamination": (decontamination.drop_contaminated(rows, bench), {3}),
+        "mixing": (mixing.draw(rows, mixing.mix(rows)), {1, 2, 3}),
+        "toxicity": (toxicity.drop_toxic(spark, rows, SF), {1, 2, 3}),
+        "sharding": (sharding.ingest(rows).read(), {1, 2, 3}),
+    }
+    for name, (out, ids) in outs.items():
+        assert out.columns == rows.columns, name
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == ids and all([r[n] for n in names] == names for r in got), name
+    assert [r["_lang"] for r in langid.identify(rows, None).collect()] == ["_lang"] * 3
 
 
 def token_path(name="word_bpe_49k.json"):
