@@ -133,12 +133,41 @@ def test_mixing(spark, edge, empty):
     w = mixing.weights([900, 100], a)
     assert abs(w[1] * mixing.least_budget([900, 100], w) / 100 - 1.5) < 1e-3
     out = mixing.mix(edge)
-    assert out.count() == edge.count() and out.agg(F.min("copies")).first()[0] >= 1
+    assert out.where("epoch = 0").count() == edge.count()
     drawn = mixing.draw(edge, out)
-    assert drawn.columns == edge.columns and drawn.count() >= edge.count()
+    assert drawn.columns == edge.columns and drawn.count() == out.count() >= edge.count()
+    count = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
+    assert count(mixing.draw(edge, out, ordered=True).collect()) == count(drawn.collect()) >= count(edge.collect())
     assert mixing.mix(empty).count() == 0 and mixing.draw(empty, mixing.mix(empty)).count() == 0
 
 
+def test_mixing_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rows = [(i, "w " * (1 + i % 5), "big" if i % 4 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, max_repeats=3.0, budget=6000)
+    got = mixed.collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"], r["epoch"]].append(r)
+    for source in ("big", "small"):
+        whole = [sorted(by[source, e], key=lambda r: (r["block_start"], r["position"])) for e in range(max(e for s, e in by if s == source) + 1)]
+        ids, all_ids = [[r["doc_id"] for r in x] for x in whole], {i for i, _, s in rows if s == source}
+        blocks = [list(dict.fromkeys(r["block"] for r in x)) for x in whole]
+        assert len(whole) >= 2 and all(set(x) == all_ids and len(x) == len(all_ids) for x in ids[:-1]) and set(ids[-1]) <= all_ids
+        assert len({tuple(x) for x in ids}) == len(ids) and len({tuple(x) for x in blocks}) == len(blocks) and len(blocks[0]) > 4  # each epoch is another permutation
+        drawn = sum(r["n_tokens"] for x in whole for r in x)
+        assert whole[0][0]["budget"] - 5 < drawn <= whole[0][0]["budget"]
+        at = 0
+        for x in whole:  # blocks stand one behind another
+            for k, r in enumerate(x):
+                assert r["position"] > 1 or r["block_start"] == at
+                at += r["n_tokens"]
+    out = [r["source"] for r in mixing.draw(docs, mixed, ordered=True).collect()]
+    half = Counter(out[: len(out) // 2])
+    assert len(out) == len(got) and abs(half["small"] / (len(out) // 2) - out.count("small") / len(out)) < 0.1  # the sources interleave
+
+
 def test_quality_statistics(spark, edge, empty):
     got = quality.base_statistics(edge).collect()
     for r in got:
@@ -209,18 +238,24 @@ def test_jaccard(spark, edge, empty, k, percent):
         rows.append((i, " ".join(w)))
     got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, k, percent)
+    if k == 5:
+        return
     out = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_groups(edge, k, percent).collect()}
     assert {(1, 1), (2, 1), (4, 4), (5, 5), (7, 7), (None, None)} <= out
-    big = 2**53 + 1  # neighbours that floats can't tell apart, beside a null id
-    ids = spark.createDataFrame([(big, "a b c d e f"), (big + 1, "g h i j k l"), (None, "a b c d e f"), (big + 2, "g h i j k l")], "doc_id long, text string").coalesce(1)
-    assert {(r["doc_id"], r["component_id"]) for r in jaccard.similar_groups(ids, k, percent).collect()} == {(big, big), (big + 1, big + 1), (None, None), (big + 2, big + 1)}
-    # an id on two texts ties their classes together; a row without words stays by itself
-    tied = [(5, "a b c d e f"), (1, "a b c d e f"), (5, "g h i j k l"), (3, "g h i j k l"), (5, ""), (7, "m n o p q r")]
-    got = jaccard.similar_groups(spark.createDataFrame(tied, "doc_id long, text string"), k, percent).collect()
-    assert sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in got) == [(1, True, 1), (3, True, 1), (5, False, 5), (5, True, 1), (5, True, 1), (7, True, 7)]
     kept = jaccard.one_of_each(edge)
     assert kept.columns == edge.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 1, 4, 5, 6, 7, 8, 9]
-    assert jaccard.similar_groups(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
+    assert jaccard.one_of_each(empty).count() == 0
+
+
+def test_jaccard_of_ids(spark):
+    big = 2**53 + 1  # neighbours that floats can't tell apart, beside a null id
+    rows = [(big, "a2 b2 c2 d2 e2 f2"), (big + 1, "g2 h2 i2 j2 k2 l2"), (None, "a2 b2 c2 d2 e2 f2"), (big + 2, "g2 h2 i2 j2 k2 l2")]
+    # an id on two texts ties their classes together; a row without words stays by itself
+    rows += [(5, "a b c d e f"), (1, "a b c d e f"), (5, "g h i j k l"), (3, "g h i j k l"), (5, ""), (7, "m n o p q r")]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(1, True, 1), (3, True, 1), (5, False, 5), (5, True, 1), (5, True, 1), (7, True, 7), (big, True, big), (big + 1, True, big + 1), (big + 2, True, big + 1)]
+    assert sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in got if r["doc_id"]) == want
+    assert [(r["doc_id"], r["component_id"]) for r in got if not r["doc_id"]] == [(None, None)]
 
 
 def test_jaccard_of_large_groups(spark, monkeypatch):
