@@ -10,22 +10,31 @@ remaining postings fetched; runs of consecutive matches as long as a window are
 exact phrase matches. Work grows with the postings of rare terms and with true
 matches, not with pairs of documents and items.
 
+Proximity matches are windows of an item that a document holds with small changes:
+the two rarest known terms of a window stand within ``SLOP`` words of their distance
+in the item, and eight tenths (``NEAR_TENTHS``) of its words within ``SLOP`` words of
+their places, as these two put them. They are found from the same lists, with the
+offsets of the second term, and of the other words, widened by the slop.
+
 Everything is DataFrame code. The vocabulary and the anchors are broadcast only
 after a count has shown them to be small; otherwise the joins are shuffled.
 
 Defined results: a null or empty text or item has no words, hence no hits; an
-item shorter than a window is one window; rows that repeat a ``doc_id`` are
+item shorter than a window is one window; a window of fewer than two words known to the
+index has no proximity match; rows that repeat a ``doc_id`` are
 separate rows of the result; equal item ids are one item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import NON_WORD, ascii_lower, split_words
-from lodestone.llm.workspace import discard, hinted, materialise, table
+from lodestone.llm.workspace import discard, fresh, hinted, materialise, settled, table
 
+#: Words by which a word of a proximity match may be out of place, and tenths of a window's words that have to be there.
+SLOP, NEAR_TENTHS = 3, 8
 #: Term of the closing posting; no word is empty.
 END = ""
 
@@ -65,8 +74,11 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     return index
 
 
-def anchors(terms: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """For each item, the pairs of rarest terms of its windows and the stretch each pair serves."""
+def anchors(terms: DataFrame, index: DataFrame, window: int, whole: bool = True) -> DataFrame:
+    """For each item, the pairs of rarest terms of its windows and the stretch each pair serves.
+
+    whole: leave out windows with a term that the index doesn't have; else those with fewer than two that it has.
+    """
     counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("freq"))
     length = F.least(F.lit(window), F.col("n_terms"))
     counted = terms.join(counts, "term")
@@ -74,13 +86,14 @@ def anchors(terms: DataFrame, index: DataFrame, window: int) -> DataFrame:
     spread = counted.withColumn("start", F.explode(F.sequence(first, F.least(F.col("at"), F.col("n_terms") - length))))
     one = Window.partitionBy("variant", "start")
     ranked = spread.withColumn("rank", F.row_number().over(one.orderBy("freq", "at"))).withColumn("seen", F.count("*").over(one))
-    whole = ranked.where((F.col("seen") == length) & (F.col("rank") <= 2))  # a term without postings rules its windows out
-    pair = whole.groupBy("item", "variant", "n_terms", "start").agg(
+    known = F.col("seen") == length if whole else F.col("seen") >= 2
+    pair = ranked.where(known & (F.col("rank") <= 2)).groupBy("item", "variant", "n_terms", "start").agg(
         F.min_by(F.struct("at", "term"), "rank").alias("a"), F.max_by(F.struct("at", "term"), "rank").alias("b")
     )
-    return pair.groupBy("item", "variant", "n_terms", F.col("a.at").alias("at_a"), F.col("a.term").alias("term_a"), F.col("b.at").alias("at_b"), F.col("b.term").alias("term_b")).agg(
-        F.min("start").alias("low"), (F.max("start") + F.least(F.lit(window), F.first("n_terms")) - 1).alias("high")
-    )
+    keys = ["item", "variant", "n_terms", F.col("a.at").alias("at_a"), F.col("a.term").alias("term_a"), F.col("b.at").alias("at_b"), F.col("b.term").alias("term_b")]
+    if not whole:  # the windows of a stretch may have gaps
+        return pair.groupBy(*keys).agg(F.sort_array(F.collect_list("start")).alias("starts"))  # as many as a window has words
+    return pair.groupBy(*keys).agg(F.min("start").alias("low"), (F.max("start") + F.least(F.lit(window), F.first("n_terms")) - 1).alias("high"))
 
 
 def _paired(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
@@ -88,11 +101,15 @@ def _paired(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
     rare = pairs.select("term_a").union(pairs.select("term_b")).distinct()
     hits = index.join(hinted(rare, 64), F.col("term") == F.col("term_a"), "left_semi").select("row_id", "pos", "term")
     lead = hits.join(hinted(pairs, 256), F.col("term") == F.col("term_a")).withColumn("shift", F.col("pos") - F.col("at_a")).drop("pos", "term")
-    follow = hits.select(F.col("row_id").alias("row_b"), F.col("pos").alias("pos_b"), F.col("term").alias("term_2"))
-    place = F.col("shift") + F.col("at_b")
-    same = (F.col("row_id") == F.col("row_b")) & (F.col("term_b") == F.col("term_2"))
-    near = F.col("pos_b") == place if slop == 0 else F.abs(F.col("pos_b") - place) <= slop
-    return lead.join(follow, same & near)
+    lead = lead.withColumn("place", F.col("shift") + F.col("at_b"))
+    follow = hits.select(F.col("row_id").alias("row_b"), _widened(slop).alias("pos_b"), F.col("term").alias("term_2"))
+    same = (F.col("row_id") == F.col("row_b")) & (F.col("term_b") == F.col("term_2")) & (F.col("pos_b") == F.col("place"))
+    return lead.join(follow if slop == 0 else follow.distinct(), same)
+
+
+def _widened(slop: int) -> Column:
+    """The places from ``pos - slop`` to ``pos + slop``, a row each."""
+    return F.explode(F.array(*[F.col("pos") + d for d in range(-slop, slop + 1)]))
 
 
 def phrase_hits(index: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
@@ -112,23 +129,37 @@ def phrase_hits(index: DataFrame, terms: DataFrame, window: int = 10) -> DataFra
     return kept.where(F.col("run_length") >= F.least(F.lit(window), F.col("n_terms"))).select("row_id", "pos", "item")
 
 
-def proximity_hits(index: DataFrame, terms: DataFrame, window: int = 10, slop: int = 3) -> DataFrame:
-    """``row_id, item, n_near``: how often the two rarest terms of a window of the
-    item stand in the document within ``slop`` words of their distance in the item."""
-    pairs = materialise(anchors(terms, index, window), "anchors")
-    near = _paired(index, pairs, slop)
-    return near.select("row_id", "item", "shift", "at_a", "at_b", "pos_b").distinct().groupBy("row_id", "item").agg(F.count("*").alias("n_near"))
+def proximity_hits(index: DataFrame, terms: DataFrame, window: int = 10, slop: int = SLOP, tenths: int = NEAR_TENTHS) -> DataFrame:
+    """``row_id, item, n_near``: how many windows of the item the document holds, at least about."""
+    pairs = materialise(anchors(terms, index, window, whole=False), "anchors")
+    seeds = materialise(_paired(index, pairs, slop).select("row_id", "item", "variant", "n_terms", "shift", F.explode("starts").alias("start")).distinct(), "seeds")
+    rows = materialise(seeds.select("row_id").distinct(), "seed_rows")
+    there = index.join(hinted(rows, 16), "row_id", "left_semi").select("row_id", "term", _widened(slop).alias("place")).distinct()
+    length = F.least(F.lit(window), F.col("n_terms"))
+    wanted = seeds.withColumn("at", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)))
+    wanted = wanted.join(hinted(terms.select("variant", "at", "term").distinct(), 96), ["variant", "at"]).withColumn("place", F.col("shift") + F.col("at"))
+    found = wanted.join(there, ["row_id", "term", "place"]).groupBy("row_id", "item", "variant", "n_terms", "shift", "start").agg(F.count("*").alias("n"))
+    near = found.where(10 * F.col("n") >= tenths * length)
+    return near.select("row_id", "item", "variant", "start").distinct().groupBy("row_id", "item").agg(F.count("*").alias("n_near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per document row: ``doc_id, text_md5, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    """Per document row: ``doc_id, text_md5, n_words, n_hit, n_items, items_sha256, contaminated, n_near, n_near_items``.
+
+    n_near, n_near_items: windows, and items, that the document holds exactly or at least about.
+    """
+    return settled(docs.sparkSession, "contamination", lambda: _contamination(docs, items, window))
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     terms = materialise(benchmark_terms(items), "terms")
     index = build_index(docs, terms)
     hits = materialise(phrase_hits(index, terms, window), "hits")
     words = hits.select("row_id", "pos").distinct().groupBy("row_id").agg(F.count("*").alias("n_hit"))
     named = hits.select("row_id", "item").distinct().groupBy("row_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    near = proximity_hits(index, terms, window).groupBy("row_id").agg(F.sum("n_near").alias("n_near"), F.count("*").alias("n_near_items"))
     ends = index.where(F.col("term") == END).select("row_id", "doc_id", "text_md5", F.col("pos").cast("long").alias("n_words"))
-    found = words.join(named, "row_id")
+    found = words.join(named, "row_id").join(near, "row_id", "full")
     listed = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return ends.join(found, "row_id", "left").select(
         "doc_id",
@@ -138,15 +169,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that hold an occurrence of an item window."""
-    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_md5").alias("_bad_md5")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_md5") == F.col("_bad_md5"))
-    keyed = docs.withColumn("_md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    bad_id, bad_md5, md5 = fresh(docs, "bad_id"), fresh(docs, "bad_md5"), fresh(docs, "md5")
+    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_md5").alias(bad_md5)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(md5) == F.col(bad_md5))
+    keyed = docs.withColumn(md5, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return keyed.join(bad, same, "left_anti").drop(md5)
 
 
 def op3_decontamination(spark, sf_dir):
@@ -167,7 +201,23 @@ WITH words AS (
 ), found AS (SELECT d.r, d.n, d.i, b.item_id FROM doc_windows d JOIN item_windows b USING (n, win)
 ), hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r
 ), named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r
+), tokens AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS pos FROM words
+), item_terms AS (SELECT v, item_id, len(w) AS n_terms, n, unnest(w) AS term, unnest(range(len(w))) AS loc FROM (SELECT *, row_number() OVER () AS v FROM (SELECT DISTINCT item_id, w, n FROM sized))
+), vocabulary AS (SELECT DISTINCT term FROM item_terms
+), freqs AS (SELECT term, count(*) AS freq FROM tokens SEMI JOIN vocabulary USING (term) GROUP BY term
+), spread AS (SELECT v, n, term, loc, freq, unnest(range(greatest(0, loc - n + 1), least(loc, n_terms - n) + 1)) AS start FROM item_terms JOIN freqs USING (term)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY v, start ORDER BY freq, loc) AS rank, count(*) OVER (PARTITION BY v, start) AS seen FROM spread
+), pairs AS (SELECT a.v, a.n, a.start, a.loc AS at_a, a.term AS term_a, b.loc AS at_b, b.term AS term_b FROM ranked a JOIN ranked b ON a.v = b.v AND a.start = b.start AND a.rank = 1 AND b.rank = 2
+), listed AS (SELECT tokens.* FROM tokens SEMI JOIN vocabulary USING (term)
+), seeds AS (
+  SELECT DISTINCT a.r, v, n, start, a.pos - at_a AS shift FROM pairs JOIN listed a ON a.term = term_a JOIN listed b ON b.r = a.r AND b.term = term_b AND abs(b.pos - (a.pos - at_a + at_b)) <= 3
+), about AS (
+  SELECT DISTINCT s.r, s.v, s.n, s.start, s.shift, i.loc FROM seeds s JOIN item_terms i ON i.v = s.v AND i.loc >= s.start AND i.loc < s.start + s.n
+  JOIN listed t ON t.r = s.r AND t.term = i.term AND abs(t.pos - (s.shift + i.loc)) <= 3
+), near_windows AS (SELECT DISTINCT r, v, start FROM (SELECT r, v, n, start, shift FROM about GROUP BY ALL HAVING 10 * count(*) >= 8 * n)
+), near AS (SELECT r, count(*) AS n_near, count(DISTINCT item_id) AS n_near_items FROM near_windows JOIN (SELECT DISTINCT v, item_id FROM item_terms) USING (v) GROUP BY r
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0, false) AS contaminated
-FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0, false) AS contaminated,
+       coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items
+FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)
 """

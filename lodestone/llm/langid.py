@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytecontext import HELD, ContextTree, GramCounter, encoded, grams, pieces, tree
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import bound_batches, hash_sample, materialise, table
+from lodestone.llm.workspace import bound_batches, fresh, hash_sample, materialise, table
 
 #: Documents of a language that its tree is learned from, about, at most.
 MAX_TRAINING = 4000
@@ -118,8 +118,9 @@ def identify(docs: DataFrame, languages: Languages | None) -> DataFrame:
             known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
             yield pd.DataFrame({"lang": names[np.where(known, best, len(own.names))], "score": np.where(known, sure, 0.0)})
 
-    out = docs.withColumn("_lang", identified("text"))
-    return out.withColumns({"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}).drop("_lang")
+    told = fresh(docs, "told")
+    out = docs.withColumn(told, identified("text"))
+    return out.withColumns({"lang_pred": F.col(f"{told}.lang"), "score": F.col(f"{told}.score")}).drop(told)
 
 
 def op9_language_id(spark, sf_dir):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import bound_batches, hash_sample, hinted, materialise, table
+from lodestone.llm.workspace import bound_batches, fresh, hash_sample, hinted, materialise, table
 
 #: Labelled documents of each label that the lexicon and the curve are fitted on, about, at most.
 MAX_TRAINING = 20_000
@@ -252,8 +252,8 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` whose score stays under the limit."""
-    scored = score(docs, learned(spark, docs, sf_dir), "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    column = fresh(docs, "toxicity")
+    return score(docs, learned(spark, docs, sf_dir), column).where(F.col(column) < TOXIC).drop(column)
 
 
 def op1_toxicity(spark, sf_dir):

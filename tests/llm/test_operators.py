@@ -109,9 +109,48 @@ def test_decontamination(spark, edge, empty):
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 7, 8, None}
     assert decontamination.contamination(empty, items(spark)).count() == 0
     assert decontamination.drop_contaminated(edge, items(spark).limit(0)).count() == edge.count()
-    terms = decontamination.benchmark_terms(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
-    index = decontamination.build_index(spark.createDataFrame([(1, "alpha x beta gamma"), (2, "gamma")], "doc_id long, text string"), terms)
-    assert decontamination.proximity_hits(index, terms, slop=2).count() == 1 and decontamination.phrase_hits(index, terms).count() == 0
+    assert decontamination.drop_contaminated(empty, items(spark)).count() == 0
+
+
+def brute_near(texts, bench, window=10, slop=3, tenths=8):
+    """Windows and items that each text holds about, by definition."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    docs, out = [word(t) for t in texts], []
+    freq = Counter(x for d in docs for x in d)
+    variants = {(i, tuple(word(t))) for i, t in bench if word(t)}
+    for d in docs:
+        found = set()
+        for i, w in variants:
+            n = min(window, len(w))
+            for s in range(len(w) - n + 1):
+                known = sorted((at for at in range(s, s + n) if freq[w[at]]), key=lambda at: (freq[w[at]], at))
+                if len(known) < 2:
+                    continue
+                a, b = known[:2]
+                for p in range(len(d)):
+                    if d[p] != w[a] or w[b] not in d[max(0, p - a + b - slop) : max(0, p - a + b + slop + 1)]:
+                        continue
+                    there = sum(w[at] in d[max(0, p - a + at - slop) : max(0, p - a + at + slop + 1)] for at in range(s, s + n))
+                    if 10 * there >= tenths * n:
+                        found.add((i, w, s))
+        out.append((len(found), len({i for i, _, _ in found})))
+    return out
+
+
+def test_decontamination_by_proximity(spark):
+    rng = np.random.default_rng(2)
+    bench = [(i, " ".join(f"b{x}" for x in rng.integers(0, 60, int(rng.integers(1, 25))))) for i in range(12)] + [(3, "b1 b2 b3 unknown b5")]
+    texts = [None, "", "b1"]
+    for i in range(60):  # passages with words put in, left out, exchanged and replaced
+        w = bench[i % 12][1].split()
+        for _ in range(i // 12):
+            p = int(rng.integers(0, len(w)))
+            w = [w[:p] + ["x"] + w[p:], w[:p] + w[p + 1 :] or ["y"], w[:p] + [f"b{rng.integers(0, 60)}"] + w[p + 1 :]][int(rng.integers(0, 3))]
+        texts.append(" ".join([*(f"c{x}" for x in range(i % 3)), *w, *(f"b{x}" for x in rng.integers(0, 60, 8))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame(bench, "item_id long, text string")).orderBy("doc_id").collect()
+    want = brute_near(texts, bench)
+    assert [(r["n_near"], r["n_near_items"]) for r in got] == want and sum(n for n, _ in want) > 100
 
 
 def test_decontamination_of_a_document_that_begins_inside_an_item(spark):
