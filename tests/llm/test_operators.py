@@ -221,29 +221,71 @@ def test_quality_statistics(spark, edge, empty):
     assert quality.judge(edge).count() == edge.count() and quality.judge(empty).count() == 0
 
 
-def brute_mcd(x):
-    """The concentration steps on one group, with sorted distances in place of histograms."""
+def binned(v, share, width):
+    """Upper edge of the bin in which the share of the values is reached."""
+    bins = np.sort(np.ceil(np.asarray(v) / width))
+    return bins[max(0, math.ceil(share * len(bins) - 1e-9) - 1)] * width
+
+
+def brute_mcd(rows):
+    """Squared distances of ``(lang, source, features)`` by the method's definition, group by group."""
     floor = np.array(list(quality.FEATURES.values()))
-    m = np.ceil(np.median(x, 0) / 0.005) * 0.005
-    l = np.diag(np.maximum(floor, 1.4826 * np.median(np.abs(x - m), 0)))
-    dist = lambda: (np.linalg.solve(l, (x - m).T) ** 2).sum(0)
-    for step in range(quality.STEPS):
-        d = dist()
-        core = x[d <= np.quantile(d, quality.SUPPORT) * 1.01]
-        m = core.mean(0)
-        l = np.linalg.cholesky((quality.CONSISTENCY if step == quality.STEPS - 1 else 1.0) * np.cov(core.T, bias=True) + np.diag(floor**2))
-    return dist()
+    factor = lambda c, scale=1.0: np.linalg.cholesky(scale * c + np.diag(floor**2))
+    logdet = lambda c: 2 * np.log(np.diag(factor(c))).sum()
+    moments = lambda x: (x.mean(0), x.T @ x / len(x) - np.outer(x.mean(0), x.mean(0)))
+
+    def dist(x, m, l):
+        return (np.linalg.solve(l, (x - m).T) ** 2).sum(0)
+
+    def concentrate(x, m, c):
+        v = np.log(dist(x, m, factor(c)) + 1e-9)
+        return moments(x[np.ceil(v / 0.01) * 0.01 <= binned(v, quality.SUPPORT, 0.01) + 1e-6])
+
+    def estimate(x):
+        med = np.array([binned(v, 0.5, 0.005) for v in x.T])
+        scale = np.maximum(floor, 1.4826 * np.array([binned(v, 0.5, 0.005) for v in np.abs(x - med).T]))
+        _, t = moments(np.tanh((x - med) / scale))
+        r = np.sqrt(np.maximum(np.diag(t), 1e-6))
+        tries = [(med, np.diag(scale**2)), moments(x), (med, t * np.outer(scale, scale) / np.outer(r, r))]
+        for _ in range(quality.TRIAL):
+            tries = [concentrate(x, m, c) for m, c in tries]
+        m, c = min(tries, key=lambda e: round(logdet(e[1]), 7))
+        while logdet((new := concentrate(x, m, c))[1]) < logdet(c) - quality.SETTLED:
+            m, c = new
+        return m, c
+
+    x = np.array([r[2] for r in rows], float).reshape(-1, len(floor))
+    out = np.zeros(len(x))
+    for g in {r[:2] for r in rows}:
+        own, lang = np.array([r[:2] == g for r in rows]), np.array([r[0] == g[0] for r in rows])
+        (m, c), (ml, cl) = estimate(x[own]), estimate(x[lang])
+        w = own.sum() / (own.sum() + quality.SHRINK)
+        out[own] = dist(x[own], w * m + (1 - w) * ml, factor(w * c + (1 - w) * cl, quality.CONSISTENCY))
+    return out
 
 
 def test_quality_distance(spark):
     rng = np.random.default_rng(1)
-    x = rng.multivariate_normal(np.zeros(5), np.eye(5) + 0.5, 600)
-    x[:30] += 12
-    rows = [(i, "en", "a", *map(float, v)) for i, v in enumerate(x)]
+    x = rng.multivariate_normal(np.zeros(5), np.eye(5) + 0.5, 640).round(6)
+    x[:60] = 12 + x[:60] / 4  # a tenth of the documents stand together far away
+    lang = ["en" if i % 8 else "de" for i in range(640)]
+    rows = [(i, lang[i], None if i % 5 else "b", *map(float, v)) for i, v in enumerate(x)] + [(900, None, "c", *[3.0] * 5)]
     points = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} double" for c in quality.FEATURES))
     got = np.array([r["d2"] for r in quality.robust_distance(points).orderBy("doc_id").collect()])
-    want = brute_mcd(x)
-    assert np.corrcoef(np.log(got), np.log(want))[0, 1] > 0.99 and (got[:30] > quality.CUT).all() and (got[30:] < quality.CUT).all()
+    want = brute_mcd([(r[1], r[2], r[3:]) for r in rows])
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-5)
+    assert (got[:60] > quality.CUT).all() and (got[60:] > quality.CUT).mean() < 0.03
+
+
+def test_quality_verdict_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.judge(docs).orderBy("doc_id").collect()
+    stats = quality._features(quality.base_statistics(docs)).orderBy("doc_id").collect()
+    good = [not r["base_failed"] for r in got]
+    want = brute_mcd([(r["lang"], r["source"], [r[c] for c in quality.FEATURES]) for r, g in zip(stats, good, strict=True) if g])
+    d2 = np.array([r["d2"] for r in got if not r["base_failed"]])
+    assert np.allclose(d2, want, rtol=1e-4, atol=1e-5)
+    assert [r["kept"] for r in got if not r["base_failed"]] == (want <= quality.CUT).tolist() and not any(r["kept"] for r in got if r["base_failed"])
 
 
 def brute_groups(rows, k, percent):
