@@ -78,15 +78,15 @@ class GramCounter:
         self.counts = np.bincount(back, np.concatenate([self.counts, n]), len(self.codes)).astype(np.int64)
 
 
-def tree(counts: DataFrame, depth: int, nodes: int, by: list[str] = ()) -> tuple[pd.DataFrame, pd.DataFrame]:
+def tree(counts: DataFrame, depth: int, nodes: int, by: list[str] = (), weight: str = "n") -> tuple[pd.DataFrame, pd.DataFrame]:
     """Contexts ``depth, ctx, n`` of the tree, and ``depth, ctx, sym, n`` (and ``by``) of its nodes, from ``code, n`` (and ``by``).
 
-    Both are bounded by ``nodes``; they are what the driver gets.
+    weight: SQL by whose sum the contexts are chosen. Both are bounded by ``nodes``; they are what the driver gets.
     """
     deep = counts.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     mask = F.expr("case " + " ".join(f"when depth = {d} then {(1 << (8 * d)) - 1}L" for d in range(depth + 1)) + " end")
-    deep = deep.select("depth", F.shiftright("code", 8).bitwiseAND(mask).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n", *by)
-    chosen = deep.groupBy("depth", "ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "depth", "ctx").limit(nodes).toArrow().to_pandas()
+    deep = deep.select("depth", F.shiftright("code", 8).bitwiseAND(mask).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n", F.expr(weight).alias("w"), *by)
+    chosen = deep.groupBy("depth", "ctx").agg(F.round(F.sum("w"), 12).alias("n")).orderBy(F.desc("n"), "depth", "ctx").limit(nodes).toArrow().to_pandas()
     own = counts.sparkSession.createDataFrame(chosen[["depth", "ctx"]]) if len(chosen) else None
     if own is None:
         return chosen, pd.DataFrame({"depth": [], "ctx": [], "sym": [], "n": []} | {b: [] for b in by})
@@ -125,7 +125,7 @@ class ContextTree:
 
     def dense(self, seen: pd.DataFrame) -> np.ndarray:
         """Counts of the next byte at each node."""
-        out = np.zeros((self.n, 256), np.float32)
+        out = np.zeros((self.n, 256))
         at = [self.number[d, c] for d, c in zip(seen["depth"].astype(int), seen["ctx"].astype(int), strict=True)]
-        out[np.array(at, np.int64), seen["sym"].to_numpy(np.int64)] = seen["n"].to_numpy(np.float32)
+        out[np.array(at, np.int64), seen["sym"].to_numpy(np.int64)] = seen["n"].to_numpy(np.float64)
         return out

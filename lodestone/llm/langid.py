@@ -8,7 +8,8 @@ of the longer one are excluded, down to equal shares of 256. The statistics are
 frozen, so the code length of each byte in each language is a table, and a
 text's code length is a sum of look-ups. The language of the shortest code wins.
 
-Trees share their contexts, the most frequent ones of all languages. They are
+Trees share their contexts, those of the greatest sum of shares in the languages, so
+that a language of few or short documents counts as much as any other. They are
 learned from about ``MAX_TRAINING`` documents of each language at most.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter,
@@ -90,10 +91,13 @@ def train(labelled: DataFrame) -> Languages | None:
     rows = hash_sample(labelled.where("lang is not null and text is not null"), "lang", MAX_TRAINING)
     counts = rows.select("lang", "text").mapInPandas(_gathered, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "grams")
-    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all")).collect()
+    names = sorted(r["lang"] for r in totals)
     if not names:
         return None
-    chosen, seen = tree(counts, DEPTH, max(1024, NODES // len(names)), ["lang"])
+    shares = counts.sparkSession.createDataFrame([(r["lang"], r["all"]) for r in totals], "of string, all long")
+    counts = counts.join(F.broadcast(shares), F.col("lang") == F.col("of")).drop("of")  # a row a language
+    chosen, seen = tree(counts, DEPTH, max(1024, NODES // len(names)), ["lang", "all"], "n / all")
     contexts = ContextTree(chosen)
     return Languages(names, contexts, [contexts.dense(seen[seen["lang"] == x]) for x in names])
 

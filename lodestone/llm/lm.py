@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytecontext import HELD, ContextTree, GramCounter, encoded, grams, pieces, tree
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import bound_batches, hinted, materialise, table
+from lodestone.llm.workspace import bound_batches, hinted, join_classes, materialise, settled, table
 
 #: Longest context, and contexts whose mixtures are sent to the workers, at most.
 DEPTH, NODES = 4, 16_384
@@ -153,14 +153,14 @@ def gram_bits(codes: DataFrame, mixtures: list[DataFrame]) -> DataFrame:
 
 def unsent(contexts: ContextTree, weights: list[DataFrame]) -> np.ndarray:
     """By node and decision, the weights of the next longer contexts that are not nodes."""
-    out = np.zeros((contexts.n, 256), np.float32)
+    out = np.zeros((contexts.n, 256))
     nodes = weights[0].sparkSession.createDataFrame(pd.DataFrame({"depth": contexts.depth, "ctx": contexts.ctx}))
     for depth in range(1, DEPTH + 1):
         own, up = (F.broadcast(nodes.where(F.col("depth") == d).select("ctx")) for d in (depth, depth - 1))
         rest = weights[depth].select("ctx", "dec", "total").join(own, "ctx", "left_anti").select(_shorter(depth - 1).alias("ctx"), "dec", "total").join(up, "ctx")
         r = rest.groupBy("ctx", "dec").agg(F.sum("total").alias("w")).toArrow().to_pandas()  # the nodes bound these rows
         at = np.array([contexts.number[depth - 1, c] for c in r["ctx"].astype(int)], np.int64)
-        out[at, r["dec"].to_numpy(np.int64)] = r["w"].to_numpy(np.float32)
+        out[at, r["dec"].to_numpy(np.int64)] = r["w"].to_numpy(np.float64)
     return out
 
 
@@ -266,6 +266,8 @@ class Model:
         return len(words) + 1, int(seen.sum()) + (self.texts > 0), float(logs[seen].sum()) + end
 
     def tail(self, text: str | None) -> Counter:
+        if not self.types:  # no word is known
+            return Counter()
         known = self.known()
         return Counter(w for w in words_of(text) if known[w] != known[w])
 
@@ -290,7 +292,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     chosen, seen = tree(codes, DEPTH, NODES)
     contexts = ContextTree(chosen) if len(chosen) else None
     weights = context_weights(codes) if len(chosen) == NODES else []  # with fewer, the nodes are all contexts
-    others = unsent(contexts, weights) if weights else np.zeros((len(chosen), 256), np.float32)
+    others = unsent(contexts, weights) if weights else np.zeros((len(chosen), 256))
     log2 = weighted_log2(contexts, contexts.dense(seen), others) if contexts else None
     tokens, types = int(sums["n"]) + int(texts), int(sums["v"]) + (texts > 0)
     return Model(contexts, log2, context_mixtures(weights), head["key"].to_numpy(np.int64), head["n"].to_numpy(np.float64), int(texts), tokens, types), words
@@ -328,14 +330,14 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"kind": GRAM, "row_key": b["row_key"].to_numpy(np.int64)[owner], "key": code, "tf": tf})
 
     scale = model.scale()
-    tail = rows.select("row_key", "text").mapInPandas(tails, "kind int, row_key long, key long, tf long")
-    known = words.select(F.lit(WORD).alias("kind"), "key", "n", F.lit(None).cast("double").alias("bits"))
-    if joins_grams:
-        tail = materialise(tail, "tails")
-        codes = materialise(tail.where(F.col("kind") == GRAM).select(F.col("key").alias("code")).distinct(), "codes")
-        known = known.unionByName(gram_bits(codes, model.mixtures).select(F.lit(GRAM).alias("kind"), F.col("code").alias("key"), F.lit(None).cast("long").alias("n"), "bits"))
+    tail = materialise(rows.select("row_key", "text").mapInPandas(tails, "kind int, row_key long, key long, tf long"), "tails")
     word = F.col("kind") == WORD
-    tail = tail.join(known, ["kind", "key"], "left").groupBy("row_key").agg(
+    wanted = materialise(tail.groupBy("kind", "key").agg(F.count("*").alias("c")), "wanted")
+    known = wanted.where(word).join(words, "key", "left").select("kind", "key", "n", F.lit(None).cast("double").alias("bits"), "c")
+    if joins_grams:
+        bits = gram_bits(wanted.where(~word).select(F.col("key").alias("code")), model.mixtures)
+        known = known.unionByName(wanted.where(~word).join(bits, F.col("key") == F.col("code")).select("kind", "key", F.lit(None).cast("long").alias("n"), "bits", "c"))
+    tail = join_classes(tail, materialise(known, "known"), ["kind", "key"]).groupBy("row_key").agg(
         F.sum(F.when(word, F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / scale))).alias("tail_base"),
         F.sum(F.when(word & F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("tf") * F.col("bits")).alias("tail_bits"),
@@ -358,6 +360,10 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
 def op10_lm_score(spark, sf_dir):
     """Base and model score of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return settled(spark, "lm", lambda: _scored(docs))
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 5) == 1
     model, words = train(docs.where(~held))
     return score(docs, model, words).select(

@@ -38,8 +38,6 @@ from lodestone.llm.workspace import bound_batches, fresh, hash_sample, hinted, m
 
 #: Labelled documents of each label that the lexicon and the curve are fitted on, about, at most.
 MAX_TRAINING = 20_000
-#: Entries and exception phrases, at most: a bound of what is sent to the workers.
-MAX_ENTRIES = 20_000
 #: Shortest and longest beginning of words that may be an entry.
 SHORTEST, LONGEST = 4, 10
 #: Least weight, least number of toxic documents' words and least likelihood ratio statistic of an entry.
@@ -195,7 +193,7 @@ def _entries(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     g2 = 2 * (F.col("t") * F.log(F.col("t") / expected) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((F.col("t") + F.col("c")) * (1 - share)))).otherwise(0.0))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     best = e.withColumns({"g2": g2, "weight": weight}).where((F.col("g2") >= LEAST_G2) & (F.col("weight") >= LEAST_WEIGHT))
-    return {r["entry"]: r["weight"] for r in best.orderBy(F.desc("g2"), "entry").limit(MAX_ENTRIES).collect()}
+    return {r["entry"]: r["weight"] for r in best.collect()}  # words of a sample that MAX_TRAINING bounds
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -218,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
     counts = fit.select("text", "label").mapInPandas(_counted, schema).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     draft = Lexicon(_entries(counts, n[1], n[0]))
     phrases = fit.select("text", "label").mapInPandas(_context(draft), schema).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    spared = phrases.where("t = 0 and c >= 3").orderBy(F.desc("c"), "word").limit(MAX_ENTRIES).collect()
-    draft = Lexicon(draft.entries, [r["word"] for r in spared])
+    spared = phrases.where("t = 0 and c >= 3").collect()  # of the same sample
+    draft = Lexicon(draft.entries, sorted(r["word"] for r in spared))
     basis = tune if tune.where("label = 1").limit(1).count() else fit
     points = basis.select("text", "label").mapInPandas(_featured(draft), "a double, b double, c double, label int").toArrow().to_pandas()  # MAX_TRAINING bounds these rows
     points = points.sort_values(["a", "b", "c", "label"])
@@ -229,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def score(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame:
     """``docs`` with the score in ``column``, which replaces one of that name."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # as large as the lexicon of a bounded sample
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
