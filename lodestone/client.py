@@ -22,7 +22,8 @@ class Corpus:
         self.store, self.embed, self.words = Store(spark, root), embed or hashing(), words
 
     def _parts(self, docs: DataFrame) -> dict[str, DataFrame]:
-        d = docs.dropDuplicates(["uri"]).withColumn("id", F.sha2("uri", 256))
+        rest = [c for c in docs.columns if c != "uri"]
+        d = docs.groupBy("uri").agg(F.max(F.struct(*rest)).alias("_r")).select("uri", "_r.*").withColumn("id", F.sha2("uri", 256))  # of one uri always the same row
         parent = F.col("parent_uri") if "parent_uri" in docs.columns else F.lit(None).cast("string")
         items = markdown_items(d.withColumnRenamed("content", "text"), "id").withColumns({"self_ref": F.concat(F.lit("#/texts/"), F.col("position").cast("string")), "pages": F.lit(None).cast("array<int>")})
         meta = d.select("id", "uri", "title", parent.alias("parent_uri"), F.md5("content").alias("content_hash"))

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes of a side that may be broadcast, about.
+BROADCAST_BYTES = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when a count shows at most ``rows``, else ``df``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(df: DataFrame) -> Column:
+    """Bytes of a row, about: those of texts, eight for each element of other arrays and each other column, and some for the row."""
+    out = F.lit(32)
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        size = F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if "string" in kind else 8 * F.size(c) if kind.startswith("array") else F.lit(8)
+        out = out + F.coalesce(F.greatest(size, F.lit(0)), F.lit(0))
+    return out
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its measured size is at most ``most`` bytes, else ``df``."""
+    return F.broadcast(df) if (df.agg(F.sum(width(df))).first()[0] or 0) <= most else df
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; below a temporary one only for a local master."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def meta(docs: DataFrame) -> DataFrame:

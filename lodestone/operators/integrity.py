@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.views import dot
+from lodestone.functions.views import dot, scratch
 
 
 def sample(df: DataFrame, name: str, id_col: str, severity: str = "warn", most: int = 5) -> DataFrame:
@@ -92,10 +90,7 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = pairs.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if root is None and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
-        spark.sparkContext.setCheckpointDir(root or f"/tmp/lodestone-{uuid.uuid4().hex}")
+        spark.sparkContext.setCheckpointDir(scratch(spark, "components"))
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     for _ in range(rounds):

@@ -114,8 +114,8 @@ def reap(queue: DataFrame, ttl_seconds: int, now: Column) -> DataFrame:
 
 def renew(queue: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     """Heartbeats of the pairs ``id, claimed_by`` that still hold."""
-    mine = claims.select("id", F.col("claimed_by").alias("_by")).distinct()
-    q = queue.join(mine, (queue["id"] == mine["id"]) & (queue["claimed_by"] == mine["_by"]), "left").drop(mine["id"])
+    mine = claims.select(F.col("id").alias("_id"), F.col("claimed_by").alias("_by")).distinct()
+    q = queue.join(mine, (F.col("id") == F.col("_id")) & (F.col("claimed_by") == F.col("_by")), "left")
     return _set(q, F.col("_by").isNotNull() & (F.col("status") == "claimed"), last_heartbeat_at=now).select(*queue.columns)
 
 

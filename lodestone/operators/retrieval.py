@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.views import dot, sized, squared_distance, tokens
+from lodestone.functions.views import sized, squared_distance, tokens
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -20,27 +20,20 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
-def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a < b`` of vectors whose cosine similarity reaches ``least``; 0 for a zero vector."""
-    v = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    a, b = (v.select(*[F.col(c).alias(f"{c}_{s}") for c in v.columns]) for s in "ab")
-    norm = F.col("norm_a") * F.col("norm_b")
-    near = F.when(norm == 0, 0.0).otherwise(dot(F.col("embedding_a"), F.col("embedding_b")) / norm)
-    pairs = a.join(b, F.col("vec_id_a") < F.col("vec_id_b")).withColumn("similarity", F.round(near, 6))
-    return pairs.where(F.col("similarity") >= least).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), "similarity")
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the ``k`` best documents for each query by BM25."""
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    length = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("len"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    """``query_id, doc_id, score, rank`` of the ``k`` best documents for each query by BM25.
+
+    Postings carry the length of their document, so the documents' lengths are never shuffled.
+    """
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     wanted = sized(terms.select("term").distinct())
-    postings = tf.join(wanted, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    spread = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    postings = spread.join(wanted, "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     idf = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     idf = idf.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    scored = terms.join(postings, "term").join(idf, "term").join(length, "doc_id")
+    scored = sized(terms.join(idf, "term")).join(postings, "term")  # the queries' side, so that a frequent term is no single task
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return top(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 5).alias("score")), ["query_id"], [F.desc("score"), "doc_id"], k)
 
@@ -55,8 +48,21 @@ def fuse(ranked: list[DataFrame], key: str, k: int, constant: int = 60) -> DataF
 
 
 def phrase_match(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``item_id, doc_id`` where the text of an item stands in a document."""
-    return docs.join(sized(phrases), F.contains(docs["text"], phrases["text"]) & (phrases["text"] != "")).select("item_id", "doc_id")
+    """``item_id, doc_id`` where the text of an item stands in a document.
+
+    A text of three words between blanks or more has a word with blanks on both sides, and
+    so has each document that holds it: the longest such word finds the documents that
+    are looked at. Only shorter texts, which have none, are looked for in all.
+    """
+    inner = F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0)))
+    best = F.array_max(F.transform(F.filter(inner, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    keyed = phrases.where("text <> ''").select("item_id", F.col("text").alias("phrase"), best.alias("word"))
+    long, short = keyed.where("word is not null"), keyed.where("word is null")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    maybe = words.join(sized(long.select("item_id", "word")), "word").select("doc_id", "item_id").distinct()
+    found = docs.select("doc_id", "text").join(maybe, "doc_id").join(sized(long.select("item_id", "phrase")), "item_id").where(F.contains("text", "phrase"))
+    rest = docs.select("doc_id", "text").join(sized(short), F.contains(F.col("text"), F.col("phrase")))
+    return found.select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id"))
 
 
 def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

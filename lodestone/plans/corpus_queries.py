@@ -147,12 +147,36 @@ VALUE = r"CAST(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE) * CASE WHEN rege
 ALL_NUMBERS = f"regexp_extract_all(text, '{X.NUMBER}')"
 
 
-@query("number_match", f"SELECT doc_id, len(n) AS n, len(list_filter(n, lambda x: x < 0)) AS n_negative, round(coalesce(list_sum(list_transform(n, lambda x: log10(1 + abs(x)))), 0), 6) AS magnitude FROM (SELECT doc_id, list_concat(list_transform({ALL_NUMBERS}, lambda x: {VALUE}), list_transform(list_filter({ALL_NUMBERS}, lambda x: contains(x, '%')), lambda x: {VALUE} / 100)) AS n FROM documents WHERE NOT regexp_matches(text, '(?i)[0-9] *(thousand|million|billion|trillion)'))")
-def number_match(spark, d):
-    # the SQL does not express scaled readings and leaves their documents out; here every document has a row
-    n = docs_of(spark, d).select("doc_id", X.numbers(F.coalesce("text", F.lit(""))).alias("n"))
+FACTOR = "CASE lower(regexp_extract(x, '([A-Za-z]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.SCALE.items()) + " END"
+READINGS = f"""list_concat(list_transform({ALL_NUMBERS}, lambda x: {VALUE}), list_transform(list_filter({ALL_NUMBERS}, lambda x: contains(x, '%')), lambda x: {VALUE} / 100),
+list_transform(regexp_extract_all(text, '{X.SCALED}'), lambda x: {VALUE} * {FACTOR}))"""
+#: Every document, and a sentence of scaled and other numbers about each.
+NUMBERED = """SELECT doc_id, 'text' AS part, coalesce(text, '') AS text FROM documents
+UNION ALL SELECT doc_id, 'sentence', 'Up ' || n_chars / 10 || '% to $' || n_chars || ' million (or ' || doc_id || '.5 Thousand), not (' || n_chars || ') billion: -' || doc_id || '  trillion.' FROM documents"""
+
+
+@query("number_readings", f"SELECT doc_id, part, len(n) AS n, len(list_filter(n, lambda x: x < 0)) AS n_negative, round(coalesce(list_sum(list_transform(n, lambda x: log10(1 + abs(x)))), 0), 6) AS magnitude FROM (SELECT doc_id, part, {READINGS} AS n FROM ({NUMBERED}))")
+def number_readings(spark, d):
+    docs, n, i = docs_of(spark, d), F.col("n_chars"), F.col("doc_id")
+    said = F.concat(F.lit("Up "), (n / 10).cast("string"), F.lit("% to $"), n.cast("string"), F.lit(" million (or "), i.cast("string"), F.lit(".5 Thousand), not ("), n.cast("string"), F.lit(") billion: -"), i.cast("string"), F.lit("  trillion."))
+    parts = docs.select("doc_id", F.lit("text").alias("part"), F.coalesce("text", F.lit("")).alias("text")).unionByName(docs.select("doc_id", F.lit("sentence").alias("part"), said.alias("text")))
+    found = parts.select("doc_id", "part", X.numbers(F.col("text")).alias("n"))
     magnitude = F.aggregate("n", F.lit(0.0), lambda s, x: s + F.log10(1 + F.abs(x)))  # card numbers pass the digits of a double, so no plain sum
-    return n.select("doc_id", F.size("n").cast("long").alias("n"), F.size(F.filter("n", lambda x: x < 0)).cast("long").alias("n_negative"), F.round(magnitude, 6).alias("magnitude"))
+    return found.select("doc_id", "part", F.size("n").cast("long").alias("n"), F.size(F.filter("n", lambda x: x < 0)).cast("long").alias("n_negative"), F.round(magnitude, 6).alias("magnitude"))
+
+
+CLOSE = "CASE WHEN g = 0 THEN c * s = 0 ELSE abs(abs(c) * s - g) / g <= 0.01 END"
+
+
+@query("number_match", f"""WITH a AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(l_quantity AS BIGINT) * CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 1000 ELSE 7 END AS said, l_linestatus = 'O' AS declared FROM lineitem),
+n AS (SELECT r, l_orderkey, l_linenumber, CAST(q AS DOUBLE) AS g, CASE WHEN declared THEN [CAST(said AS DOUBLE)] ELSE [CAST(3 AS DOUBLE), CAST(said AS DOUBLE), CAST(said AS DOUBLE) / 100] END AS c FROM a),
+h AS (SELECT r, l_orderkey, l_linenumber, bool_or({CLOSE}) AS hit FROM (SELECT r, l_orderkey, l_linenumber, g, unnest(c) AS c FROM n), (SELECT unnest([1.0, 0.01, 100.0, 0.001, 1000.0]::DOUBLE[]) AS s) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, CAST(hit AS INTEGER) AS score FROM h""")
+def number_match(spark, d):
+    q = F.col("l_quantity").cast("long")
+    said = (q * F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 1000).otherwise(7)).cast("string")
+    body = F.concat(F.lit("It was 3, then "), said, F.when(F.col("l_linestatus") == "O", F.concat(F.lit(".\nFinal answer: "), said)).otherwise("%"))
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.number_match(body, F.concat(F.lit("$"), q.cast("string"))).alias("score"))
 
 
 @query("citation_resolve", """WITH c AS (SELECT conv_id AS conv, turn AS seq, 'c' || length(text) % 7 AS chunk_id FROM conversations WHERE role = 'user'), r AS (SELECT conv_id AS conv, 'c' || length(text) % 7 AS chunk_id, arg_max(md5(text), turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars as X
 from lodestone.functions import views as V
+from lodestone.operators import integrity as I
 from lodestone.operators import metrics as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
 from lodestone.operators import structure as S
+from lodestone.sources import store as T
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -68,10 +71,13 @@ def doc_filter_list(spark, d):
     return V.meta(docs_of(spark, d)).where("lang = 'en' and n_chars > 1000").orderBy("doc_id").offset(10).limit(50).select("id", "uri", "title")
 
 
-@query("doc_name_filter", f"SELECT id, uri FROM ({META}) WHERE lower(uri) LIKE '%src1/%' OR lower(title) LIKE '%document 7%' OR replace(lower(title), ' ', '') LIKE '%frdocument%'")
+NAMES = ["Src1/", "document 7", "frdocument"]
+NAMED = " OR ".join(f"lower({c}) LIKE '%{n.lower()}%' OR replace(lower({c}), ' ', '') LIKE '%{n.lower().replace(' ', '')}%'" for n in NAMES for c in ("uri", "title"))
+
+
+@query("doc_name_filter", f"SELECT id, uri FROM ({META}) WHERE {NAMED}")
 def doc_name_filter(spark, d):
-    title = F.lower("title")
-    return V.meta(docs_of(spark, d)).where(F.lower("uri").like("%src1/%") | title.like("%document 7%") | F.replace(title, F.lit(" "), F.lit("")).like("%frdocument%")).select("id", "uri")
+    return V.meta(docs_of(spark, d)).where(X.name_filter(NAMES, F.col("uri"), F.col("title"))).select("id", "uri")
 
 
 @query("metadata_json_filter", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
@@ -176,19 +182,38 @@ def anti_join_orphans(spark, d):
     return docs_of(spark, d).select("doc_id").join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("snapshot_diff", """WITH o AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE md5(text) END AS r FROM documents WHERE doc_id % 5 <> 0)
+@query("snapshot_diff", """WITH o AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE md5(text) END AS r FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.r IS NULL THEN 'DELETE' WHEN o.r IS NOT DISTINCT FROM n.r THEN 'UNCHANGED' ELSE 'UPSERT' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def snapshot_diff(spark, d):
+    # every document is in one of the two versions at least
     rev = docs_of(spark, d).select("doc_id", F.md5("text").alias("rev"))
-    new = rev.where("doc_id % 5 <> 0").withColumn("rev", F.when(F.col("doc_id") % 11 == 0, "changed").otherwise(F.col("rev")))
+    new = rev.where("doc_id % 5 <> 0 or doc_id % 7 = 0").withColumn("rev", F.when(F.col("doc_id") % 11 == 0, "changed").otherwise(F.col("rev")))
     return Q.snapshot_diff(rev.where("doc_id % 7 <> 0"), new, "doc_id", "rev")
 
 
-@query("cascade_closure", "WITH RECURSIVE t AS (SELECT doc_id, doc_id AS root, 0 AS depth FROM documents WHERE doc_id BETWEEN 1 AND 9 UNION ALL SELECT d.doc_id, t.root, t.depth + 1 FROM documents d JOIN t ON d.doc_id // 10 = t.doc_id AND d.doc_id > 9) SELECT * FROM t")
+TREE = "SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, 'doc/' || doc_id AS uri, CASE WHEN doc_id > 9 THEN 'doc/' || (doc_id // 10) END AS parent_uri FROM documents"
+BELOW = f"WITH RECURSIVE m AS ({TREE}), t AS (SELECT id, uri FROM m WHERE uri = 'doc/1' UNION ALL SELECT m.id, m.uri FROM m JOIN t ON m.parent_uri = t.uri)"
+
+
+def tree_of(spark, d):
+    path = lambda c: F.concat(F.lit("doc/"), c.cast("string"))
+    i = F.col("doc_id")
+    return docs_of(spark, d).select("doc_id", i.cast("string").alias("id"), path(i).alias("uri"), F.when(i > 9, path(F.floor(i / 10))).alias("parent_uri"))
+
+
+@query("cascade_closure", f"{BELOW} SELECT id, uri FROM t")
 def cascade_closure(spark, d):
-    ids = docs_of(spark, d).select("doc_id")
-    ids.createOrReplaceTempView("_cascade_ids")
-    return spark.sql("WITH RECURSIVE t AS (SELECT doc_id, doc_id AS root, 0 AS depth FROM _cascade_ids WHERE doc_id BETWEEN 1 AND 9 UNION ALL SELECT d.doc_id, t.root, t.depth + 1 FROM _cascade_ids d JOIN t ON d.doc_id div 10 = t.doc_id AND d.doc_id > 9) SELECT * FROM t")
+    return T.descendants(tree_of(spark, d).drop("doc_id"), "doc/1")
+
+
+@query("cascade_delete", f"{BELOW} SELECT 'document_meta' AS table_name, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM m WHERE id NOT IN (SELECT id FROM t) UNION ALL SELECT 'chunks', count(*), CAST(sum(doc_id) AS BIGINT) FROM ({CHUNKS}) WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT id FROM t)")
+def cascade_delete(spark, d):
+    s = T.Store(spark, V.scratch(spark, "store"))
+    chunks = V.chunks(docs_of(spark, d)).withColumn("document_id", F.col("doc_id").cast("string"))
+    s.commit({"document_meta": tree_of(spark, d), "chunks": chunks})
+    s.cascade_delete("doc/1", {"chunks": "document_id"})
+    line = lambda t: s.read(t).agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("ids")).select(F.lit(t).alias("table_name"), "n_rows", "ids")
+    return line("document_meta").unionByName(line("chunks"))
 
 
 @query("jobs_status_counts", f"SELECT status, count(*) AS n, max(id) AS last_id FROM ({JOBS}) GROUP BY status")
@@ -202,9 +227,59 @@ def jobs_rolling_throughput(spark, d):
     return jobs_of(spark, d).groupBy("source_id").agg(since("2024-01-29").alias("last_day"), since("2024-01-23").alias("last_week"), F.min(F.when(F.col("status") == "queued", F.col("id"))).alias("oldest_queued"))
 
 
-@query("jobs_claim_order", f"SELECT source_id, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, id) AS rn FROM ({JOBS}) WHERE status = 'queued') WHERE rn = 1")
+QUEUE = f"""SELECT id, source_id, 'doc://' || id % 20 AS uri, status, CAST(1 AS BIGINT) AS attempts, ts AS scheduled_at, CASE WHEN status = 'claimed' THEN ts END AS claimed_at,
+CASE WHEN status = 'claimed' THEN 'w' || source_id % 3 END AS claimed_by, value > 50 AS beats FROM ({JOBS})"""
+
+
+def at(t):
+    return F.expr(f"timestamp_ntz'{t}'")
+
+
+def queue_of(spark, d):
+    """The queue with all its columns, from the events."""
+    j, none, claimed = jobs_of(spark, d), F.lit(None), F.col("status") == "claimed"
+    return j.select(
+        "id", "source_id", F.concat(F.lit("doc://"), (F.col("id") % 20).cast("string")).alias("uri"), "status", F.lit(1).cast("long").alias("attempts"), F.col("ts").alias("scheduled_at"),
+        F.when(claimed, F.col("ts")).alias("claimed_at"), F.when(claimed, F.concat(F.lit("w"), (F.col("source_id") % 3).cast("string"))).alias("claimed_by"),
+        F.when(claimed & (F.col("value") > 50), F.col("ts") + F.make_interval(hours=F.lit(12))).alias("last_heartbeat_at"), none.cast("timestamp_ntz").alias("completed_at"), none.cast("string").alias("last_error"),
+    )
+
+
+@query("jobs_claim_order", f"SELECT id, CASE WHEN r <= 100 THEN 'claimed' ELSE status END AS status, CASE WHEN r <= 100 THEN 2 ELSE 1 END::BIGINT AS attempts, CASE WHEN r <= 100 THEN 'w9' ELSE claimed_by END AS claimed_by FROM (SELECT q.*, r FROM ({QUEUE}) q LEFT JOIN (SELECT id, row_number() OVER (ORDER BY scheduled_at, id) AS r FROM ({QUEUE}) WHERE status = 'queued' AND scheduled_at <= TIMESTAMP '2024-01-20' AND source_id NOT IN (3, 4)) USING (id))")
 def jobs_claim_order(spark, d):
-    return R.top(jobs_of(spark, d).where("status = 'queued'"), ["source_id"], ["ts", "id"], 1).select("source_id", "id")
+    return Q.claim(queue_of(spark, d), "w9", at("2024-01-20 00:00:00"), 100, [3, 4]).select("id", "status", "attempts", "claimed_by")
+
+
+@query("job_transitions", f"""SELECT id, CASE WHEN mine AND id <= 400 THEN 'succeeded' WHEN mine AND id <= 800 THEN 'dead' WHEN mine AND id <= 1600 THEN 'queued' ELSE status END AS status,
+CASE WHEN mine AND id > 1200 THEN 0 ELSE 1 END::BIGINT AS attempts, CASE WHEN mine AND id BETWEEN 401 AND 1200 THEN 'boom' END AS last_error,
+CASE WHEN mine AND id BETWEEN 801 AND 1200 THEN TIMESTAMP '2024-02-02' ELSE scheduled_at END AS scheduled_at, CASE WHEN mine AND id <= 800 THEN TIMESTAMP '2024-02-01' END AS completed_at
+FROM (SELECT *, status = 'claimed' AND claimed_by = 'w1' AND id BETWEEN 1 AND 1600 AS mine FROM ({QUEUE}))""")
+def job_transitions(spark, d):
+    now, q = at("2024-02-01 00:00:00"), queue_of(spark, d)
+    q = Q.bury(Q.succeed(q, list(range(1, 401)), "w1", now), list(range(401, 801)), "w1", "boom", now)
+    q = Q.release(Q.reschedule(q, list(range(801, 1201)), "w1", "boom", at("2024-02-02 00:00:00")), list(range(1201, 1601)), "w1")
+    return q.select("id", "status", "attempts", "last_error", "scheduled_at", "completed_at")
+
+
+@query("job_retry_cancel", f"""WITH q AS ({QUEUE}), busy AS (SELECT DISTINCT a.id FROM q a JOIN q b ON a.source_id = b.source_id AND a.uri = b.uri AND a.id <> b.id AND b.status IN ('queued', 'claimed'))
+SELECT id, CASE WHEN again THEN 'queued' ELSE status END AS status, CASE WHEN again THEN 0 ELSE 1 END::BIGINT AS attempts FROM (SELECT *, id <= 500 AND status IN ('dead', 'queued') AND id NOT IN (SELECT id FROM busy) AS again FROM q)
+WHERE NOT (id BETWEEN 301 AND 900 AND (again OR status IN ('queued', 'claimed')))""")
+def job_retry_cancel(spark, d):
+    q = Q.retry(queue_of(spark, d), list(range(0, 501)), at("2024-02-01 00:00:00"))
+    return Q.cancel(q, list(range(301, 901))).select("id", "status", "attempts")
+
+
+@query("job_heartbeats", f"SELECT id, CASE WHEN status = 'claimed' AND claimed_by = 'w1' THEN TIMESTAMP '2024-02-01' WHEN beats THEN claimed_at + INTERVAL 12 HOUR END AS last_heartbeat_at FROM ({QUEUE}) WHERE status = 'claimed'")
+def job_heartbeats(spark, d):
+    q = queue_of(spark, d)
+    return Q.renew(q, q.select("id", F.lit("w1").alias("claimed_by")), at("2024-02-01 00:00:00")).where("status = 'claimed'").select("id", "last_heartbeat_at")
+
+
+@query("breaker_state", f"""WITH o AS (SELECT *, sum(CASE WHEN status = 'dead' THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY ts DESC, id DESC) AS goods FROM ({JOBS})),
+s AS (SELECT source_id, count(*) FILTER (WHERE goods = 0) AS failures, max(ts) FILTER (WHERE goods = 0) AS last FROM o GROUP BY source_id)
+SELECT source_id AS target, failures, CASE WHEN failures >= 2 THEN last END AS opened_at, CASE WHEN failures >= 2 THEN last + INTERVAL 90 SECOND END AS open_until FROM s""")
+def breaker_state(spark, d):
+    return Q.breaker(jobs_of(spark, d).select(F.col("source_id").alias("target"), "ts", F.col("id").alias("seq"), (F.col("status") != "dead").alias("ok")), 2, 90)
 
 
 @query("jobs_page", f"SELECT id, source_id, status FROM ({JOBS}) ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 100")
@@ -212,15 +287,17 @@ def jobs_page(spark, d):
     return jobs_of(spark, d).orderBy(F.desc("ts"), F.desc("id")).offset(100).limit(50).select("id", "source_id", "status")
 
 
-@query("queue_dedup_live", f"SELECT source_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, id) AS rn FROM ({JOBS}) WHERE status IN ('queued', 'claimed')) WHERE rn = 1")
+@query("queue_dedup_live", f"""WITH q AS ({QUEUE}), old AS (SELECT * FROM q WHERE scheduled_at < TIMESTAMP '2024-01-15'), new AS (SELECT * FROM q WHERE scheduled_at >= TIMESTAMP '2024-01-15')
+SELECT id, source_id, uri, status FROM old UNION ALL SELECT id, source_id, uri, status FROM (SELECT *, row_number() OVER (PARTITION BY source_id, uri ORDER BY id) AS rn FROM new) n
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.source_id = n.source_id AND old.uri = n.uri AND old.status IN ('queued', 'claimed'))""")
 def queue_dedup_live(spark, d):
-    return R.top(jobs_of(spark, d).where(Q.live()), ["source_id"], ["ts", "id"], 1).select("source_id", "id", "status")
+    q = queue_of(spark, d)
+    return Q.enqueue(q.where(F.col("scheduled_at") < at("2024-01-15 00:00:00")), q.where(F.col("scheduled_at") >= at("2024-01-15 00:00:00"))).select("id", "source_id", "uri", "status")
 
 
-@query("lease_reaper", f"SELECT id, CASE WHEN status = 'claimed' AND ts < TIMESTAMP '2024-01-15' THEN 'queued' ELSE status END AS status FROM ({JOBS})")
+@query("lease_reaper", f"SELECT id, CASE WHEN late THEN 'queued' ELSE status END AS status, CASE WHEN late THEN 0 ELSE 1 END::BIGINT AS attempts, CASE WHEN late THEN NULL ELSE claimed_by END AS claimed_by FROM (SELECT *, status = 'claimed' AND claimed_at + CASE WHEN beats THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END < TIMESTAMP '2024-01-15' AS late FROM ({QUEUE}))")
 def lease_reaper(spark, d):
-    late = (F.col("status") == "claimed") & (F.col("ts") < F.expr("timestamp_ntz'2024-01-15 00:00:00'"))
-    return jobs_of(spark, d).select("id", F.when(late, "queued").otherwise(F.col("status")).alias("status"))
+    return Q.reap(queue_of(spark, d), 86400, at("2024-01-16 00:00:00")).select("id", "status", "attempts", "claimed_by")
 
 
 @query("sync_state_upsert", "WITH l AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS rn, event_id % 2 AS half FROM events), n AS (SELECT * FROM l WHERE rn = 1 AND half = 1), o AS (SELECT * FROM l WHERE rn = 1 AND half = 0) SELECT user_id, event_id FROM n UNION ALL SELECT user_id, event_id FROM o WHERE user_id NOT IN (SELECT user_id FROM n)")
@@ -235,21 +312,53 @@ def failure_streaks(spark, d):
     return Q.failure_streaks(jobs_of(spark, d))
 
 
-@query("scoped_replace_merge", "SELECT doc_id, source, length(text) AS n FROM documents WHERE source <> 'src1' UNION ALL SELECT doc_id, source, 1 FROM documents WHERE source = 'src1' AND doc_id % 2 = 0")
+@query("scoped_replace_merge", "SELECT doc_id, source, CASE WHEN source = 'src1' THEN 1 ELSE length(text) END AS n FROM documents")
 def scoped_replace_merge(spark, d):
     docs = docs_of(spark, d).select("doc_id", "source", F.length("text").cast("long").alias("n"))
-    return docs.where("source <> 'src1'").unionByName(docs.where("source = 'src1' and doc_id % 2 = 0").withColumn("n", F.lit(1).cast("long")))
-
-
-@query("version_history_tags", "SELECT event_type AS tbl, event_id AS version, rn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 5")
+    s = T.Store(spark, V.scratch(spark, "store"))
+    s.commit({"documents": docs})
+    s.replace_scope("documents", F.col("source") == "src1", docs.where("source = 'src1'").withColumn("n", F.lit(1).cast("long")))
+    return s.read("documents")
+
+
+@query("store_merge", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'updated' WHEN lang = 'fr' THEN 'upserted' ELSE source END AS source FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id + 1000000000, 'upserted' FROM documents WHERE lang = 'fr'")
+def store_merge(spark, d):
+    docs = docs_of(spark, d).select("doc_id", "source", "lang")
+    s = T.Store(spark, V.scratch(spark, "store"))
+    s.commit({"t": docs.drop("lang")})
+    s.delete("t", F.col("doc_id").isNull())
+    s.commit({"t": docs.where("lang <> 'es'").drop("lang")})
+    other = F.col("doc_id") + 1_000_000_000
+    s.update("t", docs.where("lang = 'de'").select("doc_id", F.lit("updated").alias("source")).unionByName(docs.where("lang = 'de'").select(other.alias("doc_id"), F.lit("unknown").alias("source"))), ["doc_id"])
+    s.upsert("t", docs.where("lang = 'fr'").select(F.explode(F.array("doc_id", other)).alias("doc_id"), F.lit("upserted").alias("source")), ["doc_id"])
+    return s.read("t")
+
+
+@query("version_history_tags", """WITH n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM benchmark) AS items, (SELECT count(*) FROM labels) AS labels)
+SELECT v.*, CASE WHEN version IN (1, 4) THEN docs WHEN version = 2 THEN items ELSE items + labels END AS n_rows FROM n, (VALUES ('a', 4, 'restore start', ''), ('a', 3, 'more', 'before-restore'), ('a', 2, 'replaced', ''), ('a', 1, 'first', 'start'), ('b', 1, 'first', 'start')) v(table_name, version, note, tags)
+WHERE table_name = 'a' UNION ALL SELECT 'b', 1, 'first', 'start', docs FROM n""")
 def version_history_tags(spark, d):
-    return R.top(V.table(spark, d, "events"), ["event_type"], [F.desc("event_id")], 5).select(F.col("event_type").alias("tbl"), F.col("event_id").alias("version"), F.col("rank").alias("rn"))
-
-
-@query("centroids", "SELECT label, i, round(sum(CAST(x AS DOUBLE)) / count(*), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+    s = T.Store(spark, V.scratch(spark, "store"))
+    docs, items, labels = (V.table(spark, d, t).select(F.col(c).alias("id")) for t, c in (("documents", "doc_id"), ("benchmark", "item_id"), ("labels", "doc_id")))
+    s.commit({"a": docs, "b": docs}, note="first")
+    s.tag("start")
+    s.commit({"a": items}, note="replaced")
+    s.commit(append={"a": labels}, note="more")
+    s.restore("start")
+    s.vacuum(3600)
+    h = s.history()
+    sizes = None
+    for r in h.select("table_name", "version").collect():
+        n = s.read(r["table_name"], r["version"]).agg(F.count("*").alias("n_rows")).select(F.lit(r["table_name"]).alias("table_name"), F.lit(r["version"]).cast("long").alias("version"), "n_rows")
+        sizes = n if sizes is None else sizes.unionByName(n)
+    tags = F.array_join(F.transform("tags", lambda t: F.regexp_replace(t, "^before-restore-.*", "before-restore")), ",")
+    return h.join(sizes, ["table_name", "version"]).select("table_name", F.col("version").cast("int").alias("version"), "note", tags.alias("tags"), "n_rows")
+
+
+@query("centroids", "SELECT label, i, round(sum(CAST(x AS DOUBLE)) / count(*), 5) AS mean, count(*) AS n FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0) GROUP BY label, i")
 def centroids(spark, d):
-    x = vectors_of(spark, d).select("label", F.posexplode("embedding").alias("i", "x"))
-    return x.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double")) / F.count("*"), 5).alias("mean")).select("label", F.col("i").cast("long").alias("i"), "mean")
+    x = I.centroids(vectors_of(spark, d)).select("label", F.posexplode("embedding").alias("i", "x"), "n")
+    return x.select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("mean"), "n")
 
 
 @query("content_hash_dups", "SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
@@ -280,14 +389,37 @@ def conversation_group(spark, d):
     return g.select("conv_id", "n", F.array_join(F.transform("r", lambda x: x["role"]), ">").alias("roles"))
 
 
-@query("migration_key_rename", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS canonical_k FROM events WHERE props LIKE '%\"k\"%'")
+@query("migration_key_rename", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'kept' ELSE json_extract_string(props, '$.k') END AS canonical_k, 1 AS n_keys FROM events WHERE props LIKE '%\"k\"%'")
 def migration_key_rename(spark, d):
-    return V.table(spark, d, "events").where(F.col("props").like('%"k"%')).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("canonical_k"))
+    props = F.from_json("props", "map<string, string>")
+    both = X.merge_maps(props, F.when(F.col("event_type") == "view", F.create_map(F.lit("canonical_k"), F.lit("kept"))))  # where both keys stand, the canonical one wins
+    m = V.table(spark, d, "events").where(F.col("props").like('%"k"%')).select("event_id", X.rename_keys(both, {"k": "canonical_k"}).alias("m"))
+    return m.select("event_id", F.col("m")["canonical_k"].alias("canonical_k"), F.size("m").alias("n_keys"))
+
+
+def _line(name, severity, ids):
+    return f"""SELECT '{name}' AS name, CASE WHEN count(*) = 0 THEN 'ok' ELSE '{severity}' END AS severity, count(*) AS n,
+    coalesce(string_agg(x, ', ' ORDER BY x) FILTER (WHERE r <= 5), '') || CASE WHEN count(*) > 5 THEN ' ... (+' || (count(*) - 5) || ' more)' ELSE '' END AS details
+    FROM (SELECT x, row_number() OVER (ORDER BY x) AS r FROM (SELECT CAST({ids}))"""
 
 
-@query("integrity_report", "SELECT 'documents without labels' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'labels without documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'zero vectors', count(*) FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) = 0")
+LABELLED = f"(SELECT doc_id, position, '#/texts/' || position AS ref, label FROM ({ITEMS}))"
+REPORT = " UNION ALL ".join([
+    _line("documents without metadata", "fail", "doc_id AS VARCHAR) AS x FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
+    _line("metadata without documents", "fail", "doc_id AS VARCHAR) AS x FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
+    _line("chunks without documents", "warn", "vec_id AS VARCHAR) AS x FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)"),
+    _line("items without documents", "warn", "doc_id AS VARCHAR) AS x FROM documents WHERE false"),
+    _line("chunked documents without items", "warn", "doc_id AS VARCHAR) AS x FROM documents WHERE text IS NULL AND doc_id IN (SELECT vec_id FROM embeddings)"),
+    _line("chunks with dangling references", "warn", f"vec_id AS VARCHAR) AS x FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM {LABELLED} i WHERE i.doc_id = vec_id AND ref = '#/texts/' || embeddings.label)"),
+    _line("vectors of another size", "fail", "vec_id AS VARCHAR) AS x FROM embeddings WHERE len(embedding) <> 64"),
+    _line("chunks without an embedding", "warn", "vec_id AS VARCHAR) AS x FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) = 0"),
+    _line("pictures without bytes", "warn", "doc_id AS VARCHAR) AS x FROM documents WHERE false"),
+])
+
+
+@query("integrity_report", REPORT)
 def integrity_report(spark, d):
-    docs, labels = docs_of(spark, d).select("doc_id"), V.table(spark, d, "labels").select("doc_id")
-    line = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    zero = vectors_of(spark, d).where(F.forall("embedding", lambda x: x == 0))
-    return line("documents without labels", docs.join(labels, "doc_id", "left_anti")).unionByName(line("labels without documents", labels.join(docs, "doc_id", "left_anti"))).unionByName(line("zero vectors", zero))
+    docs = docs_of(spark, d)
+    items = V.items(docs).withColumn("self_ref", F.concat(F.lit("#/texts/"), F.col("position").cast("string")))
+    chunks = vectors_of(spark, d).select(F.col("vec_id").alias("id"), F.col("vec_id").alias("document_id"), F.array(F.concat(F.lit("#/texts/"), F.col("label").cast("string"))).alias("refs"), F.col("embedding").alias("vector"))
+    return I.report(docs.select("doc_id"), V.table(spark, d, "labels").select("doc_id"), chunks, items, 64)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: levels of documents within documents, the outermost included.
@@ -33,16 +31,21 @@ def join_slices(slices: DataFrame, items: DataFrame, failed: DataFrame) -> DataF
     return both.withColumns({"position": F.col("position") + F.col("_from"), "page_no": F.col("page_no") + F.col("_page")}).drop("slice", "_from", "_page")
 
 
+def _quoted(name: Column) -> Column:
+    """Percent-encoded, but for letters, digits and ``_.-~``."""
+    form = F.url_encode(name)  # of forms: blanks are plus signs, an asterisk stays and a tilde doesn't
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def attachments(found: DataFrame, depth: int) -> DataFrame:
     """``uri, parent_uri, content, content_hash, depth`` of ``parent_uri, name, content`` attached to documents at ``depth``.
 
     Nameless files are left out; of one name in one document the last by content hash stays. At the deepest level there are none.
     """
-    quoted = F.udf(lambda name: quote(name, safe=""), "string")  # names only, a few a document
     named = found.where("coalesce(name, '') <> ''").withColumn("content_hash", F.md5("content"))
     if depth + 1 >= MAX_DEPTH:
         named = named.where(F.lit(False))
-    child = named.withColumn("uri", F.concat("parent_uri", F.lit("#attachment="), quoted("name")))
+    child = named.withColumn("uri", F.concat("parent_uri", F.lit("#attachment="), _quoted(F.col("name"))))
     last = Window.partitionBy("uri").orderBy(F.desc("content_hash"))
     return child.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").select("uri", "parent_uri", "content", "content_hash", F.lit(depth + 1).alias("depth"))
 

@@ -43,15 +43,24 @@ class Store:
         return json.loads(text) if text.endswith("}\n") else None
 
     def _create(self, name: str, value: dict) -> None:
-        p = self._path(f"{self.root}/{name}")
+        """A file that is there whole or not at all: written aside, then renamed; raises ``Conflict`` if the name is taken.
+
+        The rename is atomic in file systems such as HDFS; stores of objects need a lock of their own.
+        """
+        folder, _, file = name.rpartition("/")
+        aside, p = self._path(f"{self.root}/{folder}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
+        stream = self._fs.create(aside, False)
+        self._io.write(json.dumps(value, sort_keys=True) + "\n", stream, "UTF-8")
+        stream.close()
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        none = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            stream = self._fs.create(p, False)
-        except Exception as e:  # the JVM's error when the file exists
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), sc._jsc.hadoopConfiguration()).rename(aside, p, none)
+        except Exception as e:  # the JVM's error when the name is taken
+            self._fs.delete(aside, False)
             if self._fs.exists(p):
                 raise Conflict(name) from e
             raise
-        self._io.write(json.dumps(value, sort_keys=True) + "\n", stream, "UTF-8")
-        stream.close()
 
     def versions(self) -> dict[int, dict]:
         """All manifests by version."""
@@ -82,11 +91,23 @@ class Store:
         return {"paths": [path], "schema": json.loads(df.schema.json())}
 
     def _publish(self, base: int, tables: dict, note: str) -> int:
-        last = max((int(n.split(".")[0]) for n in self._names("_manifest") if n.endswith(".json") and not n.startswith(".")), default=0)
+        # the name first, then the check: of writers on one base, one gets the name
+        new = 1 + max((int(n.split(".")[0]) for n in self._names("_manifest") if n.endswith(".json") and not n.startswith(".")), default=0)
         if self.version() != base:
             raise Conflict(f"version {base} is not the newest")
-        self._create(f"_manifest/{last + 1:012d}.json", {"version": last + 1, "at": datetime.now(UTC).isoformat(), "note": note, "tables": tables})
-        return last + 1
+        self._create(f"_manifest/{new:012d}.json", {"version": new, "at": datetime.now(UTC).isoformat(), "note": note, "tables": tables})
+        return new
+
+    def mark(self, name: str) -> bool:
+        """Set a lasting mark; whether it was not there yet."""
+        try:
+            self._create(f"_marks/{name}.json", {"at": datetime.now(UTC).isoformat()})
+        except Conflict:
+            return False
+        return True
+
+    def marked(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/_marks/{name}.json"))
 
     def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, note: str = "", base: int | None = None) -> int:
         """Replace and append whole tables in one version; all or nothing. Returns the version."""

@@ -73,11 +73,19 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def store_sink(store, table: str) -> Callable[[DataFrame, int], None]:
-    """A sink that appends each batch to a table of the store once; the note of the version names the batch."""
+    """A sink that appends each batch to a table of the store once.
+
+    The version's note names the batch, and so does a lasting mark, which a vacuum leaves.
+    A batch whose writer was lost between the two has its note still in the newest versions.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         note = f"{table} batch {batch_id}"
+        name = f"{table}-{batch_id}"
+        if store.marked(name):
+            return
         if all(m["note"] != note for m in store.versions().values()):
             store.commit(append={table: batch}, note=note)
+        store.mark(name)
 
     return put

@@ -76,3 +76,32 @@ def test_lookups(store):
     assert ids(S.list_documents(meta, "title like '%a'", 2, 1)) == ["3", "4"]
     with pytest.raises(ValueError):
         S.list_documents(meta, "parent_uri = 'a'")
+
+
+def test_two_writers_lose_no_update(store, spark, monkeypatch):
+    more = spark.createDataFrame([("c9", "1", 9)], "id string, document_id string, n int")
+    create, raced = S.Store._create, []
+
+    def late(self, name, value):
+        if not raced:  # another writer commits between our check and our manifest
+            raced.append(0)
+            raced[0] = S.Store(spark, store.root).commit(append={"chunks": more})
+        return create(self, name, value)
+
+    monkeypatch.setattr(S.Store, "_create", late)
+    with pytest.raises(S.Conflict):
+        store.commit(append={"chunks": more})
+    assert raced == [2] and store.version() == 2 and store.read("chunks").count() == 9
+    assert not [n for n in store._names("_manifest") if not n.endswith(".json")]
+
+
+def test_stream_batches_once_after_a_vacuum(store, spark):
+    from lodestone.streaming.sync import store_sink
+
+    put, batch = store_sink(store, "stream"), spark.range(3)
+    put(batch, 0)
+    put(batch, 1)
+    store.commit(append={"stream": spark.range(1)}, note="other")
+    store.vacuum(0)
+    put(batch, 1)
+    assert store.read("stream").count() == 7
