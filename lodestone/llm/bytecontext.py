@@ -66,16 +66,39 @@ def grams(flat: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 class GramCounter:
-    """Counts of grams, merged by sorting."""
+    """Counts of grams; what is added is merged by one sort when it outgrows what is merged."""
 
     def __init__(self):
-        self.codes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._codes, self._counts, self._new, self._size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
     def add(self, code: np.ndarray) -> None:
-        c, n = np.unique(code, return_counts=True)
-        both = np.concatenate([self.codes, c])
-        self.codes, back = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(back, np.concatenate([self.counts, n]), len(self.codes)).astype(np.int64)
+        self._new.append(np.unique(code, return_counts=True))
+        self._size += len(self._new[-1][0])
+        if self._size > max(HELD // 2, len(self._codes)):
+            self._merge()
+
+    def _merge(self) -> None:
+        codes = np.concatenate([self._codes, *(c for c, _ in self._new)])
+        counts = np.concatenate([self._counts, *(n for _, n in self._new)])
+        order = np.argsort(codes, kind="stable")  # runs that are sorted already
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.r_[len(codes) > 0, codes[1:] != codes[:-1]][: len(codes)])
+        self._codes, self._counts = codes[first], np.add.reduceat(counts, first) if len(first) else counts
+        self._new, self._size = [], 0
+
+    def __len__(self) -> int:
+        """Grams held, those not merged yet counted each."""
+        return len(self._codes) + self._size
+
+    @property
+    def codes(self) -> np.ndarray:
+        self._merge()
+        return self._codes
+
+    @property
+    def counts(self) -> np.ndarray:
+        self._merge()
+        return self._counts
 
 
 def tree(counts: DataFrame, depth: int, nodes: int, by: list[str] = (), weight: str = "n") -> tuple[pd.DataFrame, pd.DataFrame]:

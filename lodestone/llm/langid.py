@@ -46,7 +46,7 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = held.setdefault(lang, GramCounter())
             for flat, at, _ in pieces([encoded(t) for t in rows["text"]], DEPTH):
                 own.add(grams(flat, at, DEPTH))
-        if sum(len(c.codes) for c in held.values()) > HELD:
+        if sum(map(len, held.values())) > HELD:
             yield from (pd.DataFrame({"lang": k, "code": c.codes, "n": c.counts}) for k, c in held.items())
             held = {}
     yield from (pd.DataFrame({"lang": k, "code": c.codes, "n": c.counts}) for k, c in held.items())

@@ -77,7 +77,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held.update(words_of(t))
         for flat, at, _ in pieces([encoded(t) for t in b["text"]], DEPTH):
             counter.add(grams(flat, at, DEPTH))
-        if len(counter.codes) > HELD or len(held) > HELD // 2:
+        if len(counter) > HELD and len(counter.codes) > HELD or len(held) > HELD // 2:
             yield from handed()
             counter, held, n_texts = GramCounter(), Counter(), 0
     yield from handed()
@@ -237,39 +237,35 @@ class Model:
         return self._known
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text, without the bytes that ``rare`` gives."""
-        out = np.zeros(len(texts))
+        """log10 of the probability of each text, without the bytes after contexts that were not sent."""
+        return self.scored(texts)[0]
+
+    def scored(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """``log10`` of the texts; and text, gram and count of the bytes after contexts that were not sent."""
         if self.contexts is None:
-            return np.array([-8.0 * len(t) for t in texts]) * math.log10(2)
+            return np.array([-8.0 * len(t) for t in texts]) * math.log10(2), []
+        out, rare = np.zeros(len(texts)), []
+        width = 8 * (DEPTH + 1)
         for flat, at, owner in pieces(texts, DEPTH):
-            bits = np.nan_to_num(self.log2[self.contexts.cells(flat, at)])
+            bits = self.log2[self.contexts.cells(flat, at)]
+            lost = np.isnan(bits)
+            if lost.any():
+                bits[lost] = 0
+                # texts of a batch are fewer than the bits left
+                key, n = np.unique(owner[lost].astype(np.int64) << width | grams(flat, at[lost], DEPTH), return_counts=True)
+                rare.append((key >> width, key & ((1 << width) - 1), n))
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             np.add.at(out, owner[first], np.add.reduceat(bits, first, dtype=np.float64))
-        return out * math.log10(2)
+        return out * math.log10(2), rare
 
-    def rare(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Text, gram and count of the bytes after contexts that were not sent."""
-        for flat, at, owner in pieces(texts, DEPTH):
-            lost = np.isnan(self.log2[self.contexts.cells(flat, at)])
-            owner, code = owner[lost], grams(flat, at[lost], DEPTH)
-            order = np.lexsort((code, owner))
-            owner, code = owner[order], code[order]
-            first = np.flatnonzero(np.r_[len(code) > 0, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])][: len(code)])
-            yield owner[first], code[first], np.diff(np.r_[first, len(code)])
-
-    def head(self, text: str | None) -> tuple[int, int, float]:
-        """Tokens, tokens known from the head, and their base score, the end token included."""
-        words = words_of(text)
-        logs = np.fromiter(map(self.known().__getitem__, words), np.float64, len(words))
-        seen = ~np.isnan(logs)
+    def words(self, text: str | None) -> tuple[int, int, float, Counter]:
+        """Tokens, tokens known from the head, their base score, the end token included, and the other words."""
+        found = words_of(text)
+        logs = np.fromiter(map(self.known().__getitem__, found), np.float64, len(found))
+        other = np.flatnonzero(np.isnan(logs))
         end = math.log10((self.texts + 0.5) / self.scale())
-        return len(words) + 1, int(seen.sum()) + (self.texts > 0), float(logs[seen].sum()) + end
-
-    def tail(self, text: str | None) -> Counter:
-        if not self.types:  # no word is known
-            return Counter()
-        known = self.known()
-        return Counter(w for w in words_of(text) if known[w] != known[w])
+        rest = Counter(found[i] for i in other.tolist()) if self.types else Counter()  # without any type no word is known
+        return len(found) + 1, len(found) - len(other) + (self.texts > 0), float(np.nansum(logs)) + end, rest
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -302,35 +298,34 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score, bits_per_byte`` for every row of ``docs``."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # NODES and HEAD bound it; the other mixtures stay tables
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, n_bytes long")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for texts in batches:
-            raw = [encoded(t) for t in texts]
-            head = [own.head(t) for t in texts]
-            yield pd.DataFrame(
-                {"n_tokens": [h[0] for h in head], "n_known": [h[1] for h in head], "base": [h[2] for h in head], "score": own.log10(raw), "n_bytes": [len(r) for r in raw]}
-            ).astype({"n_tokens": "int64", "n_known": "int64", "base": "float64", "score": "float64", "n_bytes": "int64"})
-
+    plain = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named")]  # a null would make floats of a batch of ids
+    rows = docs.select(*plain, "text", F.xxhash64("doc_id", "text").alias("row_key"))
     joins_grams = bool(model.mixtures)
 
-    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for a text, and one for each word and gram of it that the model doesn't have."""
         own = shared.value
         for b in batches:
-            keys, words_, n = [], [], []
-            for key, text in zip(b["row_key"], b["text"], strict=True):
-                found = own.tail(text)
-                keys += [key] * len(found)
-                words_ += map(hashed, found)
-                n += found.values()
-            yield pd.DataFrame({"kind": WORD, "row_key": np.array(keys, np.int64), "key": np.array(words_, np.int64), "tf": np.array(n, np.int64)})
-            for owner, code, tf in own.rare([encoded(t) for t in b["text"]]) if joins_grams else ():
-                yield pd.DataFrame({"kind": GRAM, "row_key": b["row_key"].to_numpy(np.int64)[owner], "key": code, "tf": tf})
+            raw = [encoded(t) for t in b["text"]]
+            told = [own.words(t) for t in b["text"]]
+            scores, rare = own.scored(raw)
+            yield pd.DataFrame(
+                {
+                    "kind": TEXT, "row_key": b["row_key"], "key": 0, "tf": 0, "doc_id": b["doc_id"], "named": b["named"], "n_tokens": [t[0] for t in told], "n_known": [t[1] for t in told],
+                    "base": [t[2] for t in told], "score": scores, "n_bytes": [len(r) for r in raw],
+                }
+            )
+            row_keys = b["row_key"].to_numpy(np.int64)
+            owner = np.repeat(np.arange(len(told)), [len(t[3]) for t in told])
+            tails = [(WORD, owner, np.array([hashed(w) for t in told for w in t[3]], np.int64), np.array([n for t in told for n in t[3].values()], np.int64))]
+            tails += [(GRAM, *r) for r in rare] if joins_grams else []
+            for kind, at, key, n in tails:
+                yield pd.DataFrame({"kind": kind, "row_key": row_keys[at], "key": key, "tf": n, "doc_id": 0, "named": False, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0, "n_bytes": 0})
 
     scale = model.scale()
-    tail = materialise(rows.select("row_key", "text").mapInPandas(tails, "kind int, row_key long, key long, tf long"), "tails")
+    both = "kind int, row_key long, key long, tf long, doc_id long, named boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
+    both = materialise(rows.select("doc_id", "named", "row_key", "text").mapInPandas(passed, both), "passed")
+    tail = both.where(F.col("kind") != TEXT).select("kind", "row_key", "key", "tf")
     word = F.col("kind") == WORD
     wanted = materialise(tail.groupBy("kind", "key").agg(F.count("*").alias("c")), "wanted")
     known = wanted.where(word).join(words, "key", "left").select("kind", "key", "n", F.lit(None).cast("double").alias("bits"), "c")
@@ -342,7 +337,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
         F.sum(F.when(word & F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("tf") * F.col("bits")).alias("tail_bits"),
     )
-    out = materialise(rows.select("doc_id", "row_key", whole("text").alias("s")).select("doc_id", "row_key", "s.*"), "scores")
+    out = both.where(F.col("kind") == TEXT).select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "row_key", "n_tokens", "n_known", "base", "score", "n_bytes")
     equal = out.groupBy("row_key").agg(F.count("*").alias("equal")).where("equal > 1")
     joined = out.join(tail, "row_key", "left").join(equal, "row_key", "left")
     share = F.coalesce("equal", F.lit(1))
