@@ -126,3 +126,45 @@ def agent_text(chunk_id: Column, score: Column, rank: Column, total: Column, tit
     told = F.filter(F.map_entries(captions), lambda e: F.coalesce(e["value"], F.lit("")) != "")
     figures = F.transform(told, lambda e: F.concat(F.lit("Figure caption ("), e["key"], F.lit("): "), e["value"]))
     return F.concat_ws("\n", F.concat(F.lit("["), chunk_id, F.lit("] "), place), source, kind, figures, F.concat(F.lit("Content:\n"), F.coalesce(content, F.lit(""))))
+
+
+def citation_text(number: Column, title: Column, uri: Column, pages: Column, headings: Column, pictures: Column, content: Column) -> Column:
+    """A citation as plain text: number, title or else uri, place, figures and content, a line each, and an empty line."""
+    n = F.coalesce(F.size(pages), F.lit(0))
+    first, last = F.get(pages, F.lit(0)).cast("string"), F.get(pages, n - 1).cast("string")
+    where = F.when(n == 1, F.concat(F.lit("p. "), first)).when(n > 1, F.concat(F.lit("pp. "), first, F.lit("-"), last))
+    section = F.get(headings, F.coalesce(F.size(headings), F.lit(0)) - 1)
+    place = F.concat_ws(", ", where, F.when(section != "", F.concat(F.lit("Section: "), section)))
+    source = F.concat_ws(" - ", F.coalesce(uri, F.lit("")), F.when(place != "", place))
+    named = F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.coalesce(F.when(title != "", title), uri, F.lit("")), F.lit(" "), source)
+    figures = F.transform(F.coalesce(pictures, F.array().cast("array<string>")), lambda r: F.concat(F.lit("[Figure: "), r, F.lit("]")))
+    return F.concat_ws("\n", named, figures, F.coalesce(content, F.lit("")), F.lit(""))
+
+
+def cited_texts(texts: Column) -> Column:
+    """All citations of an answer under their heading; empty without any."""
+    return F.when(F.size(texts) > 0, F.concat_ws("\n", F.lit("## Citations\n"), texts)).otherwise("")
+
+
+def meta_options(options: Column) -> Column:
+    """A map of ``KEY=VALUE`` texts, the value as JSON text: a literal where it is valid JSON, else a string; later keys win.
+
+    An option without ``=`` or without a key is an error, a null option is left out.
+    """
+    key, value = lambda o: F.substring_index(o, "=", 1), lambda o: F.substring(o, F.instr(o, "=") + 1, F.length(o))
+    bad = lambda o: ~F.contains(o, F.lit("=")) | F.startswith(o, F.lit("="))
+    quoted = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    told = F.filter(options, lambda o: o.isNotNull())
+    last = F.filter(told, lambda o, i: ~F.exists(F.slice(told, i + 2, F.size(told)), lambda p: key(p) == key(o)))
+    one = lambda o: F.struct(F.when(bad(o), F.raise_error(F.lit("an option must be KEY=VALUE")).cast("string")).otherwise(key(o)).alias("key"), F.coalesce(F.to_json(F.try_parse_json(value(o))), quoted(value(o))).alias("value"))
+    return F.map_from_entries(F.transform(last, one))
+
+
+def decoded_uri(uri: Column) -> Column:
+    """The bytes of a base64 data URI; null for others and for what is not base64."""
+    return F.try_to_binary(F.when(uri.rlike(r"^data:[^,]*;base64,"), F.regexp_replace(uri, r"^data:[^,]*,", "")), F.lit("base64"))
+
+
+def data_uri(data: Column, kind: str = "image/png") -> Column:
+    """Bytes as a base64 data URI, without the line breaks that some settings put in."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(data), r"\s", ""))

@@ -107,13 +107,24 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 def families(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """``family, id, keep, similarity``: of each component the document with most chunks stays, of equals the first.
 
-    ``similarity`` is the best of the component, to three places. ``counts`` is ``id, n``.
+    ``similarity`` is the best of the member's own pairs, to three places. ``counts`` is ``id, n``.
     """
-    member = components(pairs)
-    best = pairs.join(member.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.round(F.max("similarity"), 3).alias("similarity"))
-    sized = member.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = pairs.select(F.explode(F.array("a", "b")).alias("id"), "similarity").groupBy("id").agg(F.round(F.max("similarity"), 3).alias("similarity"))
+    sized = components(pairs).join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     keep = sized.groupBy("component").agg(F.max(F.struct("n", (-F.col("id")).alias("i"))).alias("k"))
-    return sized.join(keep, "component").join(best, "component").select(F.col("component").alias("family"), "id", (F.col("id") == -F.col("k.i")).alias("keep"), "similarity")
+    return sized.join(keep, "component").join(best, "id").select(F.col("component").alias("family"), "id", (F.col("id") == -F.col("k.i")).alias("keep"), "similarity")
+
+
+def family_blocks(found: DataFrame, counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``family, block``: one JSON object, which is YAML too, for each family of ``families``, for an export as text.
+
+    It names the document to keep and lists members by id, with ``labels`` (``id, label``; the id where it is null) and
+    chunks. Members of a family meet in one task.
+    """
+    m = found.join(counts, "id", "left").join(labels, "id", "left")
+    member = F.struct(F.col("id").alias("document_id"), F.coalesce("label", F.col("id").cast("string")).alias("document"), F.coalesce("n", F.lit(0)).cast("long").alias("chunks"), "similarity", F.col("keep").alias("keep_suggested"))
+    g = m.groupBy("family").agg(F.max(F.when(F.col("keep"), F.col("id"))).alias("keep"), F.sort_array(F.collect_list(member)).alias("documents"))
+    return g.select("family", F.to_json(F.struct(F.col("family").alias("group"), "keep", "documents")).alias("block"))
 
 
 def common_prefix(texts: Column, least: int = 16) -> Column:

@@ -219,3 +219,26 @@ def breaker(outcomes: DataFrame, threshold: int, cooldown_seconds: float) -> Dat
     state = tail.groupBy("target").agg(F.count_if(F.col("_goods") == 0).alias("failures"), F.max(F.when(F.col("_goods") == 0, F.col("ts"))).alias("last"))
     opened = F.when(F.col("failures") >= threshold, F.col("last"))
     return state.select("target", "failures", opened.alias("opened_at"), (opened + F.make_interval(secs=F.lit(cooldown_seconds).cast("decimal(18,6)"))).alias("open_until"))
+
+
+def drain_report(queue: DataFrame, since: Column, seen: int = 0) -> DataFrame:
+    """One row ``total, completed, succeeded, dead, queued, claimed`` of a run that began at ``since``.
+
+    Live jobs count whenever they were added, ended ones if the run ended them. ``seen`` is the total of the report before,
+    under which ``total`` does not fall.
+    """
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    counts = queue.where(live() | (F.col("completed_at") >= since)).agg(n("succeeded"), n("dead"), n("queued"), n("claimed"))
+    done = F.col("succeeded") + F.col("dead")
+    total = F.greatest(F.lit(seen).cast("long"), done + F.col("queued") + F.col("claimed"))
+    return counts.select(total.alias("total"), F.least(done, total).alias("completed"), "succeeded", "dead", "queued", "claimed")
+
+
+def source_stats(queue: DataFrame, now: Column) -> DataFrame:
+    """``source_id, queued, claimed, dead, done_5m, done_30m, done_1h, oldest_s``: what waits, what ended lately, and the age of
+    the oldest that waits in whole seconds, null if none does.
+    """
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    done = lambda s: F.count_if((F.col("status") == "succeeded") & (F.col("completed_at") >= now - F.make_interval(secs=F.lit(s))))
+    oldest = F.min(F.when(F.col("status") == "queued", F.col("scheduled_at")))
+    return queue.groupBy("source_id").agg(n("queued"), n("claimed"), n("dead"), done(300).alias("done_5m"), done(1800).alias("done_30m"), done(3600).alias("done_1h"), F.timestamp_diff("SECOND", oldest, now).alias("oldest_s"))

@@ -72,3 +72,14 @@ def backfill_levels(items: DataFrame, again: DataFrame) -> DataFrame:
     new = again.join(same, "doc_id", "left_semi").groupBy("doc_id", "self_ref").agg(F.max("level").alias("_level"), F.lit(True).alias("_new"))
     old = items if "level" in items.columns else items.withColumn("level", F.lit(None).cast("int"))
     return old.join(new, ["doc_id", "self_ref"], "left").withColumn("level", F.when(F.col("_new"), F.col("_level")).otherwise(F.col("level"))).drop("_level", "_new")
+
+
+def structural_title(items: DataFrame) -> DataFrame:
+    """``doc_id, title`` of ``doc_id, position, label, text, layer``: the last title of the furniture, else the first of the body,
+    else the first header; blank texts aside. Documents without any are left out.
+    """
+    i = items.where("label in ('title', 'section_header')").withColumn("_t", F.trim("text")).where("_t <> ''")
+    title, furniture = F.col("label") == "title", F.coalesce(F.col("layer") == "furniture", F.lit(False))
+    pick = lambda agg, when: agg(F.when(when, F.col("_t")), F.when(when, F.col("position")))
+    best = F.coalesce(pick(F.max_by, title & furniture), pick(F.min_by, title & ~furniture), pick(F.min_by, ~title))
+    return i.groupBy("doc_id").agg(best.alias("title"))

@@ -263,3 +263,21 @@ def list_documents(meta: DataFrame, where: str | None = None, limit: int | None
         rows = rows.where(where)
     rows = rows.orderBy("id").offset(offset)
     return rows if limit is None else rows.limit(limit)
+
+
+def document_page(meta: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
+    """The rows of one page of documents by id, each with ``page, total_pages, total_documents``; at least one page is counted."""
+    n = meta.agg(F.count("*").alias("total_documents"))
+    pages = F.greatest(F.ceil(F.col("total_documents") / size), F.lit(1)).cast("long")
+    rows = meta.orderBy("id").offset((page - 1) * size).limit(size)
+    return rows.crossJoin(F.broadcast(n)).withColumns({"page": F.lit(page), "total_pages": pages})
+
+
+def split_columns(wide: DataFrame, moved: DataFrame, columns: list[str], defaults: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows ``id`` and ``columns`` that ``moved`` lacks yet, with defaults for nulls, and ``wide`` without these columns.
+
+    A second run after a broken one moves only the rest; columns that are gone from ``wide`` are left out.
+    """
+    there = [c for c in columns if c in wide.columns]
+    rows = wide.select("id", *[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in there])
+    return rows.join(moved.select("id"), "id", "left_anti"), wide.drop(*there)
