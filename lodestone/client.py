@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars as X
 from lodestone.functions.embedding import Embedder, hashing
-from lodestone.operators import context
+from lodestone.operators import chunking, context
 from lodestone.operators import retrieval as R
+from lodestone.operators.structure import structural_title
 from lodestone.sources.files import markdown_items
 from lodestone.sources.store import Store, list_documents
 
@@ -15,43 +19,79 @@ from lodestone.sources.store import Store, list_documents
 TABLES = {"document_meta": "id", "documents": "id", "document_items": "doc_id", "chunks": "document_id"}
 
 
+def _no_metadata() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def _entries(column: str) -> Column:
+    """A map as sorted entries, which compare as maps don't."""
+    return F.array_sort(F.map_entries(column))
+
+
 class Corpus:
-    """Documents are ``uri, title, content`` and optionally ``parent_uri``; their id is a hash of the uri."""
+    """Documents are ``uri, title, content`` and optionally ``parent_uri`` and ``metadata``, a map of texts; their id is a hash of the uri.
+
+    A null title becomes the one that the structure of the document gives.
+    """
 
     def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, words: int = 200):
         self.store, self.embed, self.words = Store(spark, root), embed or hashing(), words
 
     def _parts(self, docs: DataFrame) -> dict[str, DataFrame]:
+        now = F.lit(datetime.now(UTC))
+        if "metadata" not in docs.columns:
+            docs = docs.withColumn("metadata", F.lit(None).cast("map<string,string>"))
         rest = [c for c in docs.columns if c != "uri"]
-        d = docs.groupBy("uri").agg(F.max(F.struct(*rest)).alias("_r")).select("uri", "_r.*").withColumn("id", F.sha2("uri", 256))  # of one uri always the same row
+        rank = F.struct(*[_entries(c) if c == "metadata" else F.col(c) for c in rest])
+        d = docs.groupBy("uri").agg(F.max_by(F.struct(*rest), rank).alias("_r")).select("uri", "_r.*").withColumn("id", F.sha2("uri", 256))  # of one uri always the same row
         parent = F.col("parent_uri") if "parent_uri" in docs.columns else F.lit(None).cast("string")
         items = markdown_items(d.withColumnRenamed("content", "text"), "id").withColumns({"self_ref": F.concat(F.lit("#/texts/"), F.col("position").cast("string")), "pages": F.lit(None).cast("array<int>")})
-        meta = d.select("id", "uri", "title", parent.alias("parent_uri"), F.md5("content").alias("content_hash"))
+        found = structural_title(items.withColumn("layer", F.lit("body"))).select(F.col("doc_id").alias("id"), F.col("title").alias("_found"))
+        meta = d.join(found, "id", "left").select(
+            "id", "uri", F.coalesce("title", "_found").alias("title"), parent.alias("parent_uri"), F.md5("content").alias("content_hash"),
+            F.coalesce("metadata", _no_metadata()).alias("metadata"), now.alias("created_at"), now.alias("updated_at"),
+        )
         return {"document_meta": meta, "documents": d.select("id", "content"), "document_items": items, "chunks": self._chunks(items)}
 
     def _chunks(self, items: DataFrame) -> DataFrame:
-        """Consecutive items up to about ``words`` words, headed by the last heading before them."""
-        order = Window.partitionBy("doc_id").orderBy("position")
-        n = F.size(F.split(F.trim("text"), r"\s+"))
-        before = F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heading = F.last(F.when(F.col("label") == "section_header", F.col("text")), True).over(order)
-        i = items.where("trim(text) <> ''").withColumns({"ord": F.floor(before / self.words).cast("int"), "heading": heading})
-        parts = F.sort_array(F.collect_list(F.struct("position", "text", "self_ref", "label", "heading")))
-        c = i.groupBy("doc_id", "ord").agg(parts.alias("p")).withColumn("content", F.array_join("p.text", "\n\n"))
+        """Chunks of at most ``words`` words that stay within a section; what is embedded starts with the section's heading."""
+        c = chunking.hybrid_chunks(items, self.words)
+        ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "part")) - 1
         chunk_id = F.concat_ws("-", "doc_id", F.col("ord").cast("string"))
-        return c.select(chunk_id.alias("id"), F.col("doc_id").alias("document_id"), "ord", "content", F.col("p.self_ref").alias("refs"), F.array_distinct("p.label").alias("labels"), F.get("p", F.lit(0))["heading"].alias("heading"), self.embed(F.col("content")).alias("vector"))
+        told = X.contextualised(F.col("headings"), F.col("content"))
+        return c.withColumn("ord", ord_).select(chunk_id.alias("id"), F.col("doc_id").alias("document_id"), "ord", "content", "refs", "labels", F.get("headings", F.size("headings") - 1).alias("heading"), self.embed(told).alias("vector"))
 
     def add(self, docs: DataFrame) -> int:
-        """Add documents; those whose uri is known are replaced. Appends only, when none is known."""
+        """Add documents; those whose uri is known are replaced, but keep their creation time and the metadata not given anew.
+
+        Appends only, when none is known.
+        """
         new = self._parts(docs)
         if self.store.version() == 0:
             return self.store.commit(new, note="add")
         ids = new["document_meta"].select("id")
         if self.store.read("document_meta").join(ids, "id", "left_semi").isEmpty():
             return self.store.commit(append=new, note="add")
+        before = self.store.read("document_meta").select("id", F.col("created_at").alias("_at"), F.col("metadata").alias("_old"))
+        meta = new["document_meta"].join(before, "id", "left").withColumns({"created_at": F.coalesce("_at", "created_at"), "metadata": X.merge_maps(F.col("_old"), F.col("metadata"))})
+        new["document_meta"] = meta.select(*new["document_meta"].columns)
         kept = {t: self.store.read(t).join(ids.withColumnRenamed("id", c), c, "left_anti").select(*new[t].columns) for t, c in TABLES.items()}
         return self.store.commit({t: kept[t].unionByName(new[t]) for t in TABLES}, note="replace")
 
+    def refresh(self, rows: DataFrame) -> int:
+        """Set titles and add metadata of known documents from ``uri, title, metadata``; null titles stay, of one uri one row counts.
+
+        A version is committed only if something changes; returns the newest one.
+        """
+        one = rows.groupBy("uri").agg(F.max_by(F.struct("title", "metadata"), F.struct("title", _entries("metadata"))).alias("_r"))
+        old = self.store.read("document_meta")
+        both = old.join(one, "uri", "left").withColumns({"_title": F.coalesce("_r.title", "title"), "_meta": X.merge_maps(F.col("metadata"), F.col("_r.metadata"))})
+        differs = ~F.col("_title").eqNullSafe(F.col("title")) | ~_entries("_meta").eqNullSafe(_entries("metadata"))
+        if both.where(differs).isEmpty():
+            return self.store.version()
+        new = both.withColumn("updated_at", F.when(differs, F.lit(datetime.now(UTC))).otherwise(F.col("updated_at"))).withColumns({"title": F.col("_title"), "metadata": F.col("_meta")})
+        return self.store.commit({"document_meta": new.select(*old.columns)}, note="refresh")
+
     def changed(self, docs: DataFrame) -> DataFrame:
         """Documents that are new or whose content differs from the stored one."""
         known = self.store.read("document_meta").select("uri", F.col("content_hash").alias("_hash"))

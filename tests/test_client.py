@@ -37,3 +37,23 @@ def test_hashing_embedder(spark):
     df = spark.createDataFrame([("one two two",), (None,), ("",)], "t string").select(E.hashing(8)(F.col("t")).alias("v"))
     norms = [round(sum(x * x for x in r["v"]), 4) for r in df.collect()]
     assert norms == [1.0, 0.0, 0.0]
+
+
+def test_metadata_titles_and_refresh(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "db"))
+    rows = [("a", None, "# Whales\n\nSong.", {"k": "1", "j": "2"}), ("b", None, "no header", None), ("a", None, "# Whales\n\nSong.", {"k": "0"})]
+    c.add(spark.createDataFrame(rows, "uri string, title string, content string, metadata map<string,string>"))
+    first = {r["uri"]: r for r in c.store.read("document_meta").collect()}
+    assert (first["a"].title, first["b"].title, first["b"].metadata) == ("Whales", None, {}) and first["a"].created_at == first["a"].updated_at
+    assert c.documents("metadata['k'] is not null").count() == 1
+    said = "uri string, title string, metadata map<string,string>"
+    was = c.store.version()
+    assert c.refresh(spark.createDataFrame([("a", "Whales", {}), ("b", None, None), ("zz", "new", {"x": "y"})], said)) == was
+    assert c.refresh(spark.createDataFrame([("a", None, {"k": "9"}), ("b", "Bee", None)], said)) == was + 1
+    now = {r["uri"]: r for r in c.store.read("document_meta").collect()}
+    assert now["a"].metadata["k"] == "9" and now["a"].title == "Whales" and now["b"].title == "Bee" and set(now) == {"a", "b"}
+    assert now["a"].created_at == first["a"].created_at and now["a"].updated_at > first["a"].updated_at
+    c.add(spark.createDataFrame([("b", None, "# Bees\n\nHum.", {"n": "1"})], "uri string, title string, content string, metadata map<string,string>"))
+    again = {r["uri"]: r for r in c.store.read("document_meta").collect()}["b"]
+    assert (again.title, again.metadata, again.created_at) == ("Bees", {"n": "1"}, first["b"].created_at)
+    assert {r["heading"] for r in c.store.read("chunks").collect()} == {"Whales", "Bees"}
