@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,15 +140,25 @@ class ShardSet:
         paths = [r["path"] for r in rows if r["path"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Drop all but the last ``keep`` versions and the files that only they name."""
+    def vacuum(self, keep: int = 1, abandoned_s: float = 86_400.0) -> None:
+        """Drop all but the last ``keep`` versions and the files that only they name.
+
+        What a writer left that was lost before its commit goes as well: folders that no kept version names, untouched for
+        ``abandoned_s`` seconds, which must be longer than any write takes.
+        """
         have = self.versions()
-        live = {r["path"] for v in have[-keep:] for r in self.manifest(v).collect()}
+        named = [r for v in have[-keep:] for r in self.manifest(v).collect()]
+        live, runs = {r["path"] for r in named}, {r["run"] for r in named}
         for v in have[:-keep]:
             for r in self.manifest(v).collect():
                 if r["path"] and r["path"] not in live:
                     self._fs.delete(self._path(r["path"]), False)
             self._fs.delete(self._path(f"{self.root}/manifest/v{v:010d}"), True)
+        for parent, lost in (("data", lambda n: n not in runs), ("manifest", lambda n: n.startswith("_"))):
+            folder = self._path(f"{self.root}/{parent}")
+            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
+                if lost(s.getPath().getName()) and time.time() - s.getModificationTime() / 1000 >= abandoned_s:
+                    self._fs.delete(s.getPath(), True)
 
 
 #: Arrivals that the query and the pipeline stage split a table into.

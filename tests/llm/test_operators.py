@@ -66,6 +66,13 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.train(edge, labels).entries == {}
 
 
+def test_drop_toxic_of_edge_cases(spark, edge, empty, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (edge, empty):  # too few labels for an entry, so everything stays as it is
+        kept = toxicity.drop_toxic(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+
+
 def brute_lexicon(rows):
     """Entries, exceptions and features of a lexicon by definition, from ``(text, label)``."""
     docs = [(set(toxicity.fold(t).split()), label) for t, label in rows]
@@ -150,6 +157,25 @@ def test_sharding(spark, edge, empty):
         s._commit(s.manifest(), "", 4)
 
 
+def test_sharding_of_two_writers(spark, edge):
+    s = sharding.ShardSet(spark, sharding.scratch(spark, "t"))
+    s.append(edge)
+    base = s.versions()[-1]
+    first, second = s._write(edge.limit(1)), s._write(edge.limit(2))
+    schema = edge.schema.json()
+    s._commit(s.manifest(base).unionByName(first), schema, base)
+    with pytest.raises(Exception, match="exist"):
+        s._commit(s.manifest(base).unionByName(second), schema, base)
+    assert s.read().count() == edge.count() + 1 and s.read(base).count() == edge.count()
+    runs = lambda: {x.getPath().getName() for x in s._fs.listStatus(s._path(f"{s.root}/data"))}
+    assert len(runs()) == 3
+    s.vacuum()
+    assert len(runs()) == 3  # the loser's files may belong to a write that goes on
+    s.vacuum(abandoned_s=0)
+    assert len(runs()) == 2 and s.read().count() == edge.count() + 1
+    assert not [x for x in s._fs.listStatus(s._path(f"{s.root}/manifest")) if x.getPath().getName().startswith("_")]
+
+
 def brute_hits(text, bench):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     hit, found = set(), set()
@@ -535,6 +561,22 @@ def test_chat(spark, empty):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_of_long_texts_and_of_many_turns(spark):
+    rows = [(7, 0, "user", LONG * 4), (7, 1, "assistant", "é<|" * 100_000), *[(8, k, ("user", "assistant")[k % 3 > 0], f"t{k}\\") for k in range(3000)]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_conversations(chat.format_conversations(turns)).collect():
+        own = [x for x in rows if x[0] == r["conv_id"]]
+        assert [tuple(t) for t in r["turns"]] == [x[2:] for x in own]
+        assert r["loss_text"] == "".join(x[3] for x in own if x[2] == "assistant")
+
+
+def test_chat_query_with_its_own_conversation_in_the_table(spark, tmp_path):
+    rows = [(-1, 0, "user", "mine"), (-1, 5, "assistant", None), (3, 0, "assistant", "x"), (3, 0, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.op8_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {-1: (4, len(chat.TRICKY)), 3: (2, 2)}
+
+
 def test_language_id(spark, edge, empty):
     d = "/root/testdata/sf0.01"
     got = langid.op9_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
