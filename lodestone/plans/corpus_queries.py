@@ -102,16 +102,49 @@ def resolve_ref_windows(spark, d):
     return g.withColumns({c: F.col(c).cast("long") for c in ("lo", "hi")})
 
 
-@rows_only("context_outward_growth")
+#: Characters that an expanded result may have.
+BUDGET = 3000
+#: The walk from the longest line of each document found: an item below, then one above, turn by turn.
+GROWTH = f"""run AS ({BM25}), items AS ({ITEMS}),
+hit AS (SELECT doc_id, position, text AS content, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, position) AS rn FROM items WHERE doc_id IN (SELECT doc_id FROM run)) WHERE rn = 1),
+near AS (SELECT i.*, row_number() OVER d AS idx, count(*) FILTER (WHERE i.label = 'section_header') OVER d AS section, bool_or(i.label = 'section_header') OVER (PARTITION BY i.doc_id) AS structured
+  FROM items i JOIN hit h ON h.doc_id = i.doc_id AND i.position BETWEEN h.position - 100 AND h.position + 100 WINDOW d AS (PARTITION BY i.doc_id ORDER BY i.position)),
+cost AS (SELECT *, CASE WHEN structured AND label = 'page_footer' THEN 0 ELSE length(text) END AS cost FROM near),
+sec AS (SELECT doc_id, section, sum(cost) AS chars, min(position) AS sec_lo, max(position) AS sec_hi FROM cost GROUP BY ALL),
+centre AS (SELECT doc_id, idx AS mid, structured AND chars <= {BUDGET} AND chars >= {BUDGET // 5} AS fits, structured AND chars > {BUDGET} AS bounded, sec_lo, sec_hi FROM hit JOIN cost USING (doc_id, position) JOIN sec USING (doc_id, section)),
+free AS (SELECT c.doc_id, c.idx, c.position, c.cost, mid, min(c.idx) OVER (PARTITION BY c.doc_id) AS first, max(c.idx) OVER (PARTITION BY c.doc_id) AS last FROM cost c JOIN centre USING (doc_id) WHERE NOT fits AND (NOT bounded OR c.position BETWEEN sec_lo AND sec_hi)),
+walk AS (SELECT doc_id, mid AS lo, mid AS hi, CAST(cost AS BIGINT) AS spent, 0 AS turn, first, last FROM free WHERE idx = mid UNION ALL
+  SELECT w.doc_id, CASE WHEN turn % 2 = 0 AND lo > w.first THEN lo - 1 ELSE lo END, CASE WHEN turn % 2 = 1 AND hi < w.last THEN hi + 1 ELSE hi END, spent + coalesce(f.cost, 0), turn + 1, w.first, w.last
+  FROM walk w LEFT JOIN free f ON f.doc_id = w.doc_id AND f.idx = CASE WHEN turn % 2 = 0 THEN lo - 1 ELSE hi + 1 END WHERE spent < {BUDGET} AND (lo > w.first OR hi < w.last)),
+grown AS (SELECT doc_id, sec_lo AS lo, sec_hi AS hi FROM centre WHERE fits UNION ALL SELECT doc_id, min(position), max(position) FROM (SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM walk GROUP BY doc_id) w JOIN free f USING (doc_id) WHERE f.idx BETWEEN w.lo AND w.hi GROUP BY doc_id)"""
+
+
+@query("context_outward_growth", f"WITH RECURSIVE {GROWTH} SELECT doc_id, query_id || '/' || doc_id AS result_id, lo, hi FROM run JOIN grown USING (doc_id)")
 def context_outward_growth(spark, d):
     items, hits = items_of(spark, d), item_hits(spark, d)
     matched = C.resolve(hits, items)
-    return C.expansion_ranges(matched, C.fetched(items, matched), 3000)
-
-
-@rows_only("expanded_results")
+    grown = C.expansion_ranges(matched, C.fetched(items, matched), BUDGET)
+    return grown.withColumns({c: F.col(c).cast("long") for c in ("lo", "hi")})
+
+
+#: All results of a document hit the same line, so they are one result, unless the clip leaves that line out: then each stands alone.
+@query("expanded_results", f"""WITH RECURSIVE {GROWTH},
+spans AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM near JOIN grown USING (doc_id) WHERE position BETWEEN lo AND hi AND length(text) > 0 AND NOT (structured AND label = 'page_footer')),
+whole AS (SELECT doc_id, content, position AS own, coalesce(base, '') AS base, CASE WHEN length(content) <= {BUDGET} THEN content ELSE substring(content, length(content) // 2 - {BUDGET // 4} + 1, {BUDGET // 2}) END AS anchor
+  FROM hit LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS base FROM spans GROUP BY doc_id) USING (doc_id)),
+win AS (SELECT *, CASE WHEN length(base) <= {BUDGET} OR anchor = '' OR instr(base, anchor) = 0 THEN least(length(base), {BUDGET}) ELSE least(length(base), greatest(0, instr(base, anchor) - 1 + length(anchor) // 2 - {BUDGET // 2}) + {BUDGET}) END AS z FROM whole),
+kept AS (SELECT s.doc_id, s.position, s.label FROM spans s JOIN win w USING (doc_id) WHERE length(base) <= {BUDGET} OR (s.a < w.z AND s.a + length(s.text) > greatest(0, w.z - {BUDGET}))),
+parts AS (SELECT w.doc_id, CASE WHEN length(base) > {BUDGET} THEN substring(base, greatest(0, z - {BUDGET}) + 1, {BUDGET}) ELSE base END AS content, w.own,
+  (SELECT string_agg('#/texts/' || position, ',' ORDER BY position) FROM kept k WHERE k.doc_id = w.doc_id) AS refs, (SELECT bool_or(position = w.own) FROM kept k WHERE k.doc_id = w.doc_id) AS holds,
+  (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT position // 10 + 1 AS p FROM kept k WHERE k.doc_id = w.doc_id)) AS pages, (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM kept k WHERE k.doc_id = w.doc_id)) AS labels FROM win w),
+told AS (SELECT doc_id, query_id || '/' || doc_id AS result_id, rank AS seq, score, coalesce(refs IS NOT NULL AND NOT holds, false) AND count(*) OVER (PARTITION BY doc_id) > 1 AS alone FROM run JOIN parts USING (doc_id))
+SELECT doc_id, result_id, result_ids, seq, score, md5(content) AS content_md5, coalesce(refs, '#/texts/' || own) AS refs, coalesce(pages, CAST(own // 10 + 1 AS VARCHAR)) AS pages, coalesce(labels, '') AS labels FROM (
+  SELECT doc_id, result_id, result_id AS result_ids, seq, score FROM told WHERE alone UNION ALL
+  SELECT t.doc_id, (array_agg(result_id ORDER BY score DESC, seq, result_id))[1], string_agg(result_id, ',' ORDER BY seq, result_id), min(seq), max(score) FROM told t WHERE NOT alone GROUP BY t.doc_id) JOIN parts USING (doc_id)""")
 def expanded_results(spark, d):
-    return C.expand(item_hits(spark, d), items_of(spark, d), 3000)
+    r = C.expand(item_hits(spark, d), items_of(spark, d), BUDGET)
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("result_ids", "refs", "pages", "labels")}
+    return r.withColumns(joined).withColumn("content_md5", F.md5("content")).drop("content")
 
 
 KIND = "CASE event_type WHEN 'error' THEN 'http' WHEN 'click' THEN 'not_found' ELSE 'io' END"
