@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import version_key
 from lodestone.functions.views import dot, scratch
 
 
@@ -55,6 +56,36 @@ def report(docs: DataFrame, meta: DataFrame, chunks: DataFrame, items: DataFrame
     return out
 
 
+#: Chunks from which a search without an index is worth a warning.
+LARGE = 100_000
+
+
+def store_checks(settings: DataFrame, config: dict, migrations: DataFrame, chunks: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
+    """Lines as ``report`` gives them on a store itself: its one row of settings, the embedding it was made with, migrations it lacks, and its vector index.
+
+    ``settings`` is ``id, provider, name, vector_dim, version``, the row with the id ``settings`` counts; ``config`` holds the
+    first three of these; ``migrations`` is ``version, description``; ``chunks`` and ``indexed`` are ``id``. What the settings
+    leave null is not compared; another ``vector_dim`` fails, another provider or name is a warning.
+    """
+    own = settings.where("id = 'settings'")
+    rows = own.agg(F.count("*").alias("n")).select(F.lit("settings row").alias("name"), F.when(F.col("n") == 1, "ok").otherwise("fail").alias("severity"), "n", F.lit("").alias("details"))
+    differs = [F.when(F.col(c) != F.lit(config[c]), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"), F.lit(f" -> {config[c]}"))) for c in ("vector_dim", "provider", "name")]
+    size, others = differs[0], F.filter(F.array(*differs[1:]), lambda x: x.isNotNull())
+    found = F.when(size.isNotNull(), F.array(size)).otherwise(others)
+    one = own.orderBy(*own.columns).limit(1)
+    told = one.select(found.alias("d"), size.isNotNull().alias("bad"))
+    drift = told.agg(F.coalesce(F.max(F.size("d")), F.lit(0)).cast("long").alias("n"), F.max("bad").alias("bad"), F.max(F.array_join("d", ", ")).alias("d"))
+    drift = drift.select(F.lit("embedding drift").alias("name"), F.when(F.col("n") == 0, "ok").when(F.col("bad"), "fail").otherwise("warn").alias("severity"), "n", F.coalesce("d", F.lit("")).alias("details"))
+    at = one.where("version is not null").select(version_key(F.col("version")).alias("_at"))
+    late = migrations.withColumn("_v", version_key(F.col("version"))).join(F.broadcast(at), F.col("_v") > F.col("_at"))
+    pending = late.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_v", F.concat_ws(": ", "version", F.coalesce("description", F.lit(""))).alias("t")))).alias("a"))
+    pending = pending.select(F.lit("pending migrations").alias("name"), F.when(F.col("n") == 0, "ok").otherwise("warn").alias("severity"), "n", F.array_join(F.transform("a", lambda s: s["t"]), ", ").alias("details"))
+    bare = chunks.select("id") if indexed is None else chunks.select("id").join(indexed.select("id"), "id", "left_anti")
+    fine = (F.col("n") < LARGE) if indexed is None else (F.col("n") == 0)
+    index = bare.agg(F.count("*").alias("n")).select(F.lit("vector index").alias("name"), F.when(fine, "ok").otherwise("warn").alias("severity"), "n", F.lit("no index" if indexed is None else "").alias("details"))
+    return rows.unionByName(drift).unionByName(pending).unionByName(index)
+
+
 def centroids(vectors: DataFrame, key: str = "label") -> DataFrame:
     """``key, embedding, n``: means of the vectors that are not zero, by component, so no group meets one task."""
     x = vectors.where(F.exists("embedding", lambda v: v != 0)).select(key, F.posexplode("embedding").alias("i", "v"))

@@ -235,3 +235,15 @@ def hybrid_search(spark, d):
     words = asked.select(F.col("vec_id").alias("doc_id")).join(docs, "doc_id").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
     near = R.vector_search(v, asked, 10).withColumnRenamed("vec_id", "doc_id")
     return R.fuse([near, R.bm25(docs, words, 10)], "doc_id", 10)
+
+
+@query("store_checks", """SELECT 'settings row' AS name, CASE WHEN count(*) = 1 THEN 'ok' ELSE 'fail' END AS severity, count(*) AS n, '' AS details FROM region WHERE r_regionkey = 1
+UNION ALL SELECT 'embedding drift', 'warn', 1, 'provider: ' || r_name || ' -> local' FROM region WHERE r_regionkey = 1
+UNION ALL SELECT 'pending migrations', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*), coalesce(string_agg('0.' || n_nationkey || '.0: ' || n_name, ', ' ORDER BY n_nationkey), '') FROM nation WHERE n_nationkey > 9
+UNION ALL SELECT 'vector index', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*), '' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)""")
+def store_checks(spark, d):
+    """A region as the settings of a store, nations as its migrations, and an index of the labelled vectors."""
+    key = F.col("r_regionkey").cast("string")
+    settings = V.table(spark, d, "region").select(F.when(key == "1", "settings").otherwise(key).alias("id"), F.col("r_name").alias("provider"), F.lit(None).cast("string").alias("name"), F.lit(64).alias("vector_dim"), F.lit("0.9.0").alias("version"))
+    steps = V.table(spark, d, "nation").select(F.concat(F.lit("0."), F.col("n_nationkey").cast("string"), F.lit(".0")).alias("version"), F.col("n_name").alias("description"))
+    return I.store_checks(settings, {"provider": "local", "name": "m", "vector_dim": 64}, steps, vectors_of(spark, d).select(F.col("vec_id").alias("id")), V.table(spark, d, "labels").select(F.col("doc_id").alias("id")))

@@ -47,3 +47,21 @@ def test_components_and_families(spark):
 def test_common_prefix(spark):
     df = spark.createDataFrame([(["file:///data/docs/a/x.md", "file:///data/docs/a2/y.md"],), (["/a/b", "/a/c"],)], "p array<string>")
     assert [r[0] for r in df.select(I.common_prefix(F.col("p"))).collect()] == ["file:///data/docs/", ""]
+
+
+def test_store_checks(spark):
+    said = "id string, provider string, name string, vector_dim int, version string"
+    config = {"provider": "p", "name": "m", "vector_dim": 8}
+    steps = spark.createDataFrame([("0.9.0", "a"), ("0.10.0", None), ("0.11.1", "c")], "version string, description string")
+    chunks = spark.range(3)
+
+    def lines(rows, indexed=None):
+        return {r["name"]: tuple(r)[1:] for r in I.store_checks(spark.createDataFrame(rows, said), config, steps, chunks, indexed).collect()}
+
+    got = lines([("settings", None, "m", 8, "0.9.0"), ("old", "x", "y", 1, "0")], spark.range(2))
+    assert got == {"settings row": ("ok", 1, ""), "embedding drift": ("ok", 0, ""), "pending migrations": ("warn", 2, "0.10.0: , 0.11.1: c"), "vector index": ("warn", 1, "")}
+    assert lines([("settings", "q", "n", 8, "0.11.1")])["embedding drift"] == ("warn", 2, "provider: q -> p, name: n -> m")
+    got = lines([("settings", "q", "n", 9, "1.0.0")], spark.range(5))
+    assert got["embedding drift"] == ("fail", 1, "vector_dim: 9 -> 8") and got["pending migrations"][0] == got["vector index"][0] == "ok"
+    got = lines([])
+    assert got["settings row"] == ("fail", 0, "") and got["embedding drift"] == ("ok", 0, "") and got["pending migrations"] == ("ok", 0, "") and got["vector index"] == ("ok", 3, "no index")
