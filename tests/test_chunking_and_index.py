@@ -28,6 +28,13 @@ def test_long_items_are_cut_and_the_heading_counts(spark):
     assert chunks(spark, [("section_header", "alone")], 6) == []
 
 
+def test_chunks_of_null_and_large_ids(spark):
+    rows = [(i, p, "text", f"{p} x", f"#/{p}") for i in (None, 2**53 + 1, 2**53 + 2) for p in range(3)]
+    got = K.hybrid_chunks(spark.createDataFrame(rows, ITEM), 4).collect()
+    assert sorted((r["doc_id"] or 0, r["part"], r["content"]) for r in got) == [(i, k, t) for i in (0, 2**53 + 1, 2**53 + 2) for k, t in enumerate(("0 x\n1 x", "2 x"))]
+    assert K.hybrid_chunks(spark.createDataFrame([], ITEM), 4).count() == 0
+
+
 def some_vectors(spark, n=600):
     bits = [F.sin(F.col("id") * (i + 1) * 0.37).cast("float") for i in range(6)]
     return spark.range(n).select(F.col("id").alias("vec_id"), F.array(*bits).alias("embedding"))
