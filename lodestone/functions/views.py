@@ -42,6 +42,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written below the shared folder and read back, for a small result that several steps read."""
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def meta(docs: DataFrame) -> DataFrame:
     """One row of mutable metadata for each document."""
     return docs.select(

@@ -42,11 +42,11 @@ def items_of(spark, d):
 
 def item_hits(spark, d):
     """Results for the context operators: the longest line of each document found by full-text search."""
-    run = R.bm25(docs_of(spark, d), bench_queries(spark, d), 5).select("query_id", "doc_id", "score", "rank")
+    run = V.stored(R.bm25(docs_of(spark, d), bench_queries(spark, d), 5).select("query_id", "doc_id", "score", "rank"), "hits")  # read by many steps
     longest = R.top(items_of(spark, d).join(run.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], [F.desc(F.length("text")), "position"], 1).drop("rank")
     hits = run.join(longest, "doc_id")
     result = F.concat_ws("/", F.col("query_id").cast("string"), F.col("doc_id").cast("string"))
-    return hits.select("doc_id", result.alias("result_id"), F.col("rank").alias("seq"), "score", F.col("text").alias("content"), F.array("self_ref").alias("refs"), "pages", F.array("label").alias("labels"))
+    return V.stored(hits.select("doc_id", result.alias("result_id"), F.col("rank").alias("seq"), "score", F.col("text").alias("content"), F.array("self_ref").alias("refs"), "pages", F.array("label").alias("labels")), "item-hits")
 
 
 @query("cosine_pairs_threshold", f"WITH {NV} {PAIRS}")
