@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontamination, jaccard, langid, lm, mixing, quality, sharding, tokenfiles, toxicity
+from lodestone.llm import chat, decontamination, jaccard, langid, lm, merkle, mixing, quality, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_language_id": langid.op9_language_id,
     "op10_lm_score": lm.op10_lm_score,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op3_decontamination": decontamination.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
