@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontamination, jaccard, langid, lm, merkle, mixing, piecebpe, quality, sharding, tokenfiles, toxicity
+from lodestone.llm import chat, collocations, decontamination, jaccard, langid, lm, merkle, mixing, piecebpe, quality, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_lm_score": lm.op10_lm_score,
     "op11_merkle": merkle.op11_merkle,
+    "op12_collocations": collocations.op12_collocations,
     "op13_piece_bpe": piecebpe.op13_piece_bpe,
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op4_mixing": mixing.ORACLE,
     "op8_chat_format": chat.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
