@@ -29,6 +29,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType
 
 from lodestone.llm.text import split_words
 from lodestone.llm.workspace import fresh, hinted, join_classes, materialise, settled, table
@@ -80,9 +81,22 @@ def exponent_for(tokens: list[int], max_repeats: float | None = None, target_ent
     return math.ceil(high * 1e6) / 1e6
 
 
+def _without_maps(value: Column, kind: DataType) -> Column:
+    """``value`` with every map in it, at any depth, as its sorted entries, so that it can be hashed."""
+    if "map<" not in kind.simpleString():
+        return value
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(_without_maps(e["key"], kind.keyType).alias("key"), _without_maps(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _without_maps(x, kind.elementType))
+    fields = [_without_maps(value.getField(f.name), f.dataType).alias(f"f{k}") for k, f in enumerate(kind.fields)]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
 def _row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row, but maps."""
-    cols = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    """A hash of all columns of a row; the entries of maps count in sorted order."""
+    cols = [_without_maps(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema]
     return F.xxhash64(*cols, F.concat(*[F.isnull(c).cast("int").cast("string") for c in cols]))
 
 

@@ -662,6 +662,18 @@ def brute_ctw(train, text, depth):
     return total
 
 
+def test_mixing_tells_rows_by_their_maps(spark):
+    rows = [
+        (1, "one text", "a", {"k": "x"}, [{"m": 1}], ({"s": 1},)), (1, "one text", "a", {"k": "y"}, [{"m": 1}], ({"s": 1},)), (1, "one text", "a", {"k": "y"}, [{"m": 2}], ({"s": 1},)),
+        (1, "one text", "a", {"k": "y"}, [{"m": 2}], ({"s": 2},)), (2, "one text", "a", {"k": "z", "l": None}, None, None), (2, "one text", "a", None, [None], (None,)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>, deep array<map<string,long>>, inner struct<m: map<string,long>>")
+    out = mixing.draw(docs, mixing.mix(docs))
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    turned = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"b": 2, "a": 1})], "doc_id long, tags map<string,long>")
+    assert turned.select(mixing._row_hash(turned)).distinct().count() == 1
+
+
 def test_lm_against_brute_force(spark):
     texts = ["abab", "abc", "ba"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
