@@ -40,7 +40,7 @@ BUCKET_BYTES, BUCKETS = 48, (1 << 16, 1 << 26)
 #: Buckets in a block of counts, and tasks whose blocks are summed together.
 BLOCK, FAN_IN = 1 << 16, 256
 #: Bytes of text that are counted together, about.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 16 << 20
 #: Rows of counts that a task holds before they are summed.
 HELD_ROWS, COUNTED = 1_000_000, ["lang", "phrase", "h", "n"]
 #: Classes of bytes: 1 parts words, 2 parts pieces.
@@ -56,6 +56,12 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the place among them of each value."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
 class _Block:
     """The words of some texts: for each its place in a list of distinct (language, word), and whether the next is in its piece."""
 
@@ -75,15 +81,16 @@ class _Block:
         begin[edges] = inside[edges]
         over[edges - 1] = inside[edges - 1]
         first, last = np.flatnonzero(begin), np.flatnonzero(over)
-        breaks = np.unique(np.concatenate([np.flatnonzero(kind == 2), edges]))  # places that part pieces, themselves or before them
-        piece = np.searchsorted(breaks, first, side="right")
+        breaks = kind == 2  # places that part pieces, themselves or before them
+        breaks[edges] = True
+        piece = np.cumsum(breaks, dtype=np.int32)[first]
         lengths = np.concatenate([[0], np.cumsum(last - first + 1)])
         words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(lengths), pa.py_buffer(raw[inside]))
         coded = words.dictionary_encode()
         doc = np.searchsorted(doc_starts, first, side="right") - 1  # of equal starts the last, which has the text
         lang = pc.fill_null(langs, "und").dictionary_encode()
         lang_of = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-        keys, self.id = np.unique(lang_of << 32 | coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        keys, self.id = _distinct(lang_of << 32 | coded.indices.to_numpy(zero_copy_only=False))
         self.joined = piece[1:] == piece[:-1]
         self.langs = lang.dictionary.take(pa.array(keys >> 32))
         self.words = coded.dictionary.take(pa.array(keys & 0xFFFFFFFF))
@@ -106,13 +113,17 @@ class _Block:
 
     def counted(self, at: np.ndarray, n: int) -> tuple[list, np.ndarray, np.ndarray]:
         """Languages and phrases of the n words at some places, each once, with the first of its places and their number."""
-        ids = self.id.astype(np.int64)
+        ids = self.id
         if n == 1:
-            key = ids[at]
-        else:
-            two, own = np.unique(ids[np.concatenate([at, at + n - 2])] << 32 | ids[np.concatenate([at + 1, at + n - 1])], return_inverse=True)
-            key = own[: len(at)] << 32 | own[len(at) :] if n > 2 else own[: len(at)]  # pairs at the beginning and at the end hold all words
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
+            own = ids[at]
+        else:  # pairs at the beginning and at the end hold all words
+            ends = np.concatenate([at, at + n - 2]) if n > 2 else at
+            _, own = _distinct(ids[ends] << 32 | ids[ends + 1])
+            if n > 2:
+                _, own = _distinct(own[: len(at)] << 32 | own[len(at) :])
+        count = np.bincount(own)
+        first = np.empty(len(count), np.int64)
+        first[own[::-1]] = np.arange(len(own) - 1, -1, -1)
         place = at[first]
         texts = [self.words.take(pa.array(self.id[place + k])) for k in range(n)]
         phrase = pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())) if n > 1 else texts[0]
@@ -135,8 +146,6 @@ class _Tally:
                 yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if len(self.held) > 1:
-            self.held = [pa.concat_tables(self.held).group_by(COUNTED[:3]).aggregate([("n", "sum")]).rename_columns(COUNTED)]
         for t in self.held:
             t = t.set_column(1, "phrase", t.column("phrase").cast(pa.string()))
             for k, kind in (("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())):
