@@ -40,9 +40,9 @@ BUCKET_BYTES, BUCKETS = 48, (1 << 16, 1 << 26)
 #: Buckets in a block of counts, and tasks whose blocks are summed together.
 BLOCK, FAN_IN = 1 << 16, 256
 #: Bytes of text that are counted together, about.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 6 << 20
 #: Rows of counts that a task holds before they are summed.
-HELD_ROWS, COUNTED = 1_000_000, ["lang", "phrase", "h", "n"]
+HELD_ROWS, COUNTED = 500_000, ["lang", "phrase", "h", "n"]
 #: Classes of bytes: 1 parts words, 2 parts pieces.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -70,8 +70,9 @@ class _Block:
 
         texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        kind = np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8)
-        raw, kind = kind, _CLASS[kind]
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[len(texts)]] if len(texts) else np.empty(0, np.uint8)
+        kind = _CLASS[raw]
         doc_starts = np.cumsum(sizes) - sizes
         inside = kind == 0
         begin, over = inside.copy(), inside.copy()
