@@ -37,7 +37,7 @@ from lodestone.llm.workspace import bound_batches, table
 
 SPACE = "▁"
 #: Parts of texts whose ids a worker keeps in each of two generations, and checked pairs of pieces.
-PART_CACHE, PAIR_CACHE = 400_000, 2_000_000
+PART_CACHE, PAIR_CACHE = 200_000, 500_000
 _models: dict = {}
 
 
@@ -72,12 +72,8 @@ def normaliser(model: bytes) -> dict:
     return {"prefix": bool(spec.get(3, 1)), "trim": bool(spec.get(4, 1)), "escape": bool(spec.get(5, 1)), "rules": bool(spec.get(2, b""))}
 
 
-class Pieces:
-    """The pieces of a model, the merge that makes each, and which of them may be neighbours.
-
-    A rank orders merges as the model's scores do; of equal ones the left comes first.
-    A piece that merging its own text doesn't give never occurs, so it has no match.
-    """
+class Surface:
+    """What the ids of a model say."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -90,16 +86,89 @@ class Pieces:
         self.bytes = [own.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if trainer.get(3, 1) != 2 or spec["trim"] or spec["rules"] or not spec["escape"] or any(own.is_unused(i) for i in range(size)) or not all(map(own.is_byte, self.bytes)):
             raise ValueError("not a merge-type model with bytes for unknown characters and plain texts")
-        self.prefix, self.begin, self.end, self.unknown = spec["prefix"], own.bos_id(), own.eos_id(), own.unk_id()
+        self.prefix, self.begin, self.end, unknown = spec["prefix"], own.bos_id(), own.eos_id(), own.unk_id()
         self.control = np.array([own.is_control(i) for i in range(size)])
         self.is_byte = np.array([own.is_byte(i) for i in range(size)])
-        normal = [i for i in range(size) if not (self.control[i] or self.is_byte[i] or i == self.unknown)]
-        self.ids = {own.id_to_piece(i).replace(SPACE, " "): i for i in normal}
-        self.text = {i: t for t, i in self.ids.items()}
+        self.text = {i: own.id_to_piece(i).replace(SPACE, " ") for i in range(size) if not (self.control[i] or self.is_byte[i] or i == unknown)}
+        self.scores = [own.get_score(i) for i in range(size)]
+        byte = {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        surface = [byte.get(i) or (self.text[i].encode() if i in self.text else b"" if self.control[i] else " ⁇ ".encode()) for i in range(size)]
+        self.surface, self.surface_sizes = np.frombuffer(b"".join(surface), np.uint8), np.array([len(x) for x in surface], np.int64)
+        self.spaced = np.array([x.startswith(b" ") and i in self.text for i, x in enumerate(surface)])
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of lists of ids that stand one after another."""
+        ids, sizes = ids.astype(np.int64), sizes.astype(np.int64)
+        raw, n = _gathered(self.surface, self.surface_sizes, ids)
+        upto, at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(sizes)])
+        said = np.flatnonzero(~self.control[ids])
+        first = np.searchsorted(said, at[:-1])  # of each list, the first id that says something
+        has = first < len(said)
+        place = np.where(has, said[np.minimum(first, max(0, len(said) - 1))] if len(said) else 0, 0)
+        drop = has & (place < at[1:]) & (self.spaced[ids[place]] if len(ids) else False) & self.prefix
+        of_bytes = np.concatenate([[0], np.cumsum(self.is_byte[ids])])
+        mixed = of_bytes[at[1:]] > of_bytes[at[:-1]]
+        whole, out = raw.tobytes(), []
+        for k, (i, j) in enumerate(zip(upto[at[:-1]].tolist(), upto[at[1:]].tolist(), strict=True)):
+            text = whole[i:j]
+            if mixed[k]:
+                own = ids[at[k] : at[k + 1]]
+                broken = bool(self.control[own[1:-1]].any())  # a control id parts bytes
+                try:
+                    text.decode()
+                except UnicodeDecodeError:
+                    broken = True
+                text = self._mended(own) if broken else text
+            out.append(text[1:] if drop[k] else text)
+        return out
+
+    def _mended(self, ids: np.ndarray) -> bytes:
+        """The text of ids whose runs of bytes hold wrong ones."""
+        out, run = [], bytearray()
+
+        def close() -> None:
+            k = 0
+            while k < len(run):
+                n = 1 if run[k] < 0x80 else 2 if run[k] >> 5 == 6 else 3 if run[k] >> 4 == 14 else 4 if run[k] >> 3 == 30 else 0
+                good = bytes(run[k : k + n])
+                try:
+                    good.decode()
+                except UnicodeDecodeError:
+                    n = 0
+                if n and len(good) == n:
+                    out.append(good)
+                else:
+                    out.append("�".encode())
+                    n = 1
+                k += n
+            run.clear()
+
+        upto = np.cumsum(self.surface_sizes) - self.surface_sizes
+        for i in ids.tolist():
+            piece = self.surface[upto[i] : upto[i] + self.surface_sizes[i]].tobytes()
+            if self.is_byte[i]:
+                run += piece
+            else:
+                close()
+                out.append(piece)
+        close()
+        return b"".join(out)
+
+
+class Pieces(Surface):
+    """The pieces of a model, the merge that makes each, and which of them may be neighbours.
+
+    A rank orders merges as the model's scores do; of equal ones the left comes first.
+    A piece that merging its own text doesn't give never occurs, so it has no match.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.ids = {t: i for i, t in self.text.items()}
         if any(c not in self.ids for t in self.ids for c in t):
             raise ValueError("a piece has a character that is no piece")
-        order = {s: n for n, s in enumerate(sorted({own.get_score(i) for i in normal}, reverse=True))}
-        self.rank = {i: order[own.get_score(i)] for i in normal}
+        order = {s: n for n, s in enumerate(sorted({self.scores[i] for i in self.text}, reverse=True))}
+        self.rank = {i: order[self.scores[i]] for i in self.text}
         # pairs of neighbouring bytes at which a text may be cut: those in no piece, and not inside a character
         self.cut = np.ones((256, 256), bool)
         for t in self.ids:
@@ -113,6 +182,7 @@ class Pieces:
                 self.split[i] = last
                 if max(self._made(last[0]), self._made(last[1])) > self.rank[i]:
                     raise ValueError("a merge comes before the merges of its parts")
+        size = len(self.scores)
         self.characters = {t for t in self.ids if len(t) == 1}
         self.known, self.pairs = _Kept(PART_CACHE), {}
         self.whole = {t: i for t, i in self.ids.items() if len(t) == 1 or i in self.split}
@@ -123,10 +193,6 @@ class Pieces:
             self.shorter[i] = next((self.whole[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.whole), -1)
             self.matches.add_word(t, i)
         self.matches.make_automaton()
-        # bytes of each id in a decoded text
-        surface = [b"" if self.control[i] else bytes([self.bytes.index(i)]) if self.is_byte[i] else " ⁇ ".encode() if i == self.unknown else self.text[i].encode() for i in range(size)]
-        self.surface, self.surface_sizes = np.frombuffer(b"".join(surface), np.uint8), np.array([len(x) for x in surface], np.int64)
-        self.spaced = np.array([x.startswith(b" ") and i in self.text for i, x in enumerate(surface)])
 
     def _made(self, piece: int) -> int:
         """When a piece is made; a single character is there from the beginning."""
@@ -240,69 +306,12 @@ class Pieces:
         upto = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(upto[np.searchsorted(at, np.concatenate([[0], ends]))])
 
-    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """The UTF-8 texts of lists of ids that stand one after another."""
-        ids, sizes = ids.astype(np.int64), sizes.astype(np.int64)
-        raw, n = _gathered(self.surface, self.surface_sizes, ids)
-        upto, at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(sizes)])
-        said = np.flatnonzero(~self.control[ids])
-        first = np.searchsorted(said, at[:-1])  # of each list, the first id that says something
-        has = first < len(said)
-        place = np.where(has, said[np.minimum(first, max(0, len(said) - 1))] if len(said) else 0, 0)
-        drop = has & (place < at[1:]) & (self.spaced[ids[place]] if len(ids) else False) & self.prefix
-        of_bytes = np.concatenate([[0], np.cumsum(self.is_byte[ids])])
-        mixed = of_bytes[at[1:]] > of_bytes[at[:-1]]
-        whole, out = raw.tobytes(), []
-        for k, (i, j) in enumerate(zip(upto[at[:-1]].tolist(), upto[at[1:]].tolist(), strict=True)):
-            text = whole[i:j]
-            if mixed[k]:
-                own = ids[at[k] : at[k + 1]]
-                broken = bool(self.control[own[1:-1]].any())  # a control id parts bytes
-                try:
-                    text.decode()
-                except UnicodeDecodeError:
-                    broken = True
-                text = self._mended(own) if broken else text
-            out.append(text[1:] if drop[k] else text)
-        return out
 
-    def _mended(self, ids: np.ndarray) -> bytes:
-        """The text of ids whose runs of bytes hold wrong ones."""
-        out, run = [], bytearray()
-
-        def close() -> None:
-            k = 0
-            while k < len(run):
-                n = 1 if run[k] < 0x80 else 2 if run[k] >> 5 == 6 else 3 if run[k] >> 4 == 14 else 4 if run[k] >> 3 == 30 else 0
-                good = bytes(run[k : k + n])
-                try:
-                    good.decode()
-                except UnicodeDecodeError:
-                    n = 0
-                if n and len(good) == n:
-                    out.append(good)
-                else:
-                    out.append("�".encode())
-                    n = 1
-                k += n
-            run.clear()
-
-        upto = np.cumsum(self.surface_sizes) - self.surface_sizes
-        for i in ids.tolist():
-            piece = self.surface[upto[i] : upto[i] + self.surface_sizes[i]].tobytes()
-            if self.is_byte[i]:
-                run += piece
-            else:
-                close()
-                out.append(piece)
-        close()
-        return b"".join(out)
-
-
-def pieces(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+def pieces(path: str, kind: type = Pieces):
+    """The model, read once a worker: ``Surface`` to decode, ``Pieces`` to encode too."""
+    if (path, kind) not in _models:
+        _models[path, kind] = kind(path)
+    return _models[path, kind]
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,41 +332,31 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """The values of lists one after another, and how many each has; null lists have none."""
-    lists = plain(column)
-    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+def _digests(flat: np.ndarray, n: np.ndarray, texts: list[bytes | None]) -> list[pa.Array]:
+    raw, at = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
+    sha = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [pa.array(n.astype(np.int64)), pa.array(sha), pa.array([hashlib.sha256(t or b"").hexdigest() for t in texts], pa.string())]
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``id, ids, text`` of rows with ``id, ids``."""
+def decode(encoded: DataFrame, model: str, digest: bool = False) -> DataFrame:
+    """``id, ids, text`` of rows with ``id, ids``.
+
+    digest: ``id, n_tokens, ids_sha256, decoded_sha256`` instead; ids count as little-endian 32-bit integers.
+    """
     bound_batches(encoded.sparkSession)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["id", "ids", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model)
+        own = pieces(model, Surface)
         for b in batches:
-            flat, n = _lists(b.column("ids"))
-            known = pc.is_valid(plain(b.column("ids"))).to_pylist()
-            texts = [t if k else None for t, k in zip(own.decode(flat, n), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([plain(b.column("id")), plain(b.column("ids")), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "ids", "text"])
+            lists = plain(b.column("ids"))
+            flat, n = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            texts = [t if k else None for t, k in zip(own.decode(flat, n), pc.is_valid(lists).to_pylist(), strict=True)]
+            told = _digests(flat, n, texts) if digest else [lists, pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([plain(b.column("id")), *told], names)
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"id {kind}, ids array<int>, text string")
-
-
-def with_sha256(rows: DataFrame) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` of rows with ``id, ids, text``; ids count as little-endian 32-bit integers."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, n = _lists(b.column("ids"))
-            raw, at = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
-            sha = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
-            said = [hashlib.sha256(t or b"").hexdigest() for t in plain(b.column("text")).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([plain(b.column("id")), pa.array(n.astype(np.int64)), pa.array(sha), pa.array(said)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, f"id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, text string"))
 
 
 def op13_piece_bpe(spark, sf_dir, model: str | None = None):
@@ -367,4 +366,4 @@ def op13_piece_bpe(spark, sf_dir, model: str | None = None):
 
         model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    return with_sha256(decode(encode(docs, model), model)).withColumnRenamed("id", "doc_id")
+    return decode(encode(docs, model), model, digest=True).withColumnRenamed("id", "doc_id")
