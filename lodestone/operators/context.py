@@ -17,6 +17,8 @@ TIGHT = ("picture", "table")
 MARGIN = 100
 MIN_SECTION_SHARE = 0.2
 MIN_ANCHOR = 128
+#: Positions in a bin of the interval join.
+BIN = 512
 
 
 def resolve(results: DataFrame, items: DataFrame) -> DataFrame:
@@ -30,9 +32,16 @@ def windows(matched: DataFrame, margin: int = MARGIN) -> DataFrame:
     return matched.groupBy("doc_id").agg(F.greatest(F.lit(0), F.min("position") - margin).alias("lo"), (F.max("position") + margin).alias("hi"))
 
 
-def in_ranges(items: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Items whose position lies in a range of their document, both ends included."""
-    return items.join(ranges, "doc_id").where(F.col("position").between(F.col("lo"), F.col("hi")))
+def in_ranges(items: DataFrame, ranges: DataFrame, width: int = BIN) -> DataFrame:
+    """Items whose position lies in a range of their document, both ends included; an item in several ranges comes once for each.
+
+    Items and ranges meet by document and bin of ``width`` positions, so a document of any number of items and ranges is
+    many small groups. A range is a row for each bin it touches; an item is in one bin, so no pair is met twice.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("long")
+    spread = ranges.withColumn("_bin", F.explode(F.sequence(bin_of("lo"), F.greatest(bin_of("hi"), bin_of("lo")))))
+    met = items.withColumn("_bin", bin_of("position")).join(spread, ["doc_id", "_bin"])
+    return met.where(F.col("position").between(F.col("lo"), F.col("hi"))).drop("_bin")
 
 
 def fetched(items: DataFrame, matched: DataFrame) -> DataFrame:

@@ -94,26 +94,6 @@ def centroids(vectors: DataFrame, key: str = "label") -> DataFrame:
     return g.select(key, F.transform("a", lambda s: s["m"]).alias("embedding"), "n")
 
 
-def near_pairs(vectors: DataFrame, least: float, blocks: int = 0) -> DataFrame:
-    """``a, b, similarity`` with ``a < b`` and cosine at least ``least``; 0 for a zero vector.
-
-    Exact: vectors are cut into blocks by a hash of the id and each pair of blocks is joined by its key, so a task
-    holds two blocks. The number of comparisons is quadratic in the vectors, as any exact search of this kind is;
-    ``blocks`` (by default about 2,000 vectors each) sets how they are spread.
-    """
-    v = vectors.where(F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id"), "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    n = blocks or max(1, -(-vectors.count() // 2000))
-    v = v.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    cell = F.struct(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"))
-    spread = v.withColumn("h", F.explode(others)).withColumn("cell", cell)
-    side = lambda s: spread.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("vec_id", "embedding", "norm", "g")])
-    pairs = side("a").join(side("b"), "cell").where(F.col("vec_id_a") < F.col("vec_id_b"))
-    pairs = pairs.where((F.col("cell.x") == F.col("cell.y")) | (F.col("g_a") != F.col("g_b")))
-    near = F.round(dot(F.col("embedding_a"), F.col("embedding_b")) / (F.col("norm_a") * F.col("norm_b")), 6)
-    return pairs.select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), near.alias("similarity")).where(F.col("similarity") >= least)
-
-
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, component``: the smallest id reachable through pairs ``a, b``.
 

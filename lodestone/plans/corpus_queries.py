@@ -13,6 +13,7 @@ from lodestone.operators import ledger as L
 from lodestone.operators import metrics as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
+from lodestone.operators import similarity as SJ
 from lodestone.plans.registry import BM25, ITEMS, QUERIES, VECTOR, bench_queries, docs_of, query, searched, vectors_of
 from lodestone.sources import files
 
@@ -51,12 +52,12 @@ def item_hits(spark, d):
 
 @query("cosine_pairs_threshold", f"WITH {NV} {PAIRS}")
 def cosine_pairs_threshold(spark, d):
-    return I.near_pairs(vectors_of(spark, d), NEAR)
+    return SJ.near_pairs(vectors_of(spark, d), NEAR)
 
 
 @query("near_duplicate_components", f"WITH RECURSIVE {NV}, p AS ({PAIRS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")
 def near_duplicate_components(spark, d):
-    return I.components(I.near_pairs(vectors_of(spark, d), NEAR))
+    return I.components(SJ.near_edges(vectors_of(spark, d), NEAR))
 
 
 @query("multi_query_merge", f"SELECT doc_id, query_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_id, rank) AS rn FROM ({BM25})) WHERE rn = 1")

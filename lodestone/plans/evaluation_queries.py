@@ -13,6 +13,7 @@ from lodestone.operators import integrity as I
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
 from lodestone.operators import structure as S
+from lodestone.operators import similarity as SJ
 from lodestone.operators import vector_index as VI
 from lodestone.plans.corpus_queries import NEAR, NV, PAIRS, rows_only
 from lodestone.plans.registry import BM25, CHUNKS, DIST, ITEMS, JOBS, META, QUERIES, SQL, VECTOR, bench_queries, docs_of, jobs_of, query, vectors_of
@@ -193,7 +194,7 @@ SELECT family, CAST(max(id) FILTER (WHERE keep) AS BIGINT) AS keep, string_agg(i
 def duplicate_export(spark, d):
     docs = docs_of(spark, d)
     counts = docs.select(F.col("doc_id").alias("id"), F.ceil(F.size(F.split("text", " ")) / 50).alias("n")).where("n > 0")
-    blocks = I.family_blocks(I.families(I.near_pairs(vectors_of(spark, d), NEAR), counts), counts, V.meta(docs).select(F.col("doc_id").alias("id"), F.col("uri").alias("label")))
+    blocks = I.family_blocks(I.families(V.stored(SJ.near_edges(vectors_of(spark, d), NEAR), "near-edges"), counts), counts, V.meta(docs).select(F.col("doc_id").alias("id"), F.col("uri").alias("label")))
     told = F.from_json("block", "group long, keep long, documents array<struct<document_id: long, document: string, chunks: long, similarity: double, keep_suggested: boolean>>")
     members = F.transform("b.documents", lambda m: F.concat_ws(":", m["document_id"], m["chunks"], m["similarity"], m["keep_suggested"]))
     return blocks.select("family", told.alias("b")).select("family", F.col("b.keep").alias("keep"), F.array_join(members, ",").alias("members"))

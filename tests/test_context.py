@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import context as C
 
 ITEMS = "doc_id long, position int, self_ref string, label string, text string, pages array<int>"
@@ -95,3 +97,18 @@ def test_short_items_fall_back_to_the_chunk(spark):
 
 def test_no_results_gives_no_rows(spark):
     assert C.expand(spark.createDataFrame([], RESULTS), items_of(spark, [("text", "a")]), 500).count() == 0
+
+
+def test_ranges_meet_items_by_bin(spark):
+    items = [(1, p, f"t{p}") for p in range(0, 20_000)] + [(2, 5, "x"), (2, -3, "y"), (None, 1, "z")]
+    ranges = [(1, k * 9, k * 9 + k % 40, k) for k in range(2_000)] + [(1, 3, 19_000, -1), (2, -10, 4, -2), (2, 5, 5, -3), (2, 9, 8, -4), (3, 0, 9, -5), (None, 0, 9, -6)]
+    i = spark.createDataFrame(items, "doc_id long, position long, text string")
+    r = spark.createDataFrame(ranges, "doc_id long, lo long, hi long, name int")
+    want = sorted((d, p, name) for d, lo, hi, name in ranges if d is not None for e, p, _ in items if e == d and lo <= p <= hi)
+    for width in (7, 512):
+        joined = C.in_ranges(i, r, width)
+        assert sorted(map(tuple, joined.select("doc_id", "position", "name").collect())) == want
+    spread = C.in_ranges(i.repartition(8), r.hint("shuffle_hash"))
+    assert "_bin" in spread._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1][:60]
+    sizes = C.in_ranges(i, r).groupBy("doc_id", (F.col("position") / C.BIN).cast("int").alias("b")).count()
+    assert sizes.count() > 30  # the large document is many groups

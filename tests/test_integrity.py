@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import random
 
 from pyspark.sql import functions as F
 
@@ -23,17 +22,6 @@ def test_report_names_what_is_wrong(spark):
     assert kinds == {1: "text", 5: "picture", 6: "expected"}
 
 
-def test_near_pairs_in_any_number_of_blocks(spark):
-    rnd = random.Random(3)
-    vs = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
-    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
-    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
-    want = {(i, j) for i, x in vs[:60] for j, y in vs[:60] if i < j and round(cos(x, y), 6) >= 0.8}
-    for blocks in (1, 3, 7):
-        got = [(r["a"], r["b"]) for r in I.near_pairs(df, 0.8, blocks).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-
-
 def test_components_and_families(spark):
     chain = [(i, i + 1, 0.9) for i in range(0, 40)] + [(100, 102, 0.95), (101, 102, 0.91234)]
     pairs = spark.createDataFrame(chain, "a long, b long, similarity double")
