@@ -14,6 +14,7 @@ from lodestone.operators import metrics as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
 from lodestone.operators import similarity as SJ
+from lodestone.operators import text_index as TI
 from lodestone.plans.registry import BM25, ITEMS, QUERIES, VECTOR, bench_queries, docs_of, query, searched, vectors_of
 from lodestone.sources import files
 
@@ -50,6 +51,16 @@ def item_hits(spark, d):
     return V.stored(hits.select("doc_id", result.alias("result_id"), F.col("rank").alias("seq"), "score", F.col("text").alias("content"), F.array("self_ref").alias("refs"), "pages", F.array("label").alias("labels")), "item-hits")
 
 
+@query("text_index_topk", BM25)
+def text_index_topk(spark, d):
+    """An index of the documents as they were, some shorter and some not there yet, then updated to what they are."""
+    docs = docs_of(spark, d).select("doc_id", "text")
+    late, changed = F.col("doc_id") % 11 == 0, F.col("doc_id") % 7 == 0
+    before = docs.where(~late).withColumn("text", F.when(changed, F.concat(F.substring("text", 1, 40), F.lit(" the old text"))).otherwise(F.col("text")))
+    index = TI.build(before, V.scratch(spark, "text-index")).update(docs.where(late | changed))
+    return TI.search(index, bench_queries(spark, d), 5).hits
+
+
 @query("cosine_pairs_threshold", f"WITH {NV} {PAIRS}")
 def cosine_pairs_threshold(spark, d):
     return SJ.near_pairs(vectors_of(spark, d), NEAR)
