@@ -40,9 +40,11 @@ BUCKET_BYTES, BUCKETS = 48, (1 << 16, 1 << 26)
 #: Buckets in a block of counts, and tasks whose blocks are summed together.
 BLOCK, FAN_IN = 1 << 16, 256
 #: Bytes of text that are counted together, about.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 4 << 20
+#: Shares of a language's phrases that are ranked by themselves first.
+SHARES = 64
 #: Rows of counts that a task holds before they are summed.
-HELD_ROWS, COUNTED = 500_000, ["lang", "phrase", "h", "n"]
+HELD_ROWS, COUNTED = 300_000, ["lang", "phrase", "h", "n"]
 #: Classes of bytes: 1 parts words, 2 parts pieces.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -309,8 +311,10 @@ def _collocations(docs: DataFrame, least: int, longest: int, top: int, share: in
     inner = candidates.where("words > 2").select("lang", F.explode(F.array_distinct(spans)).alias("phrase"), F.col("a").alias("longer"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = best.join(inner, ["lang", "phrase"], "left").where(f"longer is null or cast(100 as decimal(3,0)) * cast(longer as decimal(24,0)) < cast({share} as decimal(3,0)) * cast(a as decimal(24,0))")
-    rank = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    flat = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    share_of = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))  # the first of each share of a language, then of these
+    flat = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(Window.partitionBy("lang", share_of).orderBy(*order))).where(F.col("rank") <= top)
+    flat = flat.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return flat.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
