@@ -44,7 +44,7 @@ TEXT_BYTES = 4 << 20
 #: Shares of a language's phrases that are ranked by themselves first.
 SHARES = 64
 #: Rows of counts that a task holds before they are summed.
-HELD_ROWS, COUNTED = 300_000, ["lang", "phrase", "h", "n"]
+HELD_ROWS, COUNTED = 200_000, ["lang", "phrase", "h", "n"]
 #: Classes of bytes: 1 parts words, 2 parts pieces.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -58,6 +58,18 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def _hashed(texts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each text: a sum of its bytes times powers of an odd number, and its length."""
+    texts = texts.cast(pa.large_string())
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0], size)
+    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * powers[place])])  # they wrap, and so do their differences
+    return _mixed(sums[at[1:] - at[0]] - sums[at[:-1] - at[0]], size.astype(np.uint64))
+
+
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, and the place among them of each value."""
     coded = pa.array(values).dictionary_encode()
@@ -68,8 +80,6 @@ class _Block:
     """The words of some texts: for each its place in a list of distinct (language, word), and whether the next is in its piece."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        from pandas.util import hash_array
-
         texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :]
@@ -97,7 +107,7 @@ class _Block:
         self.joined = piece[1:] == piece[:-1]
         self.langs = lang.dictionary.take(pa.array(keys >> 32))
         self.words = coded.dictionary.take(pa.array(keys & 0xFFFFFFFF))
-        hashes = [hash_array(np.array(d.to_pylist(), object), categorize=False) for d in (lang.dictionary, coded.dictionary)]
+        hashes = [_hashed(d) for d in (lang.dictionary, coded.dictionary)]
         self.hash = _mixed(hashes[0][keys >> 32], hashes[1][keys & 0xFFFFFFFF])[self.id] if len(keys) else np.empty(0, np.uint64)
 
     def hashes(self, n: int) -> np.ndarray:
@@ -143,7 +153,7 @@ class _Tally:
         self.held.append(counts)
         self.rows += counts.num_rows
         if self.rows > HELD_ROWS and len(self.held) > 1:
-            self.held = [pa.concat_tables(self.held).group_by(COUNTED[:3]).aggregate([("n", "sum")]).rename_columns(COUNTED)]
+            self.held = [pa.concat_tables(self.held).group_by(COUNTED[:3], use_threads=False).aggregate([("n", "sum")]).rename_columns(COUNTED)]
             self.rows = self.held[0].num_rows
             if self.rows > HELD_ROWS // 2:
                 yield from self.rest()
@@ -197,6 +207,7 @@ def _pass(docs: DataFrame, n: int, buckets: int, least: int, full: Broadcast | N
             for k in np.flatnonzero(seen.reshape(-1, size).any(1)).tolist():
                 values = [*(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())), pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([seen[k * size : (k + 1) * size].tobytes()])]
                 yield pa.RecordBatch.from_arrays(values, [*COUNTED, "block", "task", "counts"])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return docs.mapInArrow(run, "lang string, phrase string, h long, n long, block int, task int, counts binary")
 
