@@ -6,7 +6,8 @@ of the plane halfway between their pivots, so a vector is also a guest in those
 smaller number whose plane is that near, and nowhere else; each pair is met once. Inside a
 cell, rings of width ``r`` around the pivot meet their neighbours only (triangle
 inequality). A ring of a cell that is still large is cut into blocks, and its pairs of
-blocks are tasks of their own, so no task holds more than two blocks.
+blocks are tasks of their own, so no task holds more than two blocks. How many pivots pay is
+estimated on a bounded sample (``worth``).
 
 Equal vectors are joined as one: of each set of copies the least id stands for all.
 ``near_edges`` links copies to it and is linear in them; ``near_pairs`` gives every pair,
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.views import dot, sized, stored
 
-#: Vectors of one side in a task, pivots at most, and their bytes at most.
-BLOCK, PIVOTS, PIVOT_BYTES = 2000, 1024, 8 << 20
+#: Vectors of one side in a task and their bytes, at most; rows of a tile of products; pivots, and their bytes, at most.
+BLOCK, BLOCK_BYTES, TILE, PIVOTS, PIVOT_BYTES = 20_000, 16 << 20, 256, 1024, 8 << 20
+#: Comparisons that cost as much as one more copy of a vector, about.
+COPY = 120
 #: Room for rounding in distances.
 SLACK = 1e-6
 #: Radius from which rings around a pivot are too wide to help.
@@ -48,6 +51,7 @@ class Cells:
     rows: DataFrame
     sizes: DataFrame
     rings: bool
+    block: int
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -81,20 +85,49 @@ def radius(least: float) -> float:
     return math.sqrt(max(0.0, 2 - 2 * (least - SLACK))) + SLACK
 
 
+def _inside(d2: np.ndarray, between: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of squared distances to pivots: the cell of each vector, and in which cells it is, as a guest or at home."""
+    own = d2.argmin(1)
+    gap = d2 - d2[np.arange(len(own)), own][:, None]
+    inside = (gap <= 2 * (r + SLACK) * between[own] + SLACK) & (np.arange(d2.shape[1]) < own[:, None])
+    inside[np.arange(len(own)), own] = True
+    return own, inside
+
+
+def _distances(p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+
+
+def worth(sample: np.ndarray, n: int, r: float, most: int) -> int:
+    """How many of the first ``most`` of some unit vectors to take as pivots: what costs ``n`` vectors like these the least.
+
+    More pivots compare less and copy more; where nothing is near its own kind only, one pivot is best.
+    """
+    best, most = (float("inf"), 1), max(1, min(most, len(sample)))
+    for k in sorted({most, *(1 << b for b in range(most.bit_length()))}):
+        p = sample[:k]
+        own, inside = _inside(np.maximum(0, 2 - 2 * sample @ p.T), _distances(p), r)
+        pairs = float(np.bincount(own, minlength=k) @ inside.sum(0)) / len(sample) ** 2
+        cost = pairs * n * n * (1 + 2 * COPY / BLOCK) + COPY * n * inside.sum() / len(sample)
+        best = min(best, (cost, k))
+    return best[1]
+
+
 def cells(reps: DataFrame, least: float, pivots: int | None = None) -> Cells:
     """Put ``vec_id, embedding`` (distinct vectors) into cells for a join at ``least``."""
     n, longest = reps.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    most = max(1, min(pivots or math.ceil(2 * math.sqrt(n)), PIVOTS, PIVOT_BYTES // (8 * max(1, longest or 1))))
-    chosen = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("embedding").collect()  # PIVOTS rows at most
-    by_size: dict[int, list] = {}
+    room = max(1, min(PIVOTS, PIVOT_BYTES // (8 * max(1, longest or 1))))
+    most = min(pivots or math.ceil(2 * math.sqrt(n)), room)
+    chosen = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most if pivots else room).select("embedding").collect()  # PIVOTS rows at most
+    by_size, r = {}, radius(least)
     for (e,) in chosen:
         by_size.setdefault(len(e), []).append(e)
     placed, first = {}, 0
     for size, some in by_size.items():  # numbers of cells go on from one length to the next
         p = _unit(np.array(some, np.float64))
-        placed[size] = (first, p, np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)))
-        first += len(some)
-    r = radius(least)
+        p = p if pivots else p[: worth(p, n, r, most)]
+        placed[size] = (first, p, _distances(p))
+        first += len(p)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,10 +139,7 @@ def cells(reps: DataFrame, least: float, pivots: int | None = None) -> Cells:
                 else:
                     start, p, between = placed[size]
                     d2 = np.maximum(0, 2 - 2 * _unit(_matrix(b.column("embedding"))) @ p.T)
-                    own = d2.argmin(1)
-                    gap = d2 - d2[np.arange(len(own)), own][:, None]
-                    inside = (gap <= 2 * (r + SLACK) * between[own] + SLACK) & (np.arange(len(p)) < own[:, None])
-                    inside[np.arange(len(own)), own] = True
+                    own, inside = _inside(d2, between, r)
                     at, local = np.nonzero(inside)
                     cell, near, home = local + start, np.sqrt(d2[at, local]), local == own[at]
                 out = b.take(pa.array(at))
@@ -124,7 +154,7 @@ def cells(reps: DataFrame, least: float, pivots: int | None = None) -> Cells:
     here = rows.groupBy("cell", "bin").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
     met = here.select("cell", F.explode(_near(rings)).alias("bin"), "all").groupBy("cell", "bin").agg(F.sum("all").alias("o"))
     sizes = here.where("homes > 0").select("cell", "bin", F.col("homes").alias("h")).join(met, ["cell", "bin"])
-    return Cells(rows, stored(sizes, "vector-cell-sizes"), rings)
+    return Cells(rows, stored(sizes, "vector-cell-sizes"), rings, max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, longest or 1)))))
 
 
 def _near(rings: bool) -> Column:
@@ -139,7 +169,7 @@ def compared(c: Cells) -> int:
 
 def rep_pairs(c: Cells, least: float) -> DataFrame:
     """``a, b, similarity`` of the vectors in cells, ``a < b``, whose rounded cosine is at least ``least``."""
-    cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    cut = lambda n: F.ceil(F.col(n) / c.block).cast("int")
     sizes = sized(c.sizes.select("cell", "bin", cut("h").alias("nh"), cut("o").alias("no")))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -147,21 +177,26 @@ def rep_pairs(c: Cells, least: float) -> DataFrame:
     meets = c.rows.withColumn("bin", F.explode(_near(c.rings))).join(sizes, ["cell", "bin"])
     meets = meets.select("cell", "bin", others("nh").alias("hb"), block("no").alias("ob"), F.lit(False).alias("asks"), "home", "vec_id", "embedding")
 
+    def summed(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.cumsum(p * q, axis=1)[:, -1]  # from the left, as the sums of other engines
+
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
         own, other = (group.filter(pa.array(x)) for x in (asks, ~asks))
         ids, found = group.schema.field("vec_id").type, [[], [], [], []]
         if own.num_rows and other.num_rows:
             a, b = _matrix(own.column("embedding")), _matrix(other.column("embedding"))
-            i, j = np.nonzero(_unit(a) @ _unit(b).T >= least - SLACK)
-            for k in range(0, len(i), 100_000):
-                x, y = a[i[k : k + 100_000]], b[j[k : k + 100_000]]
-                summed = lambda p, q: np.cumsum(p * q, axis=1)[:, -1]  # noqa: E731  from the left, as the check of other engines
-                s = summed(x, y) / (np.sqrt(summed(x, x)) * np.sqrt(summed(y, y)))
-                found[0].append(own.column("vec_id").combine_chunks().take(pa.array(i[k : k + 100_000])))
-                found[1].append(other.column("vec_id").combine_chunks().take(pa.array(j[k : k + 100_000])))
-                found[2].append(pa.array(other.column("home").to_numpy()[j[k : k + 100_000]]))
-                found[3].append(pa.array(s))
+            b_unit, homes = _unit(b), other.column("home").to_numpy()
+            left, right = own.column("vec_id").combine_chunks(), other.column("vec_id").combine_chunks()
+            for k in range(0, len(a), TILE):
+                x = a[k : k + TILE]
+                i, j = np.nonzero(_unit(x) @ b_unit.T >= least - SLACK)
+                for cut in range(0, len(i), 100_000):
+                    u, v = x[i[cut : cut + 100_000]], b[j[cut : cut + 100_000]]
+                    s = summed(u, v) / (np.sqrt(summed(u, u)) * np.sqrt(summed(v, v)))
+                    at = pa.array(j[cut : cut + 100_000])
+                    for f, values in zip(found, (left.take(pa.array(k + i[cut : cut + 100_000])), right.take(at), pa.array(homes[j[cut : cut + 100_000]]), pa.array(s)), strict=True):
+                        f.append(values)
         flat = [pa.concat_arrays([c for x in f for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]) if f else pa.array([], t) for f, t in zip(found, (ids, ids, pa.bool_(), pa.float64()), strict=True)]
         return pa.table(flat, ["x", "y", "home", "s"])
 

@@ -48,8 +48,13 @@ def _blocks(docs: DataFrame, segment: int) -> DataFrame:
     words = docs.where("doc_id is not null").select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).withColumn("len", F.size("w"))
     kind = F.floor(2 * F.log2(F.col("len") + 1)).cast("long")  # classes of lengths, so that the least length of a block says much
     at = F.lit(segment).cast("long") * (1 << 44) + kind * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    spread = words.select("doc_id", "len", at.alias("slice"), F.explode(F.concat(F.array(F.lit("")), F.col("w"))).alias("term"))
-    counted = spread.groupBy("doc_id", "len", "slice", "term").agg(F.count("*").cast("int").alias("tf"))
+    sorted_words = words.select("doc_id", "len", at.alias("slice"), F.array_sort("w").alias("w"))
+    # a document's equal words stand side by side, so they are counted in its row and never shuffled
+    begins = F.filter(F.sequence(F.lit(1), F.greatest(F.col("len"), F.lit(1))), lambda i: (i <= F.col("len")) & ((i == 1) | (F.get(F.col("w"), i - 1) != F.get(F.col("w"), i - 2))))
+    runs = sorted_words.withColumn("begins", begins)
+    counts = F.transform("begins", lambda i, k: F.struct(F.get(F.col("w"), i - 1).alias("term"), (F.coalesce(F.get(F.col("begins"), k + 1), F.col("len") + 1) - i).alias("tf")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf")))
+    counted = runs.select("doc_id", "len", "slice", F.explode(F.concat(whole, counts)).alias("t")).select("doc_id", "len", "slice", "t.term", "t.tf")
     found = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len")))  # of one slice
     g = counted.groupBy("term", "slice").agg(found.alias("p"), F.count("*").alias("n"), F.sum("len").alias("total"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
     return g.select(F.lit(segment).alias("segment"), _bucket(F.col("term")).alias("bucket"), "term", "slice", "n", "total", "max_tf", "min_len", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
