@@ -48,8 +48,10 @@ def _blocks(docs: DataFrame, segment: int) -> DataFrame:
     words = docs.where("doc_id is not null").select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).withColumn("len", F.size("w"))
     kind = F.floor(2 * F.log2(F.col("len") + 1)).cast("long")  # classes of lengths, so that the least length of a block says much
     at = F.lit(segment).cast("long") * (1 << 44) + kind * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    sorted_words = words.select("doc_id", "len", at.alias("slice"), F.array_sort("w").alias("w"))
-    # a document's equal words stand side by side, so they are counted in its row and never shuffled
+    # documents meet by slice, with their words sorted, as texts; blocks are then made where their documents are
+    dealt = words.select("doc_id", "len", at.alias("slice"), F.array_join(F.array_sort("w"), " ").alias("sorted")).repartition("slice")
+    sorted_words = dealt.select("doc_id", "len", "slice", F.split("sorted", " ").alias("w"))
+    # a document's equal words stand side by side, so they are counted in its row
     begins = F.filter(F.sequence(F.lit(1), F.greatest(F.col("len"), F.lit(1))), lambda i: (i <= F.col("len")) & ((i == 1) | (F.get(F.col("w"), i - 1) != F.get(F.col("w"), i - 2))))
     runs = sorted_words.withColumn("begins", begins)
     counts = F.transform("begins", lambda i, k: F.struct(F.get(F.col("w"), i - 1).alias("term"), (F.coalesce(F.get(F.col("begins"), k + 1), F.col("len") + 1) - i).alias("tf")))
