@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as X
 from lodestone.functions.embedding import Embedder, hashing
-from lodestone.operators import chunking, context
+from lodestone.operators import chunking, context, rebuild
 from lodestone.operators import retrieval as R
 from lodestone.operators.structure import structural_title
 from lodestone.sources.files import markdown_items
@@ -31,11 +31,12 @@ def _entries(column: str) -> Column:
 class Corpus:
     """Documents are ``uri, title, content`` and optionally ``parent_uri`` and ``metadata``, a map of texts; their id is a hash of the uri.
 
-    A null title becomes the one that the structure of the document gives.
+    A null title becomes the one that the structure of the document gives. ``model`` names the embedder: chunks with the
+    same text keep their vectors as long as the name stays.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, words: int = 200):
-        self.store, self.embed, self.words = Store(spark, root), embed or hashing(), words
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, words: int = 200, model: str = "default"):
+        self.store, self.embed, self.words, self.model = Store(spark, root), embed or hashing(), words, model
 
     def _parts(self, docs: DataFrame) -> dict[str, DataFrame]:
         now = F.lit(datetime.now(UTC))
@@ -54,12 +55,19 @@ class Corpus:
         return {"document_meta": meta, "documents": d.select("id", "content"), "document_items": items, "chunks": self._chunks(items)}
 
     def _chunks(self, items: DataFrame) -> DataFrame:
-        """Chunks of at most ``words`` words that stay within a section; what is embedded starts with the section's heading."""
+        """Chunks of at most ``words`` words that stay within a section; what is embedded starts with the section's heading.
+
+        Vectors of texts that the store knows are taken from it, the others are made.
+        """
         c = chunking.hybrid_chunks(items, self.words)
         ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "part")) - 1
         chunk_id = F.concat_ws("-", "doc_id", F.col("ord").cast("string"))
-        told = X.contextualised(F.col("headings"), F.col("content"))
-        return c.withColumn("ord", ord_).select(chunk_id.alias("id"), F.col("doc_id").alias("document_id"), "ord", "content", "refs", "labels", F.get("headings", F.size("headings") - 1).alias("heading"), self.embed(told).alias("vector"))
+        heading = F.get("headings", F.size("headings") - 1)
+        told = X.contextualised(F.when(heading.isNotNull(), F.array(heading)).otherwise(F.array().cast("array<string>")), F.col("content"))
+        cut = c.withColumn("ord", ord_).select(chunk_id.alias("id"), F.col("doc_id").alias("document_id"), "ord", "content", "refs", "labels", heading.alias("heading"), told.alias("_told_text"))
+        known = self.store.read("chunks") if self.store.version() else None
+        known = None if known is None or "key" not in known.columns else known.select("key", "vector")
+        return rebuild.delta_embedded(cut, known, F.col("_told_text"), self.embed, self.model).drop("_told_text", "reused")
 
     def add(self, docs: DataFrame) -> int:
         """Add documents; those whose uri is known are replaced, but keep their creation time and the metadata not given anew.
@@ -132,12 +140,20 @@ class Corpus:
         r = hits.select(F.col("document_id").alias("doc_id"), F.col("chunk_id").alias("result_id"), F.col("rank").alias("seq"), "score", "content", "refs", none.alias("pages"), "labels")
         return context.expand(r, self.store.read("document_items"), max_chars)
 
+    def rebuild(self, words: int | None = None, embed: Embedder | None = None, model: str | None = None) -> int:
+        """Cut all chunks anew from the items and embed only the texts whose vectors the store lacks.
+
+        An embedder without a name counts as a new model, so it embeds all.
+        """
+        self.words = words or self.words
+        if embed is not None:
+            self.embed, self.model = embed, model or f"{self.model}-{self.store.version()}"
+        return self.store.commit({"chunks": self._chunks(self.store.read("document_items"))}, note="rebuild")
+
     def rechunk(self, words: int) -> int:
-        """Cut and embed all chunks anew from the items."""
-        self.words = words
-        return self.store.commit({"chunks": self._chunks(self.store.read("document_items"))}, note="rechunk")
+        """Cut all chunks anew; those that come out as before keep their vectors."""
+        return self.rebuild(words=words)
 
     def reembed(self, embed: Embedder) -> int:
         """Embed all chunks anew."""
-        self.embed = embed
-        return self.store.commit({"chunks": self.store.read("chunks").withColumn("vector", embed(F.col("content")))}, note="reembed")
+        return self.rebuild(embed=embed)

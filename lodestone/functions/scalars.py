@@ -14,9 +14,10 @@ LABEL_PRIORITY = {
 }
 # Words that scale the number before them.
 SCALE = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
-# Patterns of numbers, of scaled numbers, and of a declared answer.
+# Patterns of numbers, of scaled numbers, of a submitted number, and of a declared answer.
 NUMBER = r"[(-]?\$?\d[\d,]*(?:\.\d+)?%?\)?"
 SCALED = r"(?i)[(-]?\$?\d[\d,]*(?:\.\d+)?\s*(?:thousand|million|billion|trillion)"
+SUBMITTED = r"[-−]?\$?\s*\d[\d,]*(?:\.\d+)?\s*%?"
 ANSWER = r"(?im)^[\s*>#_-]*(?:final\s+)?answer\s*[:=]\s*(.+)$"
 
 
@@ -48,12 +49,19 @@ def number_match(predicted: Column, gold: Column, eps: float = 0.01) -> Column:
 
 
 def submission(text: Column) -> Column:
-    """The first number of the answer as text: a percentage as a fraction, whole numbers without a point; empty if none."""
-    seg = F.replace(answer_segment(text), F.lit("−"), F.lit("-"))
-    token = F.regexp_extract(seg, f"({NUMBER})", 1)
-    v = F.when(F.contains(token, F.lit("%")), F.round(_value(token) / 100, 10)).otherwise(_value(token))
-    shown = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
-    return F.coalesce(F.when(token != "", shown), F.lit(""))
+    """The first number of the answer as decimal text: a percentage as a fraction, whole numbers without a point; empty if none.
+
+    Brackets are no sign here. Digits are kept as written; numbers of more than 24 digits before the point or 12 after it
+    go through a double.
+    """
+    token = F.regexp_extract(answer_segment(text), f"({SUBMITTED})", 1)
+    plain = F.replace(F.regexp_replace(token, r"[$,%\s]", ""), F.lit("−"), F.lit("-"))
+    percent = F.when(F.contains(token, F.lit("%")), F.lit("0.01")).otherwise(F.lit("1")).cast("decimal(3,2)")
+    short = F.length(F.regexp_replace(plain, r"^-|\..*$", "")) <= 24
+    exact = F.when(short & (F.length(F.regexp_extract(plain, r"\.(\d+)$", 1)) <= 12), (plain.try_cast("decimal(36,12)").cast("decimal(34,12)") * percent).cast("string"))
+    shown = F.when(F.contains(exact, F.lit(".")), F.regexp_replace(exact, r"\.?0+$", "")).otherwise(exact)
+    rough = plain.try_cast("double") * percent.cast("double")
+    return F.coalesce(F.when(token != "", F.coalesce(F.when(shown == "-0", F.lit("0")).otherwise(shown), rough.cast("string"))), F.lit(""))
 
 
 def primary_label(labels: Column) -> Column:

@@ -50,14 +50,14 @@ def joined_slices(spark, d):
 
 
 @query("attachment_reconcile", """WITH o AS (SELECT 'doc://' || doc_id AS uri, source AS parent_uri, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT 'doc://' || doc_id AS uri, source AS parent_uri, CASE WHEN doc_id % 11 = 0 THEN 'new' ELSE md5(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
+n AS (SELECT 'doc://' || doc_id AS uri, source AS parent_uri, CASE WHEN doc_id % 11 = 0 THEN 'new' ELSE md5(text) END AS h FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0)
 SELECT coalesce(o.uri, n.uri) AS uri, coalesce(o.parent_uri, n.parent_uri) AS parent_uri, CASE WHEN n.uri IS NULL THEN 'delete' WHEN o.uri IS NULL THEN 'add' ELSE 'update' END AS action
 FROM o FULL JOIN n ON o.uri = n.uri WHERE o.h IS DISTINCT FROM n.h OR o.uri IS NULL OR n.uri IS NULL""")
 def attachment_reconcile(spark, d):
     """Children added, changed and removed between two scans of their parents."""
     docs = docs_of(spark, d)
     child = docs.select("doc_id", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("uri"), F.col("source").alias("parent_uri"), F.md5("text").alias("content_hash"))
-    now = child.where("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 11 == 0, "new").otherwise(F.col("content_hash")))
+    now = child.where("doc_id % 5 <> 0 or doc_id % 7 = 0").withColumn("content_hash", F.when(F.col("doc_id") % 11 == 0, "new").otherwise(F.col("content_hash")))
     return L.reconcile(child.select("parent_uri"), child.where("doc_id % 7 <> 0").drop("doc_id"), now.drop("doc_id"))
 
 

@@ -16,7 +16,10 @@ from lodestone.operators.queue import snapshot_diff
 # Content types and the suffix each stands for, tried in this order.
 CONTENT_TYPES = (
     ("text/html", ".html"), ("text/plain", ".txt"), ("text/markdown", ".md"), ("application/pdf", ".pdf"),
-    ("application/json", ".json"), ("text/csv", ".csv"), ("application/xml", ".xml"), ("text/xml", ".xml"),
+    ("application/json", ".json"), ("text/csv", ".csv"),
+    ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".docx"),
+    ("application/vnd.openxmlformats-officedocument.presentationml.presentation", ".pptx"),
+    ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", ".xlsx"),
 )
 # Suffixes of code and the language of their fenced block.
 LANGUAGES = {

@@ -25,7 +25,7 @@ def test_number_match(spark, gold, said, want):
 
 
 def test_submission(spark):
-    assert [of(spark, X.submission, t) for t in ("93.5%", "$688 million", "none")] == ["0.935", "688", ""]
+    assert [of(spark, X.submission, t) for t in ("93.5%", "$688 million", "none", "(5)", "50 %", "12345678.5", "−1,200.50", "$ 007", "1e9", "ANSWER: -0", "0.1%", None)] == ["0.935", "688", "", "5", "0.5", "12345678.5", "-1200.5", "7", "1", "0", "0.001", ""]
 
 
 def test_labels_maps_and_names(spark):

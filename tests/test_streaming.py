@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
+from lodestone.sources.files import discover
 from lodestone.sources.store import Store
 from lodestone.streaming import sync as Y
 
@@ -49,3 +52,52 @@ def test_breaker_state(spark, tmp_path):
     rows = [bad(1), bad(2), ("s", "u", 3, True, None, None), bad(4), ("s", "u", 5, False, "http", 404), bad(6), bad(7), ("t", "u", 8, False, "io", None)]
     got = {r[0]: r[1:] for r in gathered(Y.breaker_states(stream_of(spark, tmp_path / "e", rows), 3, 30), tmp_path, "update")}
     assert got == {"s": (3, 7.0, 37.0), "t": (1, None, None)}
+
+
+def listed(spark, folder, listings):
+    """Append listings, a file each: (time, {uri: revision})."""
+    for at, files in listings:
+        rows = [(u, r, at) for u, r in files.items()]
+        spark.createDataFrame(rows, "uri string, revision string, at long").select("uri", "revision", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)  # files are read in order of their times
+
+
+def told_by_hand(listings, every, lacking):
+    seen, out = {}, []
+    for at, files in listings:
+        for u in [u for u in seen if u not in files and at - seen[u][1] >= every * lacking]:
+            out.append((u, "DELETE", seen.pop(u)[0], at))
+        for u, r in files.items():
+            if u not in seen or seen[u][0] != r:
+                out.append((u, "UPSERT", r, at))
+            seen[u] = (r, at)
+    return sorted(out, key=repr)
+
+
+def test_sweep_deletes_what_two_listings_lack(spark, tmp_path):
+    listings = [
+        (60, {"a": "1", "b": "1", "c": None, "d": "1", "é": ""}), (120, {"a": "1", "b": "2", "d": "1"}), (180, {"a": "1", "c": "9", "d": "1"}),
+        (240, {"a": "1", "c": "9", "e": "1"}), (300, {"b": "3", "a": "2", "e": "1"}), (360, {"b": "3", "d": "1", "e": "1"}),
+    ]
+    sweep = lambda: Y.swept(spark.readStream.schema("uri string, revision string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 60).select("uri", "action", "revision", F.unix_seconds("ts").alias("at"))
+    listed(spark, tmp_path / "in", listings[:4])
+    got = gathered(sweep(), tmp_path)
+    listed(spark, tmp_path / "in", listings[4:])
+    got += gathered(sweep(), tmp_path)  # the stream is started again from its checkpoint
+    assert sorted(got, key=repr) == told_by_hand(listings, 60, 2)
+
+
+def test_sweep_of_three_listings_equals_the_batch_diff(spark, tmp_path):
+    old, new = {f"u{i}": str(i) for i in range(40)}, {f"u{i}": str(i if i % 3 else -i) for i in range(10, 50)}
+    listed(spark, tmp_path / "in", [(60, old), (120, new), (180, new)])
+    got = gathered(Y.swept(spark.readStream.schema("uri string, revision string, ts timestamp").parquet(str(tmp_path / "in")), 60), tmp_path)
+    frame = lambda files: spark.createDataFrame(list(files.items()), "uri string, revision string")
+    want = {(r.uri, r.action) for r in discover(frame(new), frame(old)).collect() if r.action != "UNCHANGED"}
+    assert {(r[0], r[1]) for r in got if r[3].minute > 1} == want
+
+
+def test_sweep_of_listings_split_over_batches(spark, tmp_path):
+    listed(spark, tmp_path / "in", [(60, {"a": "1"}), (60, {"b": "1"}), (120, {"a": "1"}), (120, {"b": "1"}), (180, {"c": "1"}), (180, {"b": "1"}), (240, {"c": "1"}), (240, {"b": "1"}), (300, {"b": "1", "c": "1"})])
+    stream = spark.readStream.schema("uri string, revision string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = gathered(Y.swept(stream, 60, delay=60).select("uri", "action", F.unix_seconds("ts")), tmp_path)
+    assert sorted(got) == [("a", "DELETE", 240), ("a", "UPSERT", 60), ("b", "UPSERT", 60), ("c", "UPSERT", 180)]
