@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,15 +15,20 @@ Embedder = Callable[[Column], Column]
 
 
 def hashing(dim: int = 64) -> Embedder:
-    """Counts of tokens by hash, signed by another bit of it, to length one; all zero for a text without tokens."""
+    """Counts of tokens by hash, signed by another bit of it, to length one; all zero for a text without tokens.
 
-    def embed(text: Column) -> Column:
-        at = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).alias("i"), F.when(F.xxhash64(t) < 0, -1.0).otherwise(1.0).alias("s")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(at, lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["s"]))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    Tokens are hashed as expressions and counted in Arrow batches: expressions would go over all tokens for each number.
+    """
 
-    return embed
+    @F.pandas_udf("array<float>")
+    def counted(hashes: pd.Series) -> pd.Series:
+        flat = np.concatenate([np.zeros(0, np.int64), *hashes])
+        row = np.repeat(np.arange(len(hashes)), hashes.map(len).to_numpy(np.int64))
+        raw = np.bincount(row * dim + flat % dim, np.where(flat < 0, -1.0, 1.0), len(hashes) * dim).reshape(-1, dim)
+        norm = np.sqrt((raw * raw).sum(1, keepdims=True))
+        return pd.Series(list((raw / np.where(norm > 0, norm, 1.0)).astype(np.float32)))
+
+    return lambda text: counted(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
 
 
 def batched(model: Callable[[list[str]], list[list[float]]], size: int = 512) -> Embedder:

@@ -41,13 +41,14 @@ def delta_embedded(cut: DataFrame, known: DataFrame | None, told: Column, embed:
     """
     rows = cut.drop("key", "vector", "reused").withColumns({"key": chunk_key(model, told), "_told": F.coalesce(told, F.lit(""))})
     rows = V.stored(rows, "cut")
-    texts = rows.groupBy("key").agg(F.first("_told").alias("_told"))
+    made = lambda texts: texts.select("key", "_told").distinct().select("key", embed(F.col("_told")).alias("vector"), F.lit(False).alias("reused"))
     if known is None:
-        return _looked_up(rows.drop("_told"), V.stored(texts.select("key", embed(F.col("_told")).alias("vector"), F.lit(False).alias("reused")), "vectors"))
-    old = known.where("vector is not null").groupBy("key").agg(F.first("vector").alias("vector"))
-    kept = texts.join(old, "key").select("key", "vector", F.lit(True).alias("reused"))
-    new = texts.join(old, "key", "left_anti").select("key", embed(F.col("_told")).alias("vector"), F.lit(False).alias("reused"))
-    return _looked_up(rows.drop("_told"), V.stored(kept.unionByName(new), "vectors"))
+        return _looked_up(rows.drop("_told"), V.stored(made(rows), "vectors"))
+    # only keys are compared; of the texts, those of new keys are shuffled
+    keys, known = V.stored(rows.select("key").distinct(), "keys"), known.where("vector is not null")
+    lacking = V.stored(keys.join(known.select("key").distinct(), "key", "left_anti"), "lacking")
+    kept = known.join(keys, "key", "left_semi").groupBy("key").agg(F.first("vector").alias("vector")).withColumn("reused", F.lit(True))
+    return _looked_up(rows.drop("_told"), V.stored(kept.unionByName(made(rows.join(V.sized(lacking), "key", "left_semi"))), "vectors"))
 
 
 def delta_counts(cut: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
