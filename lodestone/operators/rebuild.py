@@ -18,8 +18,8 @@ HOT = 50_000
 
 
 def chunk_key(model: str, told: Column) -> Column:
-    """Hash of a model's name and the text that it embeds; a null text counts as empty."""
-    return F.sha2(F.concat(F.lit(model), F.lit("\0"), F.coalesce(told, F.lit(""))), 256)
+    """Hash (128 bits) of a model's name and the text that it embeds; a null text counts as empty."""
+    return F.md5(F.concat(F.lit(model), F.lit("\0"), F.coalesce(told, F.lit(""))))
 
 
 def _looked_up(rows: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def delta_embedded(cut: DataFrame, known: DataFrame | None, told: Column, embed:
     """
     rows = cut.drop("key", "vector", "reused").withColumns({"key": chunk_key(model, told), "_told": F.coalesce(told, F.lit(""))})
     rows = V.stored(rows, "cut")
-    made = lambda texts: texts.select("key", "_told").distinct().select("key", embed(F.col("_told")).alias("vector"), F.lit(False).alias("reused"))
+    made = lambda texts: texts.select("_told").distinct().select(chunk_key(model, F.col("_told")).alias("key"), embed(F.col("_told")).alias("vector"), F.lit(False).alias("reused"))
     if known is None:
         return _looked_up(rows.drop("_told"), V.stored(made(rows), "vectors"))
     # only keys are compared; of the texts, those of new keys are shuffled
