@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -103,10 +104,15 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > at.get(start, 0.0):
                 at[start] = weight
-        for start, end in spared:
-            for k in [k for k in at if start <= k < end]:
-                del at[k]
-        return at
+        if not spared:
+            return at
+        places, reach, gone = sorted(at), 0, set()
+        for start, end in sorted(spared):  # each place is passed once, however many exceptions cover it
+            first = bisect_left(places, start)
+            last = bisect_left(places, end)
+            gone.update(places[max(first, reach) : last])
+            reach = max(reach, last)
+        return {k: w for k, w in at.items() if k not in gone}
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Sum of weights (as a logarithm), sum for a hundred words, heaviest weight."""
