@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytecontext import HELD, ContextTree, GramCounter, encoded, grams, pieces, tree
 from lodestone.llm.text import crc_mod
-from lodestone.llm.workspace import bound_batches, hinted, join_classes, materialise, settled, table
+from lodestone.llm.workspace import bound_batches, hinted, join_classes, least_count, materialise, settled, table
 
 #: Longest context, and contexts whose mixtures are sent to the workers, at most.
 DEPTH, NODES = 4, 16_384
@@ -276,14 +276,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     texts = counts.where(F.col("kind") == TEXT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # the count from which the words fit the head: there are few distinct counts
-    least, kept = 1 << 62, 0
-    for r in words.groupBy("n").agg(F.count("*").alias("v")).where(F.col("v") <= HEAD).orderBy(F.desc("n")).limit(HEAD).collect():
-        kept += r["v"]
-        if kept > HEAD:
-            break
-        least = r["n"]
-    head = words.where(F.col("n") >= least).toArrow().to_pandas().sort_values("key")  # HEAD bounds these rows
+    head = words.where(F.col("n") >= least_count(words, "n", HEAD)).toArrow().to_pandas().sort_values("key")  # HEAD bounds these rows
     codes = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n")
     chosen, seen = tree(codes, DEPTH, NODES)
     contexts = ContextTree(chosen) if len(chosen) else None

@@ -96,6 +96,20 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.count() * row_bytes <= limit
 
 
+def least_count(df: DataFrame, count: str, most: int) -> int:
+    """The least count such that at most ``most`` rows of ``df`` (materialised) have it or a greater one.
+
+    Counts are whole numbers. A count whose rows don't all fit is left out, and so are the smaller ones.
+    """
+    least, kept = (1 << 63) - 1, 0
+    for r in df.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("v")).orderBy(F.desc("c")).limit(most).collect():
+        kept += r["v"]
+        if kept > most:
+            break
+        least = r["c"]
+    return least
+
+
 def hinted(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``broadcast(df)`` when its counted size is in bounds, else ``df`` for a shuffled join."""
     return F.broadcast(df) if small(df, row_bytes, limit) else df
