@@ -174,10 +174,17 @@ def _contamination(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     )
 
 
+def _exactly_hit(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    terms = materialise(benchmark_terms(items), "terms")
+    index = build_index(docs, terms)
+    rows = materialise(phrase_hits(index, terms, window).select("row_id").distinct(), "hit_rows")
+    return index.where(F.col("term") == END).join(hinted(rows, 16), "row_id", "left_semi").select("doc_id", "text_md5").distinct()
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that hold an occurrence of an item window."""
     bad_id, bad_md5, md5 = fresh(docs, "bad_id"), fresh(docs, "bad_md5"), fresh(docs, "md5")
-    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_md5").alias(bad_md5)).distinct()
+    bad = settled(docs.sparkSession, "contaminated", lambda: _exactly_hit(docs, items, window)).select(F.col("doc_id").alias(bad_id), F.col("text_md5").alias(bad_md5))
     same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(md5) == F.col(bad_md5))
     keyed = docs.withColumn(md5, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return keyed.join(bad, same, "left_anti").drop(md5)
