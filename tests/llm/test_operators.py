@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import chat, decontamination, jaccard, langid, lm, mixing, quality, queries, sharding, tokenfiles, toxicity
+from lodestone.llm import chat, decontamination, jaccard, langid, lm, mixing, quality, queries, sharding, tokenfiles, toxicity, workspace
 from lodestone.llm.bytecontext import ContextTree, pieces
 from tests.oracle import assert_same
 
@@ -745,3 +747,53 @@ def test_pipeline(spark):
         assert not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
     groups = brute_groups([(r["doc_id"], r["text"]) for r in out.dropDuplicates(["doc_id"]).collect()], 5, 80)
     assert all(i == g for i, (_, g) in groups.items())
+
+
+def test_exceptions_cover_the_same_words_in_linear_time():
+    """Nested and repeated exceptions against a walk of all places, and a text of five megabytes."""
+    entries, exceptions = {" bad ": 2.0, " awful ": 3.0}, [" not bad ", " not bad at all ", " bad at "]
+    lexicon = toxicity.Lexicon(entries, exceptions)
+    draw = random.Random(3)
+    for _ in range(300):
+        text = toxicity.fold(" ".join(draw.choice(["bad", "not", "at", "all", "awful", "x"]) for _ in range(draw.randrange(40))))
+        covered = {k for e in exceptions for k in _places(text, e) for k in range(k, k + len(e) - 1)}
+        want = {k: w for e, w in entries.items() for k in _places(text, e) if k not in covered}
+        assert lexicon.matches(text) == want
+    long = toxicity.fold("not bad at all awful " * 250_000)
+    start = time.monotonic()
+    assert len(lexicon.matches(long)) == 250_000
+    assert time.monotonic() - start < 30
+
+
+def _places(text, entry):
+    return [k for k in range(len(text)) if text.startswith(entry, k)]
+
+
+def test_least_count_never_passes_its_bound(spark):
+    """A count whose rows don't fit ends the head, also when rarer counts would fit."""
+    counts = [5] + [2] * 20 + [1] * 3
+    df = spark.createDataFrame([(n,) for n in counts], "n long")
+    for most in (1, 10, 20, 21, 23, 24, 100):
+        least = workspace.least_count(df, "n", most)
+        assert sum(n >= least for n in counts) == (24 if most >= 24 else 21 if most >= 21 else 1)
+    assert workspace.least_count(df.limit(0), "n", 5) > 1 << 62
+
+
+def test_jaccard_with_an_order_of_few_frequent_shingles(spark, monkeypatch):
+    """Links don't depend on how many shingles the order knows."""
+    rows = [(i, " ".join(["the same words open every text of this table", *(f"w{(i // 2) * 7 + j}" for j in range(30))])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, 37, i - i % 2) for i in range(200)]
+    for late in (0, 3, 1 << 20):
+        monkeypatch.setattr(jaccard, "LATE", late)
+        got = sorted(tuple(r) for r in jaccard.similar_groups(docs, 3, 90).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == want
+
+
+def test_drop_contaminated_equals_the_hits(spark):
+    """The rows that go are those that the whole operator calls contaminated."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    told = decontamination.contamination(docs, items)
+    kept = decontamination.drop_contaminated(docs, items)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in told.where("not contaminated").select("doc_id").collect())
+    assert 0 < kept.count() < docs.count()
