@@ -74,10 +74,10 @@ def discover(found: DataFrame, known: DataFrame) -> DataFrame:
 def http_action(status: Column, etag: Column, last_modified: Column, known: Column) -> Column:
     """``action, revision`` of an answered request; ``known`` says that the address was ingested before.
 
-    410 deletes; other errors are tried again, without a revision; a known address without one is taken as unchanged.
+    410 deletes; other errors, and no answer (a null status), are tried again, without a revision; a known address without one is taken as unchanged.
     """
     revision = F.coalesce(F.trim(F.replace(F.regexp_replace(etag, "^W/", ""), F.lit('"'), F.lit(""))), last_modified)
-    action = F.when(status == 410, "DELETE").when(status >= 400, "UPSERT").when(revision.isNull() & known, "UNCHANGED").otherwise("UPSERT")
+    action = F.when(status == 410, "DELETE").when(status.isNull() | (status >= 400), "UPSERT").when(revision.isNull() & known, "UNCHANGED").otherwise("UPSERT")
     return F.struct(action.alias("action"), F.when(status < 400, revision).alias("revision"))
 
 
