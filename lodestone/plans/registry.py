@@ -127,7 +127,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 def hybrid_rrf_topk(spark, d):
     v = vectors_of(spark, d)
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    lexical = R.top(v.select("vec_id", "label").join(q, "label").drop("label"), ["query_id"], ["vec_id"], 10)
+    first = R.top(v.select("vec_id", "label"), ["label"], ["vec_id"], 10)  # queries of a label have the same ones
+    lexical = R.top(first.drop("rank").join(q, "label").drop("label"), ["query_id"], ["vec_id"], 10)
     return R.fuse([searched(spark, d), lexical], "vec_id", 10)
 
 
