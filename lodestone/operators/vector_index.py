@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.views import sized, squared_distance
+from lodestone.functions.views import squared_distance
+from lodestone.operators import tiles
 from lodestone.operators.retrieval import top
 
 #: Vectors that the centres are learnt from, about; every vector is put into a list.
@@ -48,23 +49,21 @@ def build(vectors: DataFrame, path: str, lists: int = 16, seed: int = 7) -> Vect
     return VectorIndex(stored, spark.read.parquet(f"{path}/centres"))
 
 
-def _score(a: str, b: str) -> Column:
-    return F.round(1 / (1 + squared_distance(F.col(a), F.col(b))), 6)
-
-
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 4, exact: bool = True) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the ``k`` nearest, as ``retrieval.vector_search`` gives them.
 
     The ``probes`` nearest lists give a first ``k``. With ``exact``, every other list follows whose ball may hold a vector that
     scores no worse than the last of these (by the triangle inequality, with the rounding of scores as slack); without it
-    the first ``k`` are the result. Queries and centres meet by a join on the list, so no query meets all vectors.
+    the first ``k`` are the result. Queries meet the vectors of a list in blocks of both.
     """
+    asked, longest = queries.count(), index.centres.agg(F.max("n")).first()[0] or 0
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     near = q.crossJoin(F.broadcast(index.centres)).withColumn("d", F.sqrt(squared_distance(F.col("q"), F.col("centre"))))  # centres are at most as many as lists
     near = top(near, ["query_id"], ["d", "list"], 1 << 30).select("query_id", "q", "list", "radius", "d", F.col("rank").alias("nth"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return index.lists.join(sized(pairs.select("query_id", "q", "list")), "list").select("query_id", "vec_id", _score("embedding", "q").alias("score"))
+        found = tiles.nearest(index.lists, pairs, k, longest, asked, ("list",))
+        return found.select("query_id", "vec_id", F.round("s", 6).alias("score"))
 
     order = [F.desc("score"), "vec_id"]
     first = top(scored(near.where(F.col("nth") <= probes)), ["query_id"], order, k)

@@ -15,3 +15,8 @@ def plan_of(df):
 def test_labels_are_ranked_before_they_meet_queries(spark):
     plan = plan_of(registry.QUERIES["hybrid_rrf_topk"](spark, SF))
     assert "Window" in plan.split("Join Inner")[1]
+
+
+def test_index_search_meets_lists_in_blocks(spark):
+    plan = plan_of(registry.QUERIES["vector_index_topk"](spark, SF))
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan.split("FlatMapCoGroupsInArrow")[0]
