@@ -92,8 +92,9 @@ SELECT position, level, text, CASE {parents} END, coalesce(CASE {ends} END, stop
     words = lambda column: f"filter(split(lower({column}), '[^a-z0-9]+'), x -> x <> '')"
     sized = f"(SELECT size({words('content')}) AS len FROM {prefix}chunks_view)"
     define("search", "asked STRING, n INT", f"chunk_id {chunk_type}, document_id {doc_type}, score DOUBLE, rank INT", f"""
-WITH told AS (SELECT chunk_id, document_id, size({words("content")}) AS len, filter({words("content")}, x -> array_contains({words(f"{prefix}search.asked")}, x)) AS hits FROM {prefix}chunks_view),
-counted AS (SELECT chunk_id, document_id, len, term, count(*) AS tf FROM told LATERAL VIEW explode(hits) AS term GROUP BY ALL),
+WITH told AS (SELECT chunk_id, document_id, size(w) AS len, w FROM (SELECT chunk_id, document_id, {words("content")} AS w FROM {prefix}chunks_view)),
+wanted AS (SELECT DISTINCT term FROM (SELECT explode({words(f"{prefix}search.asked")}) AS term)),
+counted AS (SELECT chunk_id, document_id, len, term, count(*) AS tf FROM (SELECT chunk_id, document_id, len, explode(w) AS term FROM told) JOIN wanted USING (term) GROUP BY ALL),
 known AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
 scored AS (SELECT chunk_id, document_id, round(sum(ln(1 + ((SELECT count(*) FROM {sized}) - df + 0.5D) / (df + 0.5D)) * tf * {1 + K1}D
     / (tf + {K1}D * ({1 - B}D + {B}D * len / (SELECT avg(len) FROM {sized})))), 5) AS score

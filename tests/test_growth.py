@@ -20,3 +20,7 @@ def test_labels_are_ranked_before_they_meet_queries(spark):
 def test_index_search_meets_lists_in_blocks(spark):
     plan = plan_of(registry.QUERIES["vector_index_topk"](spark, SF))
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_search_function_cuts_the_asked_text_once(spark):
+    assert "array_contains" not in plan_of(registry.QUERIES["search_function"](spark, SF))
