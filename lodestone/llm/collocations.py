@@ -39,12 +39,12 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 BUCKET_BYTES, BUCKETS = 48, (1 << 16, 1 << 26)
 #: Buckets in a block of counts, and tasks whose blocks are summed together.
 BLOCK, FAN_IN = 1 << 16, 256
-#: Bytes of text that are counted together, about.
-TEXT_BYTES = 4 << 20
+#: Bytes of text that are counted together, about; only a longer text is more. A worker holds some thirty times as much.
+TEXT_BYTES = 1 << 20
 #: Shares of a language's phrases that are ranked by themselves first.
 SHARES = 64
 #: Rows of counts that a task holds before they are summed.
-HELD_ROWS, COUNTED = 200_000, ["lang", "phrase", "h", "n"]
+HELD_ROWS, COUNTED = 400_000, ["lang", "phrase", "h", "n"]
 #: Classes of bytes: 1 parts words, 2 parts pieces.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -213,18 +213,27 @@ def _pass(docs: DataFrame, n: int, buckets: int, least: int, full: Broadcast | N
 
 
 def _gathered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Texts and languages, ``TEXT_BYTES`` together about."""
+    """Texts and languages, ``TEXT_BYTES`` together about; batches of more are cut between texts."""
     held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= TEXT_BYTES:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield plain(whole.column("text")), plain(whole.column("lang"))
-            held, size = [], 0
-    if size:
+
+    def joined() -> tuple[pa.Array, pa.Array]:
         whole = pa.Table.from_batches(held).combine_chunks()
-        yield plain(whole.column("text")), plain(whole.column("lang"))
+        return plain(whole.column("text")), plain(whole.column("lang"))
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES - size, side="right")))
+            held.append(batch.slice(at, end - at))
+            size += int(ends[end - 1]) - before
+            at = end
+            if size >= TEXT_BYTES or at < batch.num_rows:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
 
 
 def _bucket_bits(counts: DataFrame, buckets: int, least: int) -> np.ndarray:

@@ -1,10 +1,11 @@
-"""What the driver holds does not grow with the tables."""
+"""What the driver and a worker hold does not grow with the tables."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard, workspace
+from lodestone.llm import collocations, jaccard, workspace
 
 
 def test_only_keys_of_a_large_part_of_the_rows_are_sent(spark):
@@ -23,3 +24,12 @@ def test_long_tables_of_ids_are_not_sent_by_the_driver(spark, monkeypatch):
     want = sorted(map(repr, jaccard.one_of_each(docs).collect()))
     monkeypatch.setattr(jaccard, "TOLD", 0)
     assert sorted(map(repr, jaccard.one_of_each(docs).collect())) == want and len(want) == 33
+
+
+def test_phrases_are_counted_by_blocks_of_bounded_text(monkeypatch):
+    monkeypatch.setattr(collocations, "TEXT_BYTES", 1000)
+    texts = ["x" * (i * 7 % 90) for i in range(400)] + ["y" * 5000, None, "", "z"]
+    whole = pa.record_batch([pa.array(texts), pa.array([f"l{i}" for i in range(len(texts))])], ["text", "lang"])
+    blocks = list(collocations._gathered_texts(iter([whole.slice(0, 3), whole.slice(3, 300), whole.slice(303, 0), whole.slice(303)])))
+    assert [x for t, _ in blocks for x in t.to_pylist()] == texts and [x for _, k in blocks for x in k.to_pylist()] == whole.column("lang").to_pylist()
+    assert all(sum(len(x or "") for x in t.to_pylist()) <= 1000 or len(t) == 1 for t, _ in blocks) and len(blocks) < 60
