@@ -28,12 +28,14 @@ def blocks(n: int, most: int) -> int:
 
 
 def _met(rows: DataFrame, row_id: str, nr: int, queries: DataFrame, nq: int, by: list[str]):
-    """Both sides dealt to pairs of blocks, grouped by them."""
+    """Both sides dealt to pairs of blocks, grouped by them; there are as many partitions as pairs, so none holds more as the tables grow."""
     at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("_rb", at(row_id, nr)).withColumn("_qb", every(nq))
     right = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # new columns, as both sides may come from one table
     right = right.withColumn("_qb", at("query_id", nq)).withColumn("_rb", every(nr))
+    if not by and nr * nq > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = (x.repartition(nr * nq, "_rb", "_qb") for x in (left, right))
     return left.groupBy(*by, "_rb", "_qb").cogroup(right.groupBy(*by, "_rb", "_qb"))
 
 
