@@ -36,16 +36,19 @@ def rows_only(name: str):
     return put
 
 
-def items_of(spark, d):
-    """Items of the documents with a reference each, and pages of ten lines."""
-    i = V.items(docs_of(spark, d))
+def items_of(spark, d, found=None):
+    """Items of the documents, or of those with rows in ``found``, with a reference each, and pages of ten lines."""
+    docs = docs_of(spark, d)
+    if found is not None:  # before the texts are cut into items
+        docs = docs.join(V.sized(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    i = V.items(docs)
     return i.withColumns({"self_ref": F.concat(F.lit("#/texts/"), F.col("position").cast("string")), "pages": F.array((F.col("position") / 10).cast("int") + 1)})
 
 
 def item_hits(spark, d):
     """Results for the context operators: the longest line of each document found by full-text search."""
     run = V.stored(R.bm25(docs_of(spark, d), bench_queries(spark, d), 5).select("query_id", "doc_id", "score", "rank"), "hits")  # read by many steps
-    longest = R.top(items_of(spark, d).join(run.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], [F.desc(F.length("text")), "position"], 1).drop("rank")
+    longest = R.top(items_of(spark, d, run), ["doc_id"], [F.desc(F.length("text")), "position"], 1).drop("rank")
     hits = run.join(longest, "doc_id")
     result = F.concat_ws("/", F.col("query_id").cast("string"), F.col("doc_id").cast("string"))
     return V.stored(hits.select("doc_id", result.alias("result_id"), F.col("rank").alias("seq"), "score", F.col("text").alias("content"), F.array("self_ref").alias("refs"), "pages", F.array("label").alias("labels")), "item-hits")
@@ -133,7 +136,8 @@ grown AS (SELECT doc_id, sec_lo AS lo, sec_hi AS hi FROM centre WHERE fits UNION
 
 @query("context_outward_growth", f"WITH RECURSIVE {GROWTH} SELECT doc_id, query_id || '/' || doc_id AS result_id, lo, hi FROM run JOIN grown USING (doc_id)")
 def context_outward_growth(spark, d):
-    items, hits = items_of(spark, d), item_hits(spark, d)
+    hits = item_hits(spark, d)
+    items = items_of(spark, d, hits)
     matched = C.resolve(hits, items)
     grown = C.expansion_ranges(matched, C.fetched(items, matched), BUDGET)
     return grown.withColumns({c: F.col(c).cast("long") for c in ("lo", "hi")})
@@ -154,7 +158,8 @@ SELECT doc_id, result_id, result_ids, seq, score, md5(content) AS content_md5, c
   SELECT doc_id, result_id, result_id AS result_ids, seq, score FROM told WHERE alone UNION ALL
   SELECT t.doc_id, (array_agg(result_id ORDER BY score DESC, seq, result_id))[1], string_agg(result_id, ',' ORDER BY seq, result_id), min(seq), max(score) FROM told t WHERE NOT alone GROUP BY t.doc_id) JOIN parts USING (doc_id)""")
 def expanded_results(spark, d):
-    r = C.expand(item_hits(spark, d), items_of(spark, d), BUDGET)
+    hits = item_hits(spark, d)
+    r = C.expand(hits, items_of(spark, d, hits), BUDGET)
     joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("result_ids", "refs", "pages", "labels")}
     return r.withColumns(joined).withColumn("content_md5", F.md5("content")).drop("content")
 

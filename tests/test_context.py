@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import context as C
+from lodestone.plans import corpus_queries
 
 ITEMS = "doc_id long, position int, self_ref string, label string, text string, pages array<int>"
 RESULTS = "doc_id long, result_id long, seq long, score double, content string, refs array<string>, pages array<int>, labels array<string>"
@@ -112,3 +113,12 @@ def test_ranges_meet_items_by_bin(spark):
     assert "_bin" in spread._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1][:60]
     sizes = C.in_ranges(i, r).groupBy("doc_id", (F.col("position") / C.BIN).cast("int").alias("b")).count()
     assert sizes.count() > 30  # the large document is many groups
+
+
+def test_only_documents_found_are_cut_into_items(spark):
+    found = spark.createDataFrame([(3,), (3,), (5,)], "doc_id long")
+    items = corpus_queries.items_of(spark, "/root/testdata/sf0.001", found)
+    whole = corpus_queries.items_of(spark, "/root/testdata/sf0.001").where("doc_id in (3, 5)")
+    assert sorted(map(repr, items.collect())) == sorted(map(repr, whole.collect())) != []
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join LeftSemi")  # the join is below
