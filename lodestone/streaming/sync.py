@@ -5,16 +5,19 @@ File streams never report deletions; ``swept`` finds them in a stream of whole l
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.operators.queue import error_class
 
 
+#: States that the addresses of a sweep are dealt to; one of them is read and written whole.
+BUCKETS = 1 << 14
 #: What the ``binaryFile`` source gives.
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -69,46 +72,65 @@ def breaker_states(stream: DataFrame, threshold: int, cooldown_seconds: float) -
 
 
 class _Sweep(StatefulProcessor):
-    """State of one address: the revision last listed, when, and the time at which it counts as gone; the timer is a millisecond before."""
+    """State of the addresses of a bucket: the revision last listed, when, and the time at which it counts as gone.
+
+    The timer is a millisecond before the first of these times. State and timers cost several calls of the JVM each time, so
+    they are kept for a bucket and not for each address.
+    """
 
     def __init__(self, patience_ms: int):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "revision string, at long, due long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        listed = pd.concat(list(rows))
-        listed = sorted({(int(t.value // 1_000_000), None if pd.isna(r) else r) for t, r in zip(listed["ts"], listed["revision"]) if not pd.isna(t)}, key=lambda x: (x[0], x[1] or ""))
-        before = self.seen.get() if self.seen.exists() else None
-        now, out = before, []
-        for at, revision in listed:
-            if now is not None and at < now[1]:
-                continue
-            if now is not None and at > now[2]:
-                out.append(("DELETE", now[0], now[2]))
-                now = None
-            if now is None or now[0] != revision:
-                out.append(("UPSERT", revision, at))
-            now = (revision, at, at + self.patience_ms)
-        if now is not None and now != before:
+        self.seen = handle.getValueState("seen", "held string, first long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held, first = self._held()
+        listed: dict = {}
+        for r in rows:
+            if r["ms"] is not None:
+                listed.setdefault(r["uri"], set()).add((r["ms"], r["revision"]))
+        changed = False
+        for uri, some in listed.items():
+            now = before = held.get(uri)
+            for at, revision in sorted(some, key=lambda x: (x[0], x[1] or "")):
+                if now is not None and at < now[1]:
+                    continue
+                if now is not None and at > now[2]:
+                    yield Row(uri=uri, action="DELETE", revision=now[0], at=now[2])
+                    now = None
+                if now is None or now[0] != revision:
+                    yield Row(uri=uri, action="UPSERT", revision=revision, at=at)
+                now = [revision, at, at + self.patience_ms]
+            held[uri] = now
+            changed = changed or now != before
+        if changed:
+            self._keep(held, first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held, _ = self._held()
+        over = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for uri in [u for u, (_, _, due) in held.items() if due - 1 <= over]:
+            revision, _, due = held.pop(uri)
+            yield Row(uri=uri, action="DELETE", revision=revision, at=due)
+        self._keep(held, None)  # the timer that went off is gone
+
+    def _held(self) -> tuple[dict, int | None]:
+        state = self.seen.get()
+        return ({}, None) if state is None else ({u: [*x] for u, *x in json.loads(state[0])}, state[1])
+
+    def _keep(self, held: dict, before: int | None) -> None:
+        first = min((due for _, _, due in held.values()), default=None)
+        if first != before:
             if before is not None:
-                self.handle.deleteTimer(before[2] - 1)
-            self.seen.update(now)
-            self.handle.registerTimer(now[2] - 1)
-        yield from self._told(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        revision, _, due = self.seen.get()
-        self.seen.clear()
-        yield from self._told(key, [("DELETE", revision, due)])
-
-    @staticmethod
-    def _told(key, out) -> Iterator[pd.DataFrame]:
-        if out:
-            action, revision, at = zip(*out)
-            yield pd.DataFrame({"uri": key[0], "action": action, "revision": pd.Series(revision, dtype="object"), "at": at})
+                self.handle.deleteTimer(before - 1)
+            if first is not None:
+                self.handle.registerTimer(first - 1)
+        if held:
+            self.seen.update((json.dumps([[u, *x] for u, x in held.items()]), first))
+        else:
+            self.seen.clear()
 
     def close(self) -> None:
         pass
@@ -118,16 +140,17 @@ def swept(listings: DataFrame, every: float, lacking: int = 2, delay: float = 0)
     """A stream of ``uri, action, revision, ts`` from one of whole listings ``uri, revision, ts``, made ``every`` so many seconds.
 
     ``ts`` is the time of the listing. An address that is new or has another revision is an UPSERT; one that ``lacking``
-    listings in a row don't have is a DELETE, at the time of the last of them, and new again if it returns. Each address has
-    its own state and timer, so a sweep touches those that are due and reads no table of all. Listings come in order of
+    listings in a row don't have is a DELETE, at the time of the last of them, and new again if it returns. Addresses are kept in
+    ``BUCKETS`` states by a hash, so a sweep touches the buckets with some that are due and reads no table of all. Listings come in order of
     time, also several in one batch. A batch holds whole listings; where one may be split over batches, ``delay`` is how many
     seconds of later listings may have been seen before its last row, and DELETEs wait as long. Older rows and rows without
     a time are left out, repeated rows count once, of two revisions in one listing both are told in order, a null revision is
     one of its own and a null address an address. Times are after 1970.
     """
     listings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = listings.select("uri", "revision", "ts").withWatermark("ts", f"{int(delay * 1000) + 1} milliseconds")
-    told = rows.groupBy("uri").transformWithStateInPandas(_Sweep(int(every * 1000) * lacking), "uri string, action string, revision string, at long", "Append", "EventTime")
+    rows = listings.select("uri", "revision", "ts", F.unix_millis("ts").alias("ms"), F.pmod(F.xxhash64("uri"), F.lit(BUCKETS)).alias("bucket"))
+    rows = rows.withWatermark("ts", f"{int(delay * 1000) + 1} milliseconds").groupBy("bucket")
+    told = rows.transformWithState(_Sweep(int(every * 1000) * lacking), "uri string, action string, revision string, at long", "Append", "EventTime")
     return told.select("uri", "action", "revision", F.timestamp_millis("at").alias("ts"))
 
 

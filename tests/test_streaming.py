@@ -101,3 +101,18 @@ def test_sweep_of_listings_split_over_batches(spark, tmp_path):
     stream = spark.readStream.schema("uri string, revision string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = gathered(Y.swept(stream, 60, delay=60).select("uri", "action", F.unix_seconds("ts")), tmp_path)
     assert sorted(got) == [("a", "DELETE", 240), ("a", "UPSERT", 60), ("b", "UPSERT", 60), ("c", "UPSERT", 180)]
+
+
+def test_sweep_keeps_addresses_of_a_bucket_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Y, "BUCKETS", 2)
+    listings = {1: ["a", "b", "c", None, "d"], 2: ["a", "c", None], 3: ["a", None], 4: ["a", "d"], 5: ["a"]}
+    for at, uris in listings.items():
+        spark.createDataFrame([(u, "r") for u in uris], "uri string, revision string").withColumn("ts", F.timestamp_seconds(F.lit(60 * at))).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("uri string, revision string, ts timestamp").parquet(str(tmp_path / "in"))
+    told = Y.swept(stream, 60).select("uri", "action", F.unix_seconds("ts").alias("at"))
+    run = told.writeStream.format("memory").queryName("bucketed").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted(map(repr, map(tuple, spark.table("bucketed").collect())))
+    up, gone = {("a", 60), ("b", 60), ("c", 60), (None, 60), ("d", 60), ("d", 240)}, {("b", 180), ("d", 180), ("c", 240), (None, 300)}
+    assert got == sorted(map(repr, [(u, "UPSERT", t) for u, t in up] + [(u, "DELETE", t) for u, t in gone]))
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 3  # a state and a timer, held in two places, for each bucket
