@@ -7,8 +7,9 @@ subspace (so a vector costs as many bytes as there are subspaces), and reads who
 only of the best ``over`` times ``k``, whose exact scores rank the result.
 
 Centres and codebooks are learnt from about ``SAMPLE`` vectors, chosen by a hash of the id;
-every vector is coded. Lists are searched in blocks of ``LIST_BLOCK`` codes by as many as ``QUERY_BLOCK``
-queries, so no task holds a list or all queries. Under ``LEAST`` vectors nothing is coded, and
+every vector is coded. Lists are searched in blocks of ``LIST_BLOCK`` codes, several lists or a part of one, by as many
+as ``QUERY_BLOCK`` queries, so no task holds a long list or all queries; a query is sent to a block once and gets
+``over`` times ``k`` codes of it at most. Under ``LEAST`` vectors nothing is coded, and
 a search is exact.
 
 Metrics: "l2" scores 1 / (1 + distance), "cosine" the cosine, "dot" the product. Scores are rounded to
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ SAMPLE, LEAST, CODES = 65_536, 256, 256
 #: Lists at most, and bytes of their centres at most.
 LISTS, CENTRE_BYTES = 16_384, 32 << 20
 LIST_BLOCK, QUERY_BLOCK = 50_000, 2_000
+#: Vectors compared with all centres, or with all codes of a book, at a time.
+ROWS = 1_024
 
 
 @dataclass
@@ -66,12 +70,18 @@ def _usable(vectors: DataFrame, metric: str, dims: int | None = None) -> tuple[D
     return v.where(F.size("embedding") == dims), dims
 
 
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest of ``centres`` to each row of ``x``."""
+    size = (centres * centres).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *((size - 2 * x[a : a + ROWS] @ centres.T).argmin(1) for a in range(0, len(x), ROWS))])
+
+
 def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Centres of k-means over the rows of ``x``; rows of ``x`` if there are no more than k."""
     rnd = np.random.default_rng(seed)
     c = x[rnd.permutation(len(x))[:k]].copy()
     for _ in range(rounds if len(x) > k else 0):
-        own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        own = _closest(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rnd.integers(0, len(x), k)])
@@ -89,7 +99,7 @@ def _codebooks(some: DataFrame, centres: np.ndarray, subspaces: int, metric: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _prepared(_matrix(b.column("embedding")), metric)
-            rest = x - centres[((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)]
+            rest = x - centres[_closest(x, centres)]
             for s in range(subspaces):
                 part = rest[:, s * width : (s + 1) * width]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(part.ravel()))
@@ -127,14 +137,14 @@ def build(vectors: DataFrame, path: str, metric: str = "l2", subspaces: int | No
     model = KMeans(k=most, seed=seed, maxIter=8, initMode="random").fit(some.select(array_to_vector(features).alias("features")))
     centres = np.array(model.clusterCenters())
     books = _codebooks(some, centres, subspaces, metric, seed)
-    width, sizes = dims // subspaces, (books * books).sum(2)
+    width = dims // subspaces
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _prepared(_matrix(b.column("embedding")), metric)
-            own = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+            own = _closest(x, centres)
             rest = x - centres[own]
-            codes = np.stack([(sizes[s] - 2 * rest[:, s * width : (s + 1) * width] @ books[s].T).argmin(1) for s in range(subspaces)], 1).astype(np.uint8)
+            codes = np.stack([_closest(rest[:, s * width : (s + 1) * width], books[s]) for s in range(subspaces)], 1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own, pa.int32())], ["vec_id", "embedding", "code", "list"])
 
     kinds = {f.name: f.dataType.simpleString() for f in v.schema}
@@ -145,20 +155,42 @@ def build(vectors: DataFrame, path: str, metric: str = "l2", subspaces: int | No
     return QuantisedIndex(put, spark.read.parquet(f"{path}/sizes"), metric, centres, books)
 
 
-def _nearest_lists(index: QuantisedIndex, queries: DataFrame, probes: int) -> DataFrame:
-    """``query_id, q, list`` of the ``probes`` lists nearest to each query."""
+def _nearest_lists(index: QuantisedIndex, queries: DataFrame, probes: int, block_of: np.ndarray) -> DataFrame:
+    """``query_id, q, block, lists``: the ``probes`` lists nearest to each query, a row for each block that has some."""
     centres, metric = index.centres, index.metric
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _prepared(_matrix(b.column("embedding")), metric)
-            far = -x @ centres.T if metric == "dot" else (centres * centres).sum(1) - 2 * x @ centres.T
-            chosen = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            out = b.take(pa.array(np.repeat(np.arange(len(x)), chosen.shape[1])))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(chosen.ravel(), pa.int32())], ["query_id", "q", "list"])
-
-    return queries.select("vec_id", "embedding").mapInArrow(near, f"query_id {kinds['vec_id']}, q {kinds['embedding']}, list int")
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                b = batch.slice(a, ROWS)
+                x = _prepared(_matrix(b.column("embedding")), metric)
+                far = -x @ centres.T if metric == "dot" else (centres * centres).sum(1) - 2 * x @ centres.T
+                lists = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                lists = np.take_along_axis(lists, np.argsort(block_of[lists], axis=1, kind="stable"), 1)
+                block = block_of[lists]
+                first = np.ones(block.shape, bool)
+                first[:, 1:] = block[:, 1:] != block[:, :-1]
+                begin = np.flatnonzero(first)
+                out = b.take(pa.array(begin // lists.shape[1]))
+                told = pa.ListArray.from_arrays(pa.array(np.append(begin, lists.size), pa.int32()), pa.array(lists.ravel()))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(block.ravel()[begin], pa.int32()), told], ["query_id", "q", "block", "lists"])
+
+    return queries.select("vec_id", "embedding").mapInArrow(near, f"query_id {kinds['vec_id']}, q {kinds['embedding']}, block int, lists array<int>")
+
+
+def _blocks(index: QuantisedIndex) -> tuple[np.ndarray, DataFrame]:
+    """The block of each list, and ``list, block, parts`` of the lists with vectors: short lists share a block, a long one is cut."""
+    size = np.zeros(len(index.centres), np.int64)
+    for r in index.sizes.collect():  # LISTS rows at most
+        size[r["list"]] = r["n"]
+    block, at, room = np.zeros(len(size), np.int64), -1, 0
+    for i, n in enumerate(size.tolist()):
+        if at < 0 or n > room:
+            at, room = at + 1, LIST_BLOCK
+        block[i], room = at, room - n
+    rows = pa.table({"list": np.arange(len(size), dtype=np.int32), "block": block.astype(np.int32), "parts": np.maximum(1, -(-size // LIST_BLOCK)).astype(np.int32)})
+    return block, F.broadcast(index.vectors.sparkSession.createDataFrame(rows))
 
 
 def search(index: QuantisedIndex, queries: DataFrame, k: int, probes: int | None = None, over: int = 10) -> DataFrame:
@@ -170,11 +202,12 @@ def search(index: QuantisedIndex, queries: DataFrame, k: int, probes: int | None
         q = sized(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(0).alias("list")))
         return top(index.vectors.join(q, "list").select("query_id", "vec_id", score(index.metric, F.col("embedding"), F.col("q")).alias("score")), ["query_id"], order, k)
     probes = min(probes or -(-len(index.centres) // 4), len(index.centres))
-    pairs = stored(_nearest_lists(index, asked, probes), "query-lists")
+    block_of, lists = _blocks(index)
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    parts = sized(index.sizes.select("list", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("parts")))
-    asks = pairs.join(parts, "list").select("query_id", "q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"))
-    codes = index.vectors.select("vec_id", "code", "list").join(parts, "list").select("vec_id", "code", "list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    pairs = stored(_nearest_lists(index, asked, probes, block_of), "query-lists")
+    parts = F.broadcast(lists.groupBy("block").agg(F.max("parts").alias("parts")))
+    asks = pairs.join(parts, "block").select("query_id", "q", "block", "lists", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"))
+    codes = index.vectors.select("vec_id", "code", "list").join(lists, "list").select("vec_id", "code", "list", "block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     centres, books, metric, most = index.centres, index.books, index.metric, over * k
     subspaces, _, width = books.shape
 
@@ -182,15 +215,29 @@ def search(index: QuantisedIndex, queries: DataFrame, k: int, probes: int | None
         ids, vecs, far = [left.column("query_id").type, right.column("vec_id").type], [], []
         picked = []
         if left.num_rows and right.num_rows:
-            flat = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(-1, subspaces)
-            centre, at = centres[left.column("list")[0].as_py()], np.arange(subspaces)
-            for row, q in enumerate(_prepared(_matrix(left.column("q")), metric)):
-                own = (q if metric == "dot" else q - centre).reshape(subspaces, 1, width)
-                table = -(own * books).sum(2) if metric == "dot" else ((own - books) ** 2).sum(2)
-                d = table[at, flat].sum(1) - (q @ centre if metric == "dot" else 0)
-                best = np.argpartition(d, most)[:most] if len(d) > most else np.arange(len(d))
+            rank = np.empty(right.num_rows, np.int64)
+            rank[pc.array_sort_indices(right.column("vec_id").combine_chunks()).to_numpy()] = np.arange(right.num_rows)
+            own = right.column("list").to_numpy()
+            order = np.argsort(own, kind="stable")
+            known, start = np.unique(own[order], return_index=True)
+            spans = dict(zip(known.tolist(), np.split(order, start[1:]), strict=True))
+            flat, at = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(-1, subspaces), np.arange(subspaces)
+            for row, (q, asked_of) in enumerate(zip(_prepared(_matrix(left.column("q")), metric), left.column("lists").to_pylist(), strict=True)):
+                some, d = [], []
+                for i in asked_of:
+                    if i not in spans:
+                        continue
+                    rest = (q if metric == "dot" else q - centres[i]).reshape(subspaces, 1, width)
+                    table = -(rest * books).sum(2) if metric == "dot" else ((rest - books) ** 2).sum(2)
+                    some.append(spans[i])
+                    d.append(table[at, flat[spans[i]]].sum(1) - (q @ centres[i] if metric == "dot" else 0))
+                if not some:
+                    continue
+                some, d = np.concatenate(some), np.concatenate(d)
+                best = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if len(d) > most else np.arange(len(d))
+                best = best[np.lexsort((rank[some[best]], d[best]))[:most]]
                 picked.append(np.full(len(best), row))
-                vecs.append(best)
+                vecs.append(some[best])
                 far.append(d[best])
         take = lambda column, at: column.combine_chunks().take(pa.array(np.concatenate(at))) if at else None
         none = [pa.array([], t) for t in (*ids, pa.float64())]
@@ -199,7 +246,7 @@ def search(index: QuantisedIndex, queries: DataFrame, k: int, probes: int | None
         return pa.table([take(left.column("query_id"), picked), take(right.column("vec_id"), vecs), pa.array(np.concatenate(far))], ["query_id", "vec_id", "d"])
 
     kinds = {"q": pairs.schema["query_id"].dataType.simpleString(), "v": index.vectors.schema["vec_id"].dataType.simpleString()}
-    met = asks.groupBy("list", "part", "g").cogroup(codes.groupBy("list", "part", "g")).applyInArrow(scan, f"query_id {kinds['q']}, vec_id {kinds['v']}, d double")
+    met = asks.groupBy("block", "part", "g").cogroup(codes.groupBy("block", "part", "g")).applyInArrow(scan, f"query_id {kinds['q']}, vec_id {kinds['v']}, d double")
     best = top(met, ["query_id"], ["d", "vec_id"], most).select("query_id", "vec_id")
     whole = index.vectors.select("vec_id", "embedding").join(sized(stored(best.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"), "query-best")), "vec_id")
     return top(whole.select("query_id", "vec_id", score(metric, F.col("embedding"), F.col("q")).alias("score")), ["query_id"], order, k)
@@ -213,5 +260,5 @@ def bytes_read(index: QuantisedIndex, queries: DataFrame, k: int, probes: int |
     if index.centres is None:
         return {"codes": 0, "vectors": n * q, "exact": n * q}
     probes = min(probes or -(-len(index.centres) // 4), len(index.centres))
-    codes = _nearest_lists(index, asked, probes).groupBy("list").agg(F.count("*").alias("c")).join(index.sizes, "list").agg(F.sum(F.col("c") * F.col("n"))).first()[0]
+    codes = _nearest_lists(index, asked, probes, np.zeros(len(index.centres), np.int64)).select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("c")).join(index.sizes, "list").agg(F.sum(F.col("c") * F.col("n"))).first()[0]
     return {"codes": codes * index.books.shape[0], "vectors": min(n, over * k) * q * 4 * dims, "exact": n * q * 4 * dims}

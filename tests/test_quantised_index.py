@@ -59,3 +59,20 @@ def test_subspaces_must_divide(spark, tmp_path):
         QI.build(clustered(spark, 300), str(tmp_path / "i"), subspaces=5)
     with pytest.raises(ValueError):
         QI.build(clustered(spark, 300), str(tmp_path / "j"), metric="l1")
+
+
+def test_a_query_is_sent_to_a_block_of_lists_once(spark, monkeypatch, tmp_path):
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(600)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id < 30")
+    index = QI.build(v, str(tmp_path / "index"), lists=20)
+    want = sorted(map(tuple, QI.search(index, q, 5, probes=12).collect()))
+    block_of, _ = QI._blocks(index)
+    told = QI._nearest_lists(index, q, 12, block_of).collect()
+    assert len(told) == 30 and all(len(r["lists"]) == 12 for r in told) and set(block_of) == {0}
+    monkeypatch.setattr(QI, "ROWS", 7)
+    monkeypatch.setattr(QI, "LIST_BLOCK", 25)  # lists cut into parts, beside lists that share a block
+    monkeypatch.setattr(QI, "QUERY_BLOCK", 10)
+    assert sorted(map(tuple, QI.search(index, q, 5, probes=12).collect())) == want
+    assert len(set(QI._blocks(index)[0])) > 5
