@@ -26,9 +26,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import words
 from lodestone.functions.views import sized, stored, tokens
 from lodestone.operators.retrieval import top
 
@@ -43,23 +47,38 @@ def _bucket(term: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, segment: int) -> DataFrame:
-    """The blocks of ``doc_id, text``."""
+    """The blocks of ``doc_id, text``: texts meet by slice, and a slice is inverted in one Arrow group."""
     parts = max(1, -(-docs.count() // SLICE))
-    words = docs.where("doc_id is not null").select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).withColumn("len", F.size("w"))
-    kind = F.floor(2 * F.log2(F.col("len") + 1)).cast("long")  # classes of lengths, so that the least length of a block says much
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = F.floor(2 * F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) / 6 + 1)).cast("long")  # classes of lengths, so that the least length of a block says much
     at = F.lit(segment).cast("long") * (1 << 44) + kind * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    # documents meet by slice, with their words sorted, as texts; blocks are then made where their documents are
-    dealt = words.select("doc_id", "len", at.alias("slice"), F.array_join(F.array_sort("w"), " ").alias("sorted")).repartition("slice")
-    sorted_words = dealt.select("doc_id", "len", "slice", F.split("sorted", " ").alias("w"))
-    # a document's equal words stand side by side, so they are counted in its row
-    begins = F.filter(F.sequence(F.lit(1), F.greatest(F.col("len"), F.lit(1))), lambda i: (i <= F.col("len")) & ((i == 1) | (F.get(F.col("w"), i - 1) != F.get(F.col("w"), i - 2))))
-    runs = sorted_words.withColumn("begins", begins)
-    counts = F.transform("begins", lambda i, k: F.struct(F.get(F.col("w"), i - 1).alias("term"), (F.coalesce(F.get(F.col("begins"), k + 1), F.col("len") + 1) - i).alias("tf")))
-    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf")))
-    counted = runs.select("doc_id", "len", "slice", F.explode(F.concat(whole, counts)).alias("t")).select("doc_id", "len", "slice", "t.term", "t.tf")
-    found = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len")))  # of one slice
-    g = counted.groupBy("term", "slice").agg(found.alias("p"), F.count("*").alias("n"), F.sum("len").alias("total"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-    return g.select(F.lit(segment).alias("segment"), _bucket(F.col("term")).alias("bucket"), "term", "slice", "n", "total", "max_tf", "min_len", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
+    dealt = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("text"), at.alias("slice"))
+
+    def invert(group: pa.Table) -> pa.Table:
+        group = group.take(pc.array_sort_indices(group.column("doc_id").combine_chunks()))
+        texts, ids = group.column("text").combine_chunks(), group.column("doc_id").combine_chunks()
+        lens, held, known, at = np.zeros(len(ids), np.int32), [], [pa.array([""], pa.large_string())], 1
+        for begin, end in words.cut(texts):  # the words of some texts at a time
+            lens[begin:end], distinct, doc, word, tf = words.counts(texts.slice(begin, end - begin))
+            held.append((doc + begin, word + at, tf))
+            known.append(distinct)
+            at += len(distinct)
+        held.append((np.arange(len(ids)), np.zeros(len(ids), np.int64), np.ones(len(ids), np.int64)))  # every document has the empty term
+        coded = pa.concat_arrays(known).dictionary_encode()
+        doc, word, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+        word = coded.indices.to_numpy()[word]
+        order = np.lexsort((doc, word))
+        doc, word, tf = doc[order], word[order], tf[order].astype(np.int32)
+        term, start, n = np.unique(word, return_index=True, return_counts=True)
+        size, offsets = lens[doc], pa.array(np.append(start, len(doc)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(doc)), pa.array(tf), pa.array(size))]
+        values = [pa.array(n), pa.array(np.add.reduceat(size.astype(np.int64), start)), pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(size, start)), *lists]
+        names = ["term", "slice", "n", "total", "max_tf", "min_len", "docs", "tfs", "lens"]
+        return pa.table([coded.dictionary.take(pa.array(term)).cast(pa.string()), pa.array(np.full(len(term), group.column("slice")[0].as_py())), *values], names)
+
+    kinds = f"term string, slice long, n long, total long, max_tf int, min_len int, docs array<{id_type}>, tfs array<int>, lens array<int>"
+    g = dealt.groupBy("slice").applyInArrow(invert, kinds)
+    return g.select(F.lit(segment).alias("segment"), _bucket(F.col("term")).alias("bucket"), "term", "slice", "n", "total", "max_tf", "min_len", "docs", "tfs", "lens")
 
 
 @dataclass

@@ -61,3 +61,14 @@ def test_edge_cases(spark, tmp_path):
     hits = TI.search(TI.build(docs, str(tmp_path / "i")), queries, 3).hits.collect()
     assert [(r["doc_id"], r["rank"]) for r in hits] == [(2, 1)]
     assert TI.search(TI.build(docs.limit(0), str(tmp_path / "e")), queries, 3).hits.count() == 0
+
+
+def test_a_slice_holds_the_documents_of_its_class(spark, tmp_path):
+    rows = [(i, f"w{i % 3} b") for i in range(300)] + [(1000 + i, "long " * (50 * i)) for i in range(1, 9)] + [(2000, None), (None, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = TI.build(docs, str(tmp_path / "index"))
+    held = {r["term"]: (r["n"], r["total"], r["max_tf"], r["min_len"], r["docs"], r["tfs"], r["lens"]) for r in index.postings().where("term in ('b', 'w2')").collect()}
+    assert held["b"] == (300, 600, 1, 2, list(range(300)), [1] * 300, [2] * 300) and held["w2"][4] == list(range(2, 300, 3))
+    assert sorted(r["doc_id"] for r in index.documents().collect()) == [*range(300), *range(1001, 1009), 2000]
+    blocks = TI._blocks(docs, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in blocks and "collect_list" not in blocks
