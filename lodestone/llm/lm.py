@@ -11,9 +11,11 @@ log probability is a sum of look-ups.
 
 Every context of the training texts up to ``DEPTH`` bytes is a node. Weights and
 mixtures of all nodes are tables of Spark, made level by level. The most frequent
-contexts, ``NODES`` at most, are sent to the workers with their mixtures; bytes
-after other contexts are counted by document and joined with the mixtures after
-a shuffle, as rare words are, so ``NODES`` changes the cost and not the score.
+contexts, ``NODES`` at most, are sent to the workers with their mixtures, and of
+the grams (a byte and its context) after other contexts the most frequent,
+``GRAMS`` at most, with their bits. The remaining bytes are counted by document
+and joined with the mixtures after a shuffle, as rare words are, so ``NODES`` and
+``GRAMS`` change the cost and not the score.
 
 The base score is a smoothed unigram of words over exact counts of all training
 tokens. Words are counted in each task, then by a 64-bit hash of the word. The
@@ -29,7 +31,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,18 +40,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytecontext import HELD, ContextTree, GramCounter, encoded, grams, pieces, tree
+from lodestone.llm.bytecontext import HELD, PIECE, ContextTree, GramCounter, encoded, grams, pieces, tree
 from lodestone.llm.text import crc_mod
 from lodestone.llm.workspace import bound_batches, hinted, join_classes, least_count, materialise, settled, table
 
 #: Longest context, and contexts whose mixtures are sent to the workers, at most.
 DEPTH, NODES = 4, 16_384
+#: Grams after other contexts whose bits are sent to the workers, at most.
+GRAMS = 1 << 20
 #: Binary decisions that the driver computes at a time, to hold little.
 SLICE = 16
 #: Words whose counts are sent to the workers, at most.
 HEAD = 1 << 20
-#: Distinct words that a worker keeps; the store is emptied beyond that.
-WORD_CACHE = 300_000
 #: Kinds of counts that the one pass over the training texts gives.
 GRAM, WORD, TEXT = 0, 1, 2
 
@@ -58,9 +61,8 @@ def words_of(text: str | None) -> list[bytes]:
     return encoded(text).lower().split()
 
 
-def hashed(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >= 1 << 63 else h
+def hashes(words: Collection[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,7 +70,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def handed():
         yield pd.DataFrame({"kind": GRAM, "key": counter.codes, "n": counter.counts})
-        yield pd.DataFrame({"kind": WORD, "key": np.array([hashed(w) for w in held], np.int64), "n": np.array(list(held.values()), np.int64)})
+        yield pd.DataFrame({"kind": WORD, "key": hashes(held), "n": np.array(list(held.values()), np.int64)})
         yield pd.DataFrame({"kind": [TEXT], "key": [0], "n": [n_texts]})
 
     for b in batches:
@@ -151,6 +153,14 @@ def gram_bits(codes: DataFrame, mixtures: list[DataFrame]) -> DataFrame:
     return d.groupBy("code").agg(F.sum(F.log2(F.when(F.col("one") == 1, p).otherwise(1 - p))).alias("bits"))
 
 
+def sent_grams(codes: DataFrame, contexts: ContextTree, mixtures: list[DataFrame]) -> pd.DataFrame:
+    """``code, bits`` of the most frequent grams of training whose whole context is not a node, by code."""
+    whole = codes.sparkSession.createDataFrame(pd.DataFrame({"ctx": contexts.ctx[contexts.depth == DEPTH]}), "ctx long")
+    rest = materialise(codes.join(F.broadcast(whole), F.shiftright("code", 8) == F.col("ctx"), "left_anti"), "grams")
+    often = rest.where(F.col("n") >= least_count(rest, "n", GRAMS)).select("code")
+    return gram_bits(often, mixtures).toArrow().to_pandas().sort_values("code")  # GRAMS bounds these rows
+
+
 def unsent(contexts: ContextTree, weights: list[DataFrame]) -> np.ndarray:
     """By node and decision, the weights of the next longer contexts that are not nodes."""
     out = np.zeros((contexts.n, 256))
@@ -196,76 +206,84 @@ def weighted_log2(contexts: ContextTree, counts: np.ndarray, others: np.ndarray)
     return out
 
 
-class _Known(dict):
-    """log10 of the base probability of a word of the head, NaN for others."""
+class _Numbers(dict):
+    """A number for each word asked for, in the order of their first."""
 
-    def __init__(self, keys: np.ndarray, logs: np.ndarray):
-        super().__init__()
-        self.keys_, self.logs = keys, logs
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = hashed(word)
-        k = int(np.searchsorted(self.keys_, h))
-        out = self[word] = float(self.logs[k]) if k < len(self.keys_) and self.keys_[k] == h else math.nan
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
         return out
 
 
 class Model:
-    """What the workers need: the tree with its table, and the head of the vocabulary."""
+    """What the workers need: the tree with its table, the bits of ``often`` met grams beside it, and the head of the vocabulary."""
 
     def __init__(
-        self, contexts: ContextTree | None, log2: np.ndarray | None, mixtures: list[DataFrame], keys: np.ndarray, counts: np.ndarray, texts: int, tokens: int, types: int
+        self, contexts: ContextTree | None, log2: np.ndarray | None, mixtures: list[DataFrame], often: pd.DataFrame, keys: np.ndarray, counts: np.ndarray, texts: int, tokens: int, types: int
     ):
         if mixtures:  # there are other contexts: only after a whole one is the mixture sure to be that of the node
             log2[contexts.depth < DEPTH] = math.nan
         self.contexts, self.log2, self.mixtures = contexts, None if log2 is None else log2.ravel(), mixtures
+        # the last code is above all grams, so that each finds a place
+        self.codes, self.bits = np.append(often["code"].to_numpy(np.int64), 1 << 62), np.append(often["bits"].to_numpy(np.float64), 0.0)
         self.tokens, self.types, self.texts = tokens, types, texts
         self.keys, self.logs = keys, np.log10((counts + 0.5) / self.scale())
-        self._known = None
 
     def scale(self) -> float:
         return self.tokens + 0.5 * (self.types + 1)
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": None, "mixtures": []}
-
-    def known(self) -> _Known:
-        if self._known is None:
-            self._known = _Known(self.keys, self.logs)
-        return self._known
+        return self.__dict__ | {"mixtures": []}
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text, without the bytes after contexts that were not sent."""
+        """log10 of the probability of each text, without the bytes of grams that were not sent."""
         return self.scored(texts)[0]
 
     def scored(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """``log10`` of the texts; and text, gram and count of the bytes after contexts that were not sent."""
+        """``log10`` of the texts; and text, gram and count of the bytes whose grams were not sent, by node or alone."""
         if self.contexts is None:
             return np.array([-8.0 * len(t) for t in texts]) * math.log10(2), []
         out, rare = np.zeros(len(texts)), []
         width = 8 * (DEPTH + 1)
         for flat, at, owner in pieces(texts, DEPTH):
             bits = self.log2[self.contexts.cells(flat, at)]
-            lost = np.isnan(bits)
-            if lost.any():
+            lost = np.flatnonzero(np.isnan(bits))
+            if len(lost):
                 bits[lost] = 0
-                # texts of a batch are fewer than the bits left
-                key, n = np.unique(owner[lost].astype(np.int64) << width | grams(flat, at[lost], DEPTH), return_counts=True)
-                rare.append((key >> width, key & ((1 << width) - 1), n))
+                code = grams(flat, at[lost], DEPTH)
+                place = np.searchsorted(self.codes, code)
+                sent = self.codes[place] == code
+                out += np.bincount(owner[lost[sent]], self.bits[place[sent]], len(texts))
+                if not sent.all():
+                    # texts of a batch are fewer than the bits left
+                    key, n = np.unique(owner[lost[~sent]].astype(np.int64) << width | code[~sent], return_counts=True)
+                    rare.append((key >> width, key & ((1 << width) - 1), n))
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             np.add.at(out, owner[first], np.add.reduceat(bits, first, dtype=np.float64))
         return out * math.log10(2), rare
 
-    def words(self, text: str | None) -> tuple[int, int, float, Counter]:
-        """Tokens, tokens known from the head, their base score, the end token included, and the other words."""
-        found = words_of(text)
-        logs = np.fromiter(map(self.known().__getitem__, found), np.float64, len(found))
-        other = np.flatnonzero(np.isnan(logs))
-        end = math.log10((self.texts + 0.5) / self.scale())
-        rest = Counter(found[i] for i in other.tolist()) if self.types else Counter()  # without any type no word is known
-        return len(found) + 1, len(found) - len(other) + (self.texts > 0), float(np.nansum(logs)) + end, rest
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """By text tokens, tokens known from the head and their base score, the end token included; and text, hash and count of the other words."""
+        n_tokens, n_known, base, rest = np.ones(len(texts), np.int64), np.full(len(texts), int(self.texts > 0)), np.full(len(texts), math.log10((self.texts + 0.5) / self.scale())), []
+        ends = np.cumsum([len(t) for t in texts])
+        low = 0
+        while low < len(texts):  # texts of PIECE bytes at a time, or a longer one
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, "right")))
+            found = [t.lower().split() for t in texts[low:high]]
+            sizes, numbers = np.array([len(f) for f in found]), _Numbers()
+            number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, sizes.sum())
+            owner = np.repeat(np.arange(low, high), sizes)
+            keys = hashes(numbers)
+            place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+            in_head = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            known = in_head[number]
+            n_tokens[low:high] += sizes
+            n_known += np.bincount(owner[known], minlength=len(texts))
+            base += np.bincount(owner[known], self.logs[place[number[known]]], len(texts))
+            if self.types and not known.all():  # without any type no word is known
+                pair, n = np.unique(owner[~known] * len(numbers) + number[~known], return_counts=True)
+                rest.append((pair // len(numbers), keys[pair % len(numbers)], n))
+            low = high
+        return n_tokens, n_known, base, rest
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -283,14 +301,16 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     weights = context_weights(codes) if len(chosen) == NODES else []  # with fewer, the nodes are all contexts
     others = unsent(contexts, weights) if weights else np.zeros((len(chosen), 256))
     log2 = weighted_log2(contexts, contexts.dense(seen), others) if contexts else None
+    mixtures = context_mixtures(weights)
+    often = sent_grams(codes, contexts, mixtures) if mixtures else pd.DataFrame({"code": [], "bits": []})
     tokens, types = int(sums["n"]) + int(texts), int(sums["v"]) + (texts > 0)
-    return Model(contexts, log2, context_mixtures(weights), head["key"].to_numpy(np.int64), head["n"].to_numpy(np.float64), int(texts), tokens, types), words
+    return Model(contexts, log2, mixtures, often, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.float64), int(texts), tokens, types), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score, bits_per_byte`` for every row of ``docs``."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # NODES and HEAD bound it; the other mixtures stay tables
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # NODES, GRAMS and HEAD bound it; the other mixtures stay tables
     plain = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named")]  # a null would make floats of a batch of ids
     rows = docs.select(*plain, "text", F.xxhash64("doc_id", "text").alias("row_key"))
     joins_grams = bool(model.mixtures)
@@ -300,18 +320,16 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
         own = shared.value
         for b in batches:
             raw = [encoded(t) for t in b["text"]]
-            told = [own.words(t) for t in b["text"]]
+            n_tokens, n_known, base, rest = own.words(raw)
             scores, rare = own.scored(raw)
             yield pd.DataFrame(
                 {
-                    "kind": TEXT, "row_key": b["row_key"], "key": 0, "tf": 0, "doc_id": b["doc_id"], "named": b["named"], "n_tokens": [t[0] for t in told], "n_known": [t[1] for t in told],
-                    "base": [t[2] for t in told], "score": scores, "n_bytes": [len(r) for r in raw],
+                    "kind": TEXT, "row_key": b["row_key"], "key": 0, "tf": 0, "doc_id": b["doc_id"], "named": b["named"], "n_tokens": n_tokens, "n_known": n_known,
+                    "base": base, "score": scores, "n_bytes": [len(r) for r in raw],
                 }
             )
             row_keys = b["row_key"].to_numpy(np.int64)
-            owner = np.repeat(np.arange(len(told)), [len(t[3]) for t in told])
-            tails = [(WORD, owner, np.array([hashed(w) for t in told for w in t[3]], np.int64), np.array([n for t in told for n in t[3].values()], np.int64))]
-            tails += [(GRAM, *r) for r in rare] if joins_grams else []
+            tails = [(WORD, *r) for r in rest] + [(GRAM, *r) for r in rare if joins_grams]
             for kind, at, key, n in tails:
                 yield pd.DataFrame({"kind": kind, "row_key": row_keys[at], "key": key, "tf": n, "doc_id": 0, "named": False, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0, "n_bytes": 0})
 

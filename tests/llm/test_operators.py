@@ -695,6 +695,22 @@ def test_lm_scores_contexts_beyond_the_sent_ones(spark, monkeypatch):
         assert abs(score - brute_ctw([x.encode() for x in texts[:3]], texts[i].encode(), lm.DEPTH)) < 1e-4
 
 
+def test_lm_sends_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(lm, "NODES", 9)
+    texts = ["abab", "abc", "ba"]
+    raw = [t.encode() for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "abcabd")], "doc_id long, text string")
+    for most in (1 << 20, 3, 0):  # all, some and none of the grams of training
+        monkeypatch.setattr(lm, "GRAMS", most)
+        model, words_ = lm.train(docs.where("doc_id < 3"))
+        scores, rare = model.scored(raw)
+        assert len(model.codes) - 1 <= most and bool(rare) == (most < 5)  # there are five: if all are sent, nothing is left to join
+        if not rare:
+            assert np.allclose(scores, [brute_ctw(raw, t, lm.DEPTH) for t in raw], atol=1e-4)
+        for r in lm.score(docs, model, words_).collect():
+            assert abs(r["score"] - brute_ctw(raw, [*raw, b"abcabd"][r["doc_id"]], lm.DEPTH)) < 1e-4
+
+
 def test_lm_base(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 3)  # so that most words go through the shuffled join
     model, counts = lm.train(edge.where("doc_id < 8"))
